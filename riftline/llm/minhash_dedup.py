@@ -1,7 +1,8 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
-Each document is its set of five-word shingle hashes and has 128 minwise tokens. Documents
-with equal sets are one class. Class representatives are branched in independent trees: at
+Each document is its set of five-word shingle hashes and has 256 minwise tokens, of which
+64 are whole and choose paths, and one byte each serves to compare. Documents with equal
+sets are one class. Class representatives are branched in independent trees: at
 each node one minwise coordinate is chosen by the node's hash (a second one with
 probability 1/3, so that a pair at similarity 0.75 is expected to keep one common branch),
 and a document goes to the branch of its token there. A node of few documents is compared
@@ -13,7 +14,8 @@ whose tokens agree often enough, best first. These are confirmed on full sets. T
 whose documents aren't all connected yet return the other such pairs across components,
 which are confirmed as well, so that no link that matters for a component is lost to the
 forest. Nodes that are still large at the last level (near copies of one document) are
-compared with a document of their own, then those left apart with all others by blocks.
+compared with a document of their own, then those left apart with all others, on full sets,
+by blocks.
 
 Defined results: null or empty texts have empty sets and stand alone; rows that share a
 doc_id count as one document; a row with a null doc_id stands alone and is kept; other
@@ -34,25 +36,29 @@ from .common import stored
 from .graph import components
 from .shingles import mixed, shingle_sets, slices
 
-TOKENS = 128
+TOKENS = 256
+PATHS = 64
 TREES = 10
 LEVELS = 5
 LEAF = 64
 #: Pairs that agree on fewer than this share of tokens aren't compared on full sets: four standard deviations below 0.75.
-LIKELY = 0.60
+LIKELY = 0.64
 
 _TURN = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64))
 _ODD = mixed(np.arange(1001, 1001 + TOKENS, dtype=np.uint64)) | np.uint64(1)
 
 
-def tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise tokens of non-empty sets, one row each."""
+def tokens(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise tokens of non-empty sets, one row each: those that choose paths, and a byte of each."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), TOKENS), np.uint32)
+    paths, every = np.empty((len(sets), PATHS), np.uint32), np.empty((len(sets), TOKENS), np.uint8)
     for i in range(TOKENS):
-        out[:, i] = np.minimum.reduceat(((flat ^ _TURN[i]) * _ODD[i]) >> np.uint64(32), starts)
-    return out
+        least = np.minimum.reduceat((flat ^ _TURN[i]) * _ODD[i], starts) >> np.uint64(32)
+        every[:, i] = (mixed(least) & np.uint64(255)).astype(np.uint8)
+        if i < PATHS:
+            paths[:, i] = least
+    return paths, every
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,36 +66,38 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, at in slices(batch.column(1)):
             sets = shingle_sets(data, at)
             full = [x for x in sets if len(x)]
-            rows = iter(tokens(full)) if full else iter(())
+            rows = iter(list(zip(*tokens(full), strict=True)) if full else ())
+            both = [next(rows) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[a:b],
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
-                    pa.array([next(rows).tobytes() if len(x) else None for x in sets], pa.binary()),
+                    pa.array([x and x[0].tobytes() for x in both], pa.binary()),
+                    pa.array([x and x[1].tobytes() for x in both], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "same", "tokens"],
+                names=["doc_id", "n_shingles", "same", "paths", "tokens"],
             )
 
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the shingle set, and its minwise tokens."""
-    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, same binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, same binary, paths binary, tokens binary")
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, node, tokens) to (id, node) of the next level."""
+    """Rows (id, node, paths) to (id, node) of the next level."""
     for batch in batches:
         if not batch.num_rows:
             continue
         node = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        token = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
+        token = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, PATHS)
         row, ids = np.arange(len(node)), batch.column(0).to_numpy(zero_copy_only=False)
         out_ids, out_nodes = [], []
         for k in range(2):
             pick = mixed(node + np.uint64(7 + k))
             go = row if k == 0 else row[(pick >> np.uint64(40)) % np.uint64(3) == 0]
-            at = (pick % np.uint64(TOKENS)).astype(np.int64)[go]
+            at = (pick % np.uint64(PATHS)).astype(np.int64)[go]
             out_ids.append(ids[go])
             out_nodes.append(mixed(mixed(node[go] + np.uint64(31)) ^ mixed(token[go, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)))))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_nodes).view(np.int64))], names=["id", "node"])
@@ -116,7 +124,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Re
         found = set()
         for members in batch.column(0).to_pylist():
             ids = [m["id"] for m in members]
-            token = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint32).reshape(-1, TOKENS)
+            token = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint8).reshape(-1, TOKENS)
             near = np.triu(_agreement(token, np.array([m["n"] for m in members])), 1)
             i, j = np.nonzero(near >= LIKELY)
             if not forest:
@@ -139,13 +147,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in shingle_sets(data, at)], pa.binary())], names=["id", "shingles"])
 
 
+def linked(x: bytes, y: bytes) -> bool:
+    """Whether two sets have a Jaccard similarity of at least 0.75."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= 75 * (len(both) - same)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+        keep = [linked(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -157,12 +172,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Members of small nodes (node, id), and of nodes that are large even at the last level."""
-    rows, small = None, []
+    rows, hot, small = None, None, []
     for level in range(LEVELS):
         if level == 0:
-            at = reps.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"), "tokens")
+            at = reps.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"), "paths")
         else:
-            at = rows.join(reps.select("id", "tokens"), "id").select("id", "node", "tokens")
+            if hot is None:  # few documents branch beyond the first level
+                hot = stored(reps.select("id", "paths").join(rows.select("id").distinct(), "id"))
+            at = rows.join(hot, "id").select("id", "node", "paths")
         below = stored(at.mapInArrow(_branches, "id long, node long").distinct())
         counts = below.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
         rows = stored(below.join(counts, "node"))
@@ -190,14 +207,13 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     known = reps.select("id", "n", "tokens")
     member = F.struct("id", "n", "tokens")
     pairs = members.join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("m").mapInArrow(lambda b: _pairs_of(b, True), "a long, b long")
-    ids = members.select("id")
     if large is not None:
         large = stored(large)
         hubs = stored(large.groupBy("node").agg(F.min_by("id", F.xxhash64("id", "node")).alias("hub")))
         pairs = pairs.union(large.join(hubs, "node").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
-        ids = ids.union(large.select("id"))
     pairs = stored(pairs.distinct())
-    ids = ids.distinct()
+    # every document with a likely partner is in some pair of the forests
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = stored(docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles binary"))
     first = stored(_confirmed(pairs, sets))
     labels = components(first)
@@ -207,29 +223,49 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     mixed_nodes = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
     member = F.struct("id", "n", "tokens", "component")
     more = apart.join(mixed_nodes, "node").join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("m").mapInArrow(lambda b: _pairs_of(b, False), "a long, b long")
-    if large is not None:
-        more = more.union(_across(large, labels, hubs, known))
     more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return first
-    return first.union(stored(_confirmed(more, sets)))
-
-
-def _across(large: DataFrame, labels: DataFrame, hubs: DataFrame, known: DataFrame) -> DataFrame:
-    """Likely pairs, across components, of nodes that stayed large.
+    out = first if more.isEmpty() else first.union(stored(_confirmed(more, sets)))
+    return out if large is None else out.union(_across(large, labels, hubs, known, sets))
+
+
+def _cross_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two blocks: for each document of the left and component of the right, the first found."""
+    x, y = left.to_pylist(), right.rename_columns([c.removeprefix("r_") for c in right.column_names]).to_pylist()
+    found = []
+    if x and y:
+        token = np.frombuffer(b"".join(m["tokens"] for m in y), np.uint8).reshape(-1, TOKENS)
+        for m in x:
+            agree = (token == np.frombuffer(m["tokens"], np.uint8)).mean(1)
+            done = {m["component"]}
+            for k in np.argsort(-agree, kind="stable").tolist():
+                if agree[k] < LIKELY:
+                    break
+                if y[k]["component"] not in done and linked(m["shingles"], y[k]["shingles"]):
+                    done.add(y[k]["component"])
+                    found.append((m["id"], y[k]["id"]))
+    return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def _across(large: DataFrame, labels: DataFrame, hubs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links, across components, of nodes that stayed large.
 
     In each node the documents outside the component of its hub are dealt into blocks; each
-    block meets every block of the node's members. Both sides are salted by block, so a
-    node of any size is spread over tasks, and one row holds two blocks at most.
+    block meets every block of the node's members. A node of any size is spread over tasks,
+    each of which holds two blocks; the documents of all large nodes together are dealt as
+    one node if they share a hub's component.
     """
-    at = stored(_with_labels(large, labels).join(_with_labels(hubs.select("node", F.col("hub").alias("id")), labels).select("node", F.col("component").alias("main")), "node").join(known, "id"))
-    sizes = at.groupBy("node").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("out")).where("out > 0")
-    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("all") / LEAF).cast("int")).withColumn("outs", F.ceil(F.col("out") / LEAF).cast("int")))
-    rows = at.join(sizes, "node").withColumn("member", F.struct("id", "n", "tokens", "component"))
+    at = _with_labels(large, labels).join(_with_labels(hubs.select("node", F.col("hub").alias("id")), labels).select("node", F.col("component").alias("main")), "node")
+    at = stored(at.select("main", "id", "component").distinct())
+    sizes = stored(
+        at.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("out")).where("out > 0")
+        .select("main", F.ceil(F.col("all") / LEAF).cast("int").alias("blocks"), F.ceil(F.col("out") / LEAF).cast("int").alias("outs"))
+    )
     place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    left = rows.where("component <> main").withColumn("o", place(1, F.col("outs"))).groupBy("node", "o").agg(F.first("blocks").alias("blocks"), F.collect_list("member").alias("x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = rows.withColumn("k", place(2, F.col("blocks"))).groupBy("node", "k").agg(F.collect_list("member").alias("y"))
-    return left.join(right, ["node", "k"]).select(F.array_distinct(F.concat("x", "y")).alias("m")).mapInArrow(lambda b: _pairs_of(b, False), "a long, b long")
+    rows = at.join(sizes, "main").join(known, "id").join(sets, "id")
+    left = rows.where("component <> main").withColumn("o", place(1, F.col("outs"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = rows.withColumn("k", place(2, F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
+    pick = ["main", "o", "k", "id", "component", "tokens", "shingles"]
+    return stored(left.select(*pick).groupBy("main", "o", "k").cogroup(right.select(*pick).toDF(*(f"r_{c}" for c in pick)).groupBy("r_main", "r_o", "r_k")).applyInArrow(_cross_links, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reach; ``kept`` marks the document of that id.
     """
     rows = stored(signed(docs))
-    classes = rows.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("tokens", "doc_id").alias("tokens"))
+    classes = rows.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("paths", "doc_id").alias("paths"), F.min_by("tokens", "doc_id").alias("tokens"))
     reps = stored(classes)
     found = components(links(reps, docs).union(rows.where("same is not null and doc_id is not null").join(reps.select("same", "id"), "same").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))))
     out = rows.select("doc_id", "n_shingles").join(found, rows["doc_id"] == found["id"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, minhash_dedup, mixing
+from . import bpe, fingerprints, language_id, minhash_dedup, mixing, quality, toxicity
 from .common import read
 
 
@@ -26,11 +26,26 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": _op2,
     "op3_mixing_to_target_weights": _op3,
     "op4_bpe_encode_decode": _op4,
     "op6_document_fingerprints": _op6,
+    "op8_toxicity": _op8,
+    "op9_quality": _op9,
+    "op10_language_id": _op10,
 }
 
 #: Water filling, written independently: sources sorted by cap per weight, capped ones first.

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, droppable: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not the work before.
@@ -37,7 +37,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    if droppable:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, minhash_dedup, mixing, quality, toxicity
+from . import bpe, fingerprints, language_id, line_dedup, minhash_dedup, mixing, pii, quality, toxicity
 from .common import read
 
 
@@ -26,6 +26,14 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("pii_entities").alias("n_entities"))
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped(read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_gone").alias("n_dropped"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -42,7 +50,9 @@ QUERIES = {
     "op2_minhash_near_dedup": _op2,
     "op3_mixing_to_target_weights": _op3,
     "op4_bpe_encode_decode": _op4,
+    "op5_pii_surrogates": _op5,
     "op6_document_fingerprints": _op6,
+    "op7_line_dedup": _op7,
     "op8_toxicity": _op8,
     "op9_quality": _op9,
     "op10_language_id": _op10,

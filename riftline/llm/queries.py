@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, line_dedup, minhash_dedup, mixing, pii, quality, toxicity
+from . import bpe, fingerprints, language_id, line_dedup, minhash_dedup, mixing, nearest, pii, quality, toxicity
 from .common import read
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_neighbours": _op1,
     "op2_minhash_near_dedup": _op2,
     "op3_mixing_to_target_weights": _op3,
     "op4_bpe_encode_decode": _op4,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +69,19 @@ def joined_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Da
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key's text, modulo n; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def bit_map(rows: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits (a multiple of 64) in which those of the long keys are set. Its size doesn't depend on the rows."""
+    word = F.floor(F.pmod(key, F.lit(bits)) / 64).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")
+    found = rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' bits are set: all keys of the map's rows, and by chance others."""
+    at = keys.astype(np.int64) % (64 * len(held))
+    return (held[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)

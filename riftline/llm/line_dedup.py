@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_map, in_map, stored
 
 SHORTEST = 20
 SEGMENTS = 16
@@ -118,18 +118,14 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(hi, text) of the lines whose hash is in ``wanted`` (hi). A map of bits of fixed size spares most others the shuffle."""
-    word = F.floor(F.pmod("hi", F.lit(BITS)) / 64).cast("int")
-    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(hi, 64) as int))")).alias("bits")).toArrow()
-    held = np.zeros(BITS // 64, np.uint64)
-    held[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    held = bit_map(wanted, "hi", BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 texts = list({x for *_, x in _lines(batch.slice(a, 1024)) if len(x) >= SHORTEST})
                 own = np.fromiter(map(_own, texts), np.int64, len(texts))
-                at = own % BITS
-                hit = np.flatnonzero(held[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).tolist()
+                hit = np.flatnonzero(in_map(held, own)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(own[hit], pa.int64()), pa.array([texts[i] for i in hit], pa.string())], names=["hi", "text"])
 
     return docs.mapInArrow(run, "hi long, text string").join(wanted, "hi").dropDuplicates(["hi"])

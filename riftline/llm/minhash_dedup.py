@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_map, in_map, stored
 from .graph import components
 from .shingles import mixed, shingle_sets, slices
 
@@ -43,6 +43,8 @@ LEVELS = 5
 LEAF = 64
 #: Pairs that agree on fewer than this share of tokens aren't compared on full sets: four standard deviations below 0.75.
 LIKELY = 0.64
+#: Bits of the map of documents that may have links.
+BITS = 1 << 24
 
 _TURN = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64))
 _ODD = mixed(np.arange(1001, 1001 + TOKENS, dtype=np.uint64)) | np.uint64(1)
@@ -119,10 +121,14 @@ def _root(up: list[int], x: int) -> int:
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of each node: a spanning forest, or all that cross components."""
+    """Likely pairs of each node: a spanning forest, or all that cross components.
+
+    Where more pairs cross components than twice the members, the members themselves are
+    returned instead, with their node and no partner.
+    """
     for batch in batches:
         found = set()
-        for members in batch.column(0).to_pylist():
+        for node, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids = [m["id"] for m in members]
             token = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint8).reshape(-1, TOKENS)
             near = np.triu(_agreement(token, np.array([m["n"] for m in members])), 1)
@@ -130,21 +136,32 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Re
             if not forest:
                 label = np.array([m["component"] for m in members])
                 apart = label[i] != label[j]
-                found.update((min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True))
+                if apart.sum() > 2 * len(ids):
+                    found.update((x, None, node) for x in ids)
+                else:
+                    found.update((min(ids[a], ids[b]), max(ids[a], ids[b]), None) for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True))
                 continue
             up = list(range(len(ids)))
             for e in np.argsort(-near[i, j], kind="stable").tolist():
                 a, b = _root(up, int(i[e])), _root(up, int(j[e]))
                 if a != b:
                     up[a] = b
-                    found.add((min(ids[i[e]], ids[j[e]]), max(ids[i[e]], ids[j[e]])))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                    found.add((min(ids[i[e]], ids[j[e]]), max(ids[i[e]], ids[j[e]]), None))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["a", "b", "node"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, at in slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in shingle_sets(data, at)], pa.binary())], names=["id", "shingles"])
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``. A map of bits of fixed size spares most others the shuffle."""
+    held = bit_map(ids, "id", BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_map(held, batch.column(0).to_numpy(zero_copy_only=False))))
+            for a, b, data, at in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in shingle_sets(data, at)], pa.binary())], names=["id", "shingles"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def linked(x: bytes, y: bytes) -> bool:
@@ -206,7 +223,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     members = groups.select("node", F.explode("ids").alias("id"))
     known = reps.select("id", "n", "tokens")
     member = F.struct("id", "n", "tokens")
-    pairs = members.join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("m").mapInArrow(lambda b: _pairs_of(b, True), "a long, b long")
+    pairs = members.join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("node", "m").mapInArrow(lambda b: _pairs_of(b, True), "a long, b long, node long").select("a", "b")
     if large is not None:
         large = stored(large)
         hubs = stored(large.groupBy("node").agg(F.min_by("id", F.xxhash64("id", "node")).alias("hub")))
@@ -214,7 +231,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = stored(pairs.distinct())
     # every document with a likely partner is in some pair of the forests
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles binary"))
+    sets = stored(_sets_of(docs, ids))
     first = stored(_confirmed(pairs, sets))
     labels = components(first)
 
@@ -222,16 +239,19 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     apart = _with_labels(members, labels)
     mixed_nodes = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
     member = F.struct("id", "n", "tokens", "component")
-    more = apart.join(mixed_nodes, "node").join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("m").mapInArrow(lambda b: _pairs_of(b, False), "a long, b long")
-    more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-    out = first if more.isEmpty() else first.union(stored(_confirmed(more, sets)))
-    return out if large is None else out.union(_across(large, labels, hubs, known, sets))
+    more = apart.join(mixed_nodes, "node").join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("node", "m").mapInArrow(lambda b: _pairs_of(b, False), "a long, b long, node long")
+    more = stored(more.distinct())
+    few = stored(more.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    out = first if few.isEmpty() else first.union(stored(_confirmed(few, sets)))
+    dense = more.where("b is null").select("node", F.col("a").alias("id"))
+    dense = stored(dense if large is None else dense.union(large.select("node", "id")))
+    return out if dense.isEmpty() else out.union(_across(dense, labels, known, sets))
 
 
 def _cross_links(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between two blocks: for each document of the left and component of the right, the first found."""
+    """Links between the components of two blocks' documents, which stand for those between documents."""
     x, y = left.to_pylist(), right.rename_columns([c.removeprefix("r_") for c in right.column_names]).to_pylist()
-    found = []
+    found = set()
     if x and y:
         token = np.frombuffer(b"".join(m["tokens"] for m in y), np.uint8).reshape(-1, TOKENS)
         for m in x:
@@ -242,19 +262,21 @@ def _cross_links(left: pa.Table, right: pa.Table) -> pa.Table:
                     break
                 if y[k]["component"] not in done and linked(m["shingles"], y[k]["shingles"]):
                     done.add(y[k]["component"])
-                    found.append((m["id"], y[k]["id"]))
+                    found.add((m["component"], y[k]["component"]))
     return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
-def _across(large: DataFrame, labels: DataFrame, hubs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links, across components, of nodes that stayed large.
+def _across(large: DataFrame, labels: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links, across components, of nodes that are large or have many likely pairs across.
 
-    In each node the documents outside the component of its hub are dealt into blocks; each
+    In each node the documents outside its most frequent component are dealt into blocks; each
     block meets every block of the node's members. A node of any size is spread over tasks,
     each of which holds two blocks; the documents of all large nodes together are dealt as
-    one node if they share a hub's component.
+    one node if they share that component.
     """
-    at = _with_labels(large, labels).join(_with_labels(hubs.select("node", F.col("hub").alias("id")), labels).select("node", F.col("component").alias("main")), "node")
+    own = _with_labels(large, labels)
+    main = own.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    at = own.join(main, "node")
     at = stored(at.select("main", "id", "component").distinct())
     sizes = stored(
         at.groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("out")).where("out > 0")
@@ -265,7 +287,7 @@ def _across(large: DataFrame, labels: DataFrame, hubs: DataFrame, known: DataFra
     left = rows.where("component <> main").withColumn("o", place(1, F.col("outs"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = rows.withColumn("k", place(2, F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
     pick = ["main", "o", "k", "id", "component", "tokens", "shingles"]
-    return stored(left.select(*pick).groupBy("main", "o", "k").cogroup(right.select(*pick).toDF(*(f"r_{c}" for c in pick)).groupBy("r_main", "r_o", "r_k")).applyInArrow(_cross_links, "a long, b long"))
+    return stored(left.select(*pick).groupBy("main", "o", "k").cogroup(right.select(*pick).toDF(*(f"r_{c}" for c in pick)).groupBy("r_main", "r_o", "r_k")).applyInArrow(_cross_links, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A text's terms are its pairs of neighbouring characters, by class: upper and lower case,
 letters beyond ASCII, digits, white space, line ends, and each ASCII punctuation mark on its
 own. Weighted by inverse document frequency and projected on the leading singular vectors
-of a labelled sample, texts become short vectors. The sample's vectors (at most ``SAMPLE``)
+of a labelled sample, texts become short vectors. The sample's vectors (about ``SAMPLE``, chosen by a hash of the id)
 are broadcast; for every document, exact cosine products with all of them are computed in
 blocks, and the labels of the nearest vote with their similarity as weight.
 
@@ -69,7 +69,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """The model of labelled texts (doc_id, text, label): term weights, projection, and the sample's vectors and labels."""
     n = labelled.count()
     share = int(1_000_000 * min(1, 0.95 * sample / max(n, 1)))
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(sample).select("text", F.col("label").cast("double"))
+    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text", F.col("label").cast("double"))
     rows = rows.mapInArrow(_counted, "terms binary, label double").toArrow()
     if not rows.num_rows:
         return {"idf": np.zeros(TERMS), "project": np.zeros((TERMS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0)}

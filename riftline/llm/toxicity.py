@@ -4,7 +4,7 @@ A logistic regression over the presence of words. For labelled texts that name a
 text is repeated with the group's term swapped for others of its kind, and the squared
 change of the score's logit is penalised, so that the mere mention of a group moves no
 score. Word counts, vocabulary and features are made in Spark; the fit runs over the
-features of a bounded sample of labelled rows (at most ``SAMPLE``). Every document is
+features of a bounded sample of labelled rows (about ``SAMPLE``, chosen by a hash of the id). Every document is
 scored, whole.
 
 Defined results: a null or empty text has no words and gets the score of the intercept;
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) ->
     """Word weights and intercept of labelled texts (doc_id, text, label)."""
     n = labelled.count()
     share = int(1_000_000 * min(1, 0.95 * sample / max(n, 1)))
-    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(sample)
+    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,8 +2,8 @@
 
 Texts are split by the vocabulary's own pattern into words, block by block of the scan: a
 block keeps its distinct words once and each text as places in that list. The blocks'
-words meet in one distinct-word table, whose words are encoded once each; ids are joined
-back to the blocks' words, and by place to the texts. Decoding gathers each id's piece from
+words are dealt and sorted by word into one distinct-word table, where each is encoded
+once; its ids go back to the blocks that have it, and are joined there by place. Decoding gathers each id's piece from
 the id-to-piece table, which the vocabulary bounds and which is therefore broadcast.
 
 The places are made by a second pass over the texts instead of being written beside the
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text to a block, and of places to a row.
-BLOCK = 16_000_000
+BLOCK = 32_000_000
 ROW = 1_000_000
 
 
@@ -58,6 +58,15 @@ def piece_bytes(vocabulary: str) -> list[bytes]:
     return [bytes(byte[c] for c in ids[i]) if i in ids and all(c in byte for c in ids[i]) else ids.get(i, "").encode() for i in range(max(ids) + 1)]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2 to the 32nd, by byte planes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
 class _Blocks:
     """Cuts a partition's texts into blocks; gives a block's words, or its texts as places of words."""
 
@@ -100,8 +109,7 @@ class _Blocks:
 
     def _pack(self) -> None:
         if self.ids:
-            planes = np.concatenate(self.places).view(np.uint8).reshape(-1, 4).T.tobytes()
-            self.rows.append((self.ids, self.lengths, zstandard.compress(planes, 3)))
+            self.rows.append((self.ids, self.lengths, packed(np.concatenate(self.places))))
             self._row()
 
     def close(self) -> Iterator[pa.RecordBatch]:
@@ -136,8 +144,12 @@ def _blocks(docs: DataFrame, special: list[str], give_words: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+#: Entries of the word table that a task holds before it hands them on.
+HELD = 2_000_000
+
+
 def _encoded(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids) of distinct words."""
+    """Rows (block, check, place, word), sorted by word, to packed entries (block, check, places, sizes, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -148,31 +160,57 @@ def _encoded(words: DataFrame, vocabulary: str) -> DataFrame:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.column(0).slice(a, 2048)
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32()))], names=["word", "tokens"])
+        held, count = [], 0
+        last: tuple[str | None, list[int]] = (None, [])
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            block, check, place, size, first = (np.concatenate([h[k] for h in held]) for k in range(5))
+            flat = np.concatenate([h[5] for h in held])
+            first = first + np.repeat(np.cumsum([0, *(len(h[5]) for h in held[:-1])]), [len(h[0]) for h in held])
+            order = np.argsort(block, kind="stable")
+            cuts = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[a:b]
+                n = size[at]
+                ids = flat[np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(block[at[:1]]), pa.array(check[at[:1]]), *(pa.array([packed(x)], pa.binary()) for x in (place[at], n, ids))], names=["block", "check", "places", "sizes", "tokens"])
 
-    return words.mapInArrow(run, "word string, tokens array<int>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(3).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            ids = [e.ids for e in tokenizer.encode_batch_fast(distinct[distinct[0] == last[0] :], add_special_tokens=False)]
+            ids = [last[1], *ids] if distinct[0] == last[0] else ids
+            last = (distinct[-1], ids[-1])
+            index, size = coded.indices.to_numpy(), np.array([len(x) for x in ids], np.int64)
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), size[index], first[index], np.fromiter((i for x in ids for i in x), np.int64)))
+            count += batch.num_rows
+            if count >= HELD:
+                yield from handed_on()
+                held, count = [], 0
+        if held:
+            yield from handed_on()
+
+    return words.mapInArrow(run, "block long, check long, places binary, sizes binary, tokens binary")
 
 
 def _texts(pieces: list[bytes]):
     """Joins a block's encoded words to its texts by place, and pieces to ids."""
 
     def run(words: pa.Table, texts: pa.Table) -> pa.Table:
-        place = words.column("place").to_numpy()
-        tokens = words.column("tokens").combine_chunks()
-        order = np.empty(len(place), np.int64)
-        order[place] = np.arange(len(place))
-        tokens = tokens.take(pa.array(order))
-        flat, bounds = tokens.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        parts = [[unpacked(x.as_py()).astype(np.int64) for x in words.column(c)] for c in ("places", "sizes", "tokens")]
+        place, length, mixed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+        order = np.argsort(place)
+        length, start = length[order], (np.cumsum(length) - length)[order]
+        bounds = np.r_[0, np.cumsum(length)]
+        flat = mixed[np.repeat(start - bounds[:-1], length) + np.arange(len(mixed))]
         as_bytes = [b"".join(map(pieces.__getitem__, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         size = np.diff(bounds)
         out = []
         for row in range(texts.num_rows):
-            planes = np.frombuffer(zstandard.decompress(texts.column("places")[row].as_py()), np.uint8)
-            places = np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view(np.uint32)
+            places = unpacked(texts.column("places")[row].as_py())
             if len(places) and (not len(place) or int(texts.column("check")[row].as_py()) >> 32 != len(place)):
                 raise RuntimeError("a block's words are not those of its texts: the input changed between two passes; store it as a table first")
             lengths = np.array(texts.column("lengths")[row].as_py(), np.int64)
@@ -196,9 +234,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         vocabulary = f.read()
     special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-    words = _blocks(docs, special, True).repartition("word")
-    distinct = _encoded(words.select("word").distinct(), vocabulary)
-    back = words.join(distinct, "word").select("block", "check", "place", "tokens")
+    words = _blocks(docs, special, True).repartition("word").sortWithinPartitions("word")
+    back = _encoded(words, vocabulary)
     key = ["block", "check"]
     return back.groupBy(*key).cogroup(_blocks(docs, special, False).groupBy(*key)).applyInArrow(_texts(piece_bytes(vocabulary)), "doc_id long, ids array<int>, decoded string")
 

@@ -242,7 +242,8 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     more = apart.join(mixed_nodes, "node").join(known, "id").groupBy("node").agg(F.collect_list(member).alias("m")).select("node", "m").mapInArrow(lambda b: _pairs_of(b, False), "a long, b long, node long")
     more = stored(more.distinct())
     few = stored(more.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    out = first if few.isEmpty() else first.union(stored(_confirmed(few, sets)))
+    joined = labels.select(F.col("component").alias("a"), F.col("id").alias("b"))  # stands for the links found first
+    out = joined if few.isEmpty() else joined.union(stored(_confirmed(few, sets)))
     dense = more.where("b is null").select("node", F.col("a").alias("id"))
     dense = stored(dense if large is None else dense.union(large.select("node", "id")))
     return out if dense.isEmpty() else out.union(_across(dense, labels, known, sets))

@@ -225,9 +225,9 @@ def _q(spark, d):
     return annotate.pair_enrichment(evidence.pair_density(_disc(spark, d)), 6).withColumn("enrichment", F.round("enrichment", 6))
 
 
-@_query("nb_window_moments", "select chrom, round(mean, 6) mean, round(var, 5) var from mom")
+@_query("nb_window_moments", "select chrom, round(mean, 6) mean, round(var, 10) var from mom")
 def _q(spark, d):
-    return background.window_moments(background.bins(_disc(spark, d))).select("chrom", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"))
+    return background.window_moments(background.bins(_disc(spark, d))).select("chrom", F.round("mean", 6).alias("mean"), F.round("var", 10).alias("var"))
 
 
 @_query("nb_params", "select chrom, round(case when mean<=0 or var<=mean then 1e6 else least(greatest(mean*mean/(var-mean),0.01),1e8) end, 5) r, round(case when mean<=0 then 0.999 when var<=mean then 1e6/(1e6+mean) else mean/var end, 6) p from mom")

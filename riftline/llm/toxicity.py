@@ -1,6 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic regression over the presence of words. For labelled texts that name a group, the
+A logistic regression over the presence of words and of their stems (first letters), so that
+a word whose ending was never seen still counts. For labelled texts that name a group, the
 text is repeated with the group's term swapped for others of its kind, and the squared
 change of the score's logit is penalised, so that the mere mention of a group moves no
 score. Word counts, vocabulary and features are made in Spark; the fit runs over the
@@ -32,8 +33,10 @@ LEAST = 3
 TELLING = 3.0
 BOUND = 0.7
 PENALTY = 1.0
-DECAY = 2e-4
+DECAY = 5e-5
 STEPS = 300
+#: Letters of the stems of longer words.
+STEMS = (4, 5, 6)
 
 # fixed values: terms that name groups, by kind; a swap stays within its kind
 KINDS = (
@@ -58,6 +61,12 @@ def word_set(text: str | None) -> set[str]:
     return set(_LETTERS.findall(text.lower())) if text else set()
 
 
+def features(text: str | None) -> set[str]:
+    """Words of a text, and stems (with an asterisk) of those that name no group."""
+    words = word_set(text)
+    return words | {f"{w[:k]}*" for w in words if w not in _KIND for k in STEMS if len(w) > k}
+
+
 def swaps(words: set[str]) -> list[tuple[str, str]]:
     """(term, other) for each group term of a text and each other of its kind that it lacks."""
     return [(t, o) for t in words if t in _KIND for o in KINDS[_KIND[t]] if o not in words]
@@ -96,7 +105,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) ->
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(word_set(t)) for t in batch.column(0).to_pylist()]
+            words = [sorted(features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "label"])
 
     rows = stored(some.select("text", F.col("label").cast("int")).mapInArrow(sets, "words array<string>, label int"))
@@ -133,7 +142,7 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float, keep: tu
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                logits = [sum(weights[w] for w in sorted(word_set(t) & known)) + intercept for t in part.column(0).to_pylist()]
+                logits = [sum(weights[w] for w in sorted(features(t) & known)) + intercept for t in part.column(0).to_pylist()]
                 values = [1 / (1 + math.exp(-max(-40.0, min(40.0, x)))) if intercept > -math.inf else 0.0 for x in logits]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(values, pa.float64())], names=[*keep, "toxicity"])
 

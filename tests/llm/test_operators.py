@@ -180,3 +180,8 @@ def test_nearest(spark):
         hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:20].tolist()))
     assert hits / (15 * 20) >= 0.9 and len(got) == 300
     assert nearest.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_toxicity_stems():
+    assert toxicity.features("Idiotic muslims") == {"idiotic", "muslims", "idio*", "idiot*", "idioti*"}
+    assert toxicity.features(None) == set()

@@ -42,3 +42,41 @@ def test_bed_and_bnd(spark, tmp_path):
 def test_merged_intervals(spark):
     rows = spark.createDataFrame([("t", "c", 1, 5), ("t", "c", 5, 9), ("t", "c", 2, 3), ("t", "c", 11, 12)], "track string, chrom string, start_pos long, end_pos long")
     assert sorted(tuple(r)[2:] for r in annotate.merged_intervals(rows).collect()) == [(1, 9), (11, 12)]
+
+
+def test_clip_pileups_against_brute_force(spark):
+    import random
+
+    from riftline.operators import clips
+
+    rng = random.Random(5)
+    rows = [("chr1", rng.choice(("left", "right")), rng.randrange(400)) for _ in range(300)]
+    want = set()
+    for side in ("left", "right"):
+        groups = []
+        for pos in sorted(p for _, s, p in rows if s == side):
+            if groups and pos - groups[-1][0] <= 10:
+                groups[-1].append(pos)
+            else:
+                groups.append([pos])
+        want |= {("chr1", side, g[len(g) // 2], len(g)) for g in groups if len(g) >= 4}
+    got = clips.pileups(spark.createDataFrame(rows, "chrom string, clip_side string, pos long")).select("chrom", "clip_side", "pos", "depth").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_truth_takes_each_call_once(spark):
+    from riftline.operators import resolve
+
+    truth = spark.createDataFrame([(1, "chr1", 100, "chr2", 100), (2, "2", 110, "1", 105), (3, "1", 9000, "2", 9000)], "truth_id long, chrom_a string, pos_a long, chrom_b string, pos_b long")
+    calls = spark.createDataFrame([("x", "chr1", "chr2", 104, 109), ("y", "chr1", "chr2", 600, 600), ("z", "chr3", "chr4", 1, 1)], "event_id string, ca string, cb string, median_a long, median_b long")
+    got = resolve.matched(truth, calls)
+    assert {tuple(r) for r in got.collect()} == {(1, "x", 13), (2, "y", 985), (3, None, None)}
+    assert tuple(resolve.metrics(got, calls).first()) == (2, 1, 1, 0.666667, 0.666667)
+
+
+def test_reciprocal_absorption(spark):
+    from riftline.operators import resolve
+
+    rows = [("a", "++", 1000, 5000, 5, 9.0), ("b", "--", 1500, 5500, 3, 8.0), ("c", "--", 1900, 5100, 2, 7.0), ("d", "++", 2500, 5600, 4, 1.0), ("e", "+-", 1000, 5000, 6, 2.0)]
+    calls = spark.createDataFrame([(i, "chr1", "chr2", o, x, y, n, s) for i, o, x, y, n, s in rows], "event_id string, ca string, cb string, orient string, median_a long, median_b long, support long, score double")
+    assert {tuple(r) for r in resolve.absorbed(calls).collect()} == {("a", 9.0, "b", 8), ("c", 7.0, "d", 6), ("e", 2.0, None, 6)}

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import stored
 from ..settings import DEFAULTS
 
 TIERS = ("confirmed", "validated", "likely", "strong_candidate", "candidate", "filtered")
@@ -124,12 +125,24 @@ def cross_merged(rows: DataFrame, distance: int = DEFAULTS.merge_distance) -> Da
     return dealt.groupBy("ca", "cb", "near").applyInPandas(run, "event_id string, into string, support long")
 
 
+def split(rows: DataFrame, n: int = DEFAULTS.top_n_candidates) -> tuple[DataFrame, DataFrame]:
+    """All high tiers with the candidates that fill them up to ``n`` rows, best first; and the candidates that are left."""
+    kept = stored(rows.where("tier <> 'filtered'").select("event_id", "tier", "score"))
+    high, candidates = kept.where("tier <> 'candidate'"), kept.where("tier = 'candidate'")
+    fill = stored(candidates.orderBy(F.desc("score"), "event_id").limit(max(0, n - high.count())))  # at most n rows
+    return high.unionByName(fill), candidates.join(F.broadcast(fill.select("event_id")), "event_id", "left_anti")
+
+
 def selected(rows: DataFrame, n: int = DEFAULTS.top_n_candidates) -> DataFrame:
-    """High tiers, candidates up to ``n`` rows in all, by score; numbered."""
-    high = F.when(F.col("tier").isin("candidate"), 1).otherwise(0)
-    top = rows.where("tier <> 'filtered'").withColumn("high", high).orderBy("high", F.desc("score"), "event_id").limit(n)
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "event_id"))
-    return top.withColumn("cluster_id", F.format_string("CLU_%03d", place)).select("cluster_id", "event_id", "tier", "score")
+    """All high tiers, and candidates up to ``n`` rows in all, by score; numbered."""
+    top, _ = split(rows, n)
+    # high tiers are as many as the data has: numbered from each sorted partition's count, not in one task
+    row = F.monotonically_increasing_id()
+    placed = stored(top.orderBy(F.desc("score"), "event_id").select("*", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    out = placed.join(F.broadcast(starts), "part")
+    return out.withColumn("cluster_id", F.format_string("CLU_%03d", F.col("start") + F.col("at") + 1)).select("cluster_id", "event_id", "tier", "score")
 
 
 def tier_counts(rows: DataFrame) -> DataFrame:

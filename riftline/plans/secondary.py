@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import annotate, background, clips, evidence, legacy, resolve
+from ..llm.common import stored
+from ..operators import annotate, background, clips, evidence, legacy, resolve, tiers
 from ..sources import views
 from . import queries as own
 from .queries import ORACLES, QUERIES, _query  # noqa: F401
@@ -119,8 +120,11 @@ def _q(spark, d):
 
 @_query("near_miss")
 def _q(spark, d):
-    """The best filtered clusters: a top-k report."""
-    return own.tiered(spark, d).where("tier = 'filtered' and support >= 3").orderBy(F.desc("support"), "event_id").limit(20).select("event_id", "support", F.coalesce("excluded", "rejected").alias("reason"))
+    """The candidates that ``top_n`` has no room for, and the 20 best filtered clusters."""
+    rows = stored(own.tiered(spark, d).select("event_id", "tier", "score", "support", F.coalesce("excluded", "rejected").alias("reason")))
+    _, left = tiers.split(rows)
+    left = rows.join(left.select("event_id"), "event_id", "left_semi").select("event_id", "support", F.lit("beyond_top_n").alias("reason"))
+    return left.unionByName(rows.where("tier = 'filtered' and support >= 3").orderBy(F.desc("support"), "event_id").limit(20).select("event_id", "support", "reason"))
 
 
 @_query("ring_last_k", "select event_type, event_id, k from (select event_type, event_id, row_number() over (partition by event_type order by event_id desc) k from events) where k <= 60")

@@ -80,3 +80,14 @@ def test_reciprocal_absorption(spark):
     rows = [("a", "++", 1000, 5000, 5, 9.0), ("b", "--", 1500, 5500, 3, 8.0), ("c", "--", 1900, 5100, 2, 7.0), ("d", "++", 2500, 5600, 4, 1.0), ("e", "+-", 1000, 5000, 6, 2.0)]
     calls = spark.createDataFrame([(i, "chr1", "chr2", o, x, y, n, s) for i, o, x, y, n, s in rows], "event_id string, ca string, cb string, orient string, median_a long, median_b long, support long, score double")
     assert {tuple(r) for r in resolve.absorbed(calls).collect()} == {("a", 9.0, "b", 8), ("c", 7.0, "d", 6), ("e", 2.0, None, 6)}
+
+
+def test_selection_keeps_high_tiers(spark):
+    high = [(f"h{i:03d}", ("confirmed", "validated", "likely", "strong_candidate")[i % 4], float(i % 50)) for i in range(130)]
+    low = [(f"c{i}", "candidate", 100.0 + i) for i in range(5)]
+    rows = spark.createDataFrame([*high, *low, ("f", "filtered", 0.0)], "event_id string, tier string, score double").repartition(7)
+    got = tiers.selected(rows).collect()
+    want = sorted(high, key=lambda r: (-r[2], r[0]))
+    assert [tuple(r) for r in sorted(got, key=lambda r: int(r.cluster_id[4:]))] == [(f"CLU_{i:03d}", *r) for i, r in enumerate(want, 1)]
+    top, left = tiers.split(rows, 133)
+    assert {r.event_id for r in top.collect()} == {r[0] for r in high} | {"c4", "c3", "c2"} and {r.event_id for r in left.collect()} == {"c0", "c1"}

@@ -66,6 +66,15 @@ def best_identity(segdups: DataFrame) -> DataFrame:
     return segdups.withColumn("bin", F.explode(F.sequence(kb("start_pos"), kb("end_pos")))).groupBy("chrom", "bin").agg(F.max("pct_identity").alias("max_pct"))
 
 
+def with_identity(clusters: DataFrame, best: DataFrame) -> DataFrame:
+    """Adds segdup_pct_a and segdup_pct_b, the highest identity of the duplications in each side's 1 kb bin; 0 where there are none."""
+    out = clusters
+    for s in "ab":
+        own = best.select(F.col("chrom").alias(f"c{s}"), F.col("bin").alias(f"kb_{s}"), F.col("max_pct").alias(f"segdup_pct_{s}"))
+        out = out.withColumn(f"kb_{s}", F.floor(F.col(f"median_{s}") / 1000).cast("long")).join(own, [f"c{s}", f"kb_{s}"], "left").drop(f"kb_{s}")
+    return out.fillna({"segdup_pct_a": 0.0, "segdup_pct_b": 0.0})
+
+
 def banded(left: DataFrame, right: DataFrame, band: int = DEFAULTS.band) -> DataFrame:
     """Pairs with equal contigs whose positions differ by at most ``band`` on both sides.
 

@@ -39,8 +39,9 @@ def reject_reason(promiscuous: int = DEFAULTS.promiscuous_threshold) -> Column:
 def tier() -> Column:
     """Tier of a cluster that isn't excluded or rejected (column ``gone``)."""
     c = F.col
-    clean = ~F.arrays_overlap(F.array_union("tracks_a", "tracks_b"), F.array(F.lit("encode_blacklist"))) & (F.greatest("partners_a", "partners_b") < DEFAULTS.promiscuous_threshold)
-    wide = (c("pr") >= 15) & (c("sr") == 0) & (c("lcr_a") <= 1.5) & (c("lcr_b") <= 1.5) & (c("starts_a") >= 10) & (c("starts_b") >= 10) & clean
+    unmasked = ~F.arrays_overlap(F.array_union("tracks_a", "tracks_b"), F.array(F.lit("encode_blacklist"))) & (c("segdup_pct_a") < 95) & (c("segdup_pct_b") < 95)
+    clean = unmasked & (F.greatest("partners_a", "partners_b") < DEFAULTS.promiscuous_threshold)
+    wide = (c("pr") >= 15) & (c("sr") == 0) & (c("lcr_a") <= 1.5) & (c("lcr_b") <= 1.5) & (c("starts_a") >= 10) & (c("starts_b") >= 10) & unmasked
     strong = wide | ((c("pr") >= 5) & (c("sr") >= 1) & clean)
     likely = strong & ((c("sr") >= 2) | (c("n_ext") >= 1))
     validated = ((c("pr") >= 6) & (c("sr") >= 3) & (c("p_a") < 1e-6) & (c("p_b") < 1e-6) & clean) | (likely & (c("n_ext") >= 2))

@@ -90,6 +90,7 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
     c = c.join(per, "event_id", "left")
     for s in "ab":
         c = c.withColumn(f"tracks_{s}", F.coalesce(f"tracks_{s}", F.array().cast("array<string>")))
+    c = annotate.with_identity(c, annotate.best_identity(views.masks(spark, d).where("track = 'segdup'")))
     c = c.join(annotate.pair_enrichment(evidence.pair_density(disc), 6).select("ca", "cb", "enrichment"), ["ca", "cb"], "left")
     return background.background(c, disc)
 

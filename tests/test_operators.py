@@ -91,3 +91,30 @@ def test_selection_keeps_high_tiers(spark):
     assert [tuple(r) for r in sorted(got, key=lambda r: int(r.cluster_id[4:]))] == [(f"CLU_{i:03d}", *r) for i, r in enumerate(want, 1)]
     top, left = tiers.split(rows, 133)
     assert {r.event_id for r in top.collect()} == {r[0] for r in high} | {"c4", "c3", "c2"} and {r.event_id for r in left.collect()} == {"c0", "c1"}
+
+
+def test_tiers_against_the_ladder(spark):
+    import itertools
+
+    def want(pr, sr, pct, tracks, partners, lcr, p, n_ext):
+        unmasked = pct < 95 and "encode_blacklist" not in tracks
+        clean = unmasked and partners < 5
+        strong = (pr >= 15 and sr == 0 and lcr <= 1.5 and unmasked) or (pr >= 5 and sr >= 1 and clean)
+        likely = strong and (sr >= 2 or n_ext >= 1)
+        validated = (pr >= 6 and sr >= 3 and p < 1e-6 and clean) or (likely and n_ext >= 2)
+        if validated:
+            return "confirmed" if n_ext >= 3 else "validated"
+        return "likely" if likely else "strong_candidate" if strong else "candidate" if pr >= 3 or sr >= 1 else "filtered"
+
+    cases = list(itertools.product((2, 5, 6, 15), (0, 1, 3), (0.0, 94.0, 95.0, 99.0), ([], ["encode_blacklist"]), (0, 6), (1.0, 2.0), (1e-9, 0.1), (0, 1, 2, 3)))
+    rows = [(i, pr, sr, pct if i % 2 else 0.0, 0.0 if i % 2 else pct, tracks, [], partners, 0, lcr, 0.0, 12, 12, p, p, n, False) for i, (pr, sr, pct, tracks, partners, lcr, p, n) in enumerate(cases)]
+    fields = "i int, pr int, sr int, segdup_pct_a double, segdup_pct_b double, tracks_a array<string>, tracks_b array<string>, partners_a int, partners_b int, lcr_a double, lcr_b double, starts_a int, starts_b int, p_a double, p_b double, n_ext int, gone boolean"
+    got = {r.i: r.tier for r in spark.createDataFrame(rows, fields).select("i", tiers.tier().alias("tier")).collect()}
+    assert got == {i: want(*case) for i, case in enumerate(cases)}
+
+
+def test_identity_of_each_side(spark):
+    segdups = spark.createDataFrame([("c1", 1500, 2500, 96.0), ("c1", 2100, 2200, 98.0), ("c2", 0, 10, 91.0)], "chrom string, start_pos long, end_pos long, pct_identity double")
+    rows = spark.createDataFrame([("x", "c1", "c2", 1100, 900), ("y", "c1", "c2", 2900, 1000), ("z", "c1", "c3", 3000, 5)], "event_id string, ca string, cb string, median_a long, median_b long")
+    got = annotate.with_identity(rows, annotate.best_identity(segdups)).select("event_id", "segdup_pct_a", "segdup_pct_b").collect()
+    assert {tuple(r) for r in got} == {("x", 96.0, 91.0), ("y", 98.0, 0.0), ("z", 0.0, 0.0)}

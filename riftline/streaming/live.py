@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import shared_dir
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -16,12 +18,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
 
 
-def drained(agg: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs an aggregate stream over everything available and returns its result."""
-    name = f"live_{uuid.uuid4().hex}"
-    query = agg.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(agg: DataFrame) -> DataFrame:
+    """Runs an aggregate stream over everything available and returns its result.
+
+    Executors write the result, and the query its state, in the shared folder. A batch of the
+    complete mode holds the whole result, so each overwrites the one before.
+    """
+    spark = agg.sparkSession
+    path, written = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/result")
+        written.append(batch)
+
+    query = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return agg.sparkSession.table(name)
+    return spark.read.schema(agg.schema).parquet(f"{path}/result") if written else spark.createDataFrame([], agg.schema)
 
 
 def counts(stream: DataFrame, width: str, slide: str | None = None) -> DataFrame:

@@ -118,3 +118,15 @@ def test_identity_of_each_side(spark):
     rows = spark.createDataFrame([("x", "c1", "c2", 1100, 900), ("y", "c1", "c2", 2900, 1000), ("z", "c1", "c3", 3000, 5)], "event_id string, ca string, cb string, median_a long, median_b long")
     got = annotate.with_identity(rows, annotate.best_identity(segdups)).select("event_id", "segdup_pct_a", "segdup_pct_b").collect()
     assert {tuple(r) for r in got} == {("x", 96.0, 91.0), ("y", 98.0, 0.0), ("z", 0.0, 0.0)}
+
+
+def test_stream_results_lie_in_the_shared_folder(spark):
+    import os
+
+    from riftline.llm.common import shared_dir
+    from riftline.streaming import live
+
+    got = live.drained(live.sessions(live.events(spark, "/root/testdata/sf0.001"), "2 hours"))
+    assert got.count() and all(shared_dir(spark).removeprefix("file:") in f for f in got.inputFiles())
+    folder = os.path.dirname(os.path.dirname(got.inputFiles()[0].removeprefix("file://")))
+    assert os.path.isdir(f"{folder}/state/state") and os.path.isdir(f"{folder}/state/commits")

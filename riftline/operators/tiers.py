@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,26 +104,41 @@ def anchored(rows: DataFrame, window: int = DEFAULTS.breakpoint_merge_window) ->
 def cross_merged(rows: DataFrame, distance: int = DEFAULTS.merge_distance) -> DataFrame:
     """Merges a cluster into the one before if both medians lie within ``distance``; medians are recomputed after each merge.
 
-    ``rows`` are reads with their cluster; returns (event_id, into, support).
+    ``rows`` are reads with their cluster; returns (event_id, into, support). Reads are first
+    counted by position, so that a group grows with distinct positions and not with reads.
     """
     from .evidence import CLUSTER, islands
 
-    per = rows.groupBy(*CLUSTER).agg(F.sort_array(F.collect_list("pos_a")).alias("xs"), F.sort_array(F.collect_list("pos_b")).alias("ys"), F.median("pos_a").cast("long").alias("median_a")).withColumn("event_id", F.concat_ws("_", *CLUSTER))
+    side = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"pos_{s}").alias("pos")) for s in "ab"))
+    counted = rows.select(*CLUSTER, F.explode(side).alias("e")).groupBy(*CLUSTER, "e.side", "e.pos").agg(F.count("*").alias("n")).withColumn("event_id", F.concat_ws("_", *CLUSTER))
+
+    def mid(held: tuple[np.ndarray, np.ndarray]) -> int:
+        """The upper median of counted positions, which are sorted."""
+        total = np.cumsum(held[1])
+        return int(held[0][np.searchsorted(total, total[-1] // 2, side="right")])
+
+    def both(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        pos, at = np.unique(np.r_[x[0], y[0]], return_inverse=True)
+        n = np.zeros(len(pos), np.int64)
+        np.add.at(n, at, np.r_[x[1], y[1]])
+        return pos, n
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        mid = lambda v: sorted(v)[len(v) // 2]
+        seen = {k: (g["pos"].to_numpy(), g["n"].to_numpy()) for k, g in pdf.sort_values("pos").groupby(["event_id", "side"])}
         last, out = None, []
-        for row in sorted(pdf.to_dict("records"), key=lambda r: (mid(r["xs"]), mid(r["ys"]), r["event_id"])):
-            xs, ys = list(row["xs"]), list(row["ys"])
-            if last and abs(mid(xs) - mid(last[1])) <= distance and abs(mid(ys) - mid(last[2])) <= distance:
-                last[1].extend(xs)
-                last[2].extend(ys)
+        for *at, event in sorted((mid(seen[i, "a"]), mid(seen[i, "b"]), i) for i in pdf["event_id"].unique()):
+            own = [seen[event, s] for s in "ab"]
+            if last and all(abs(m - x) <= distance for m, x in zip(at, last[1], strict=True)):
+                joined = [both(x, y) for x, y in zip(last[2], own, strict=True)]
+                last = (last[0], [mid(x) for x in joined], joined)
             else:
-                last = (row["event_id"], xs, ys)
-            out.append((row["event_id"], last[0], len(xs)))
+                last = (event, at, own)
+            out.append((event, last[0], int(own[0][1].sum())))
         return pd.DataFrame(out, columns=["event_id", "into", "support"])
 
-    dealt = islands(per, ["ca", "cb"], "median_a", 4 * distance, "near")
+    medians = rows.groupBy(*CLUSTER).agg(F.median("pos_a").cast("long").alias("median_a"))
+    near = islands(medians.withColumn("event_id", F.concat_ws("_", *CLUSTER)), ["ca", "cb"], "median_a", 4 * distance, "near").select("event_id", "near")
+    dealt = counted.join(near, "event_id").select("ca", "cb", "near", "event_id", "side", "pos", "n")
     return dealt.groupBy("ca", "cb", "near").applyInPandas(run, "event_id string, into string, support long")
 
 

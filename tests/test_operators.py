@@ -130,3 +130,28 @@ def test_stream_results_lie_in_the_shared_folder(spark):
     assert got.count() and all(shared_dir(spark).removeprefix("file:") in f for f in got.inputFiles())
     folder = os.path.dirname(os.path.dirname(got.inputFiles()[0].removeprefix("file://")))
     assert os.path.isdir(f"{folder}/state/state") and os.path.isdir(f"{folder}/state/commits")
+
+
+def test_cross_merge_of_counted_positions(spark):
+    import random
+
+    rng, reads = random.Random(3), []
+    for a in range(0, 60_000, 300):
+        b = rng.choice((0, 400, 5000))
+        reads += [("c1", "c2", o, a, b, a + rng.randrange(200), b + rng.randrange(200)) for o in ("++", "+-") for _ in range(rng.choice((1, 3, 40)))]
+    seen = {}
+    for *cluster, x, y in reads:
+        xs, ys = seen.setdefault("_".join(map(str, cluster)), ([], []))
+        xs.append(x)
+        ys.append(y)
+    mid = lambda v: sorted(v)[len(v) // 2]
+    want, last = set(), None
+    for event, (xs, ys) in sorted(seen.items(), key=lambda r: (mid(r[1][0]), mid(r[1][1]), r[0])):
+        if last and abs(mid(xs) - mid(last[1])) <= 500 and abs(mid(ys) - mid(last[2])) <= 500:
+            last = (last[0], last[1] + xs, last[2] + ys)
+        else:
+            last = (event, xs, ys)
+        want.add((event, last[0], len(xs)))
+    got = tiers.cross_merged(spark.createDataFrame(reads, "ca string, cb string, orient string, isl_a long, isl_b long, pos_a long, pos_b long"))
+    assert {tuple(r) for r in got.collect()} == want and len({r[1] for r in want}) < len(want)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no list of a cluster's reads

@@ -2,9 +2,11 @@
 
 Entities are found by pattern: mail addresses, IPv4 addresses, payment-card and phone
 numbers, IBANs, social security numbers, MAC addresses, secrets after a telling word, and
-names after a title. Each gets a keyed replacement of its own type and format: digits for
+names after a title (up to three words, with hyphens, particles and initials, which stay) and
+other mentions of these names in the same document. Each gets a keyed replacement of its own type and format: digits for
 digits, letters for letters of the same case and script, valid octets, a card's check digit,
-names of the title's gender and the name's script.
+names of the title's gender and the name's script, composed of syllables. Given names and
+surnames are replaced each by itself, so that 'Dr Anna Fischer' and 'Frau Fischer' share one.
 
 The same entity gets the same replacement everywhere, and different ones never share one:
 over the table of distinct entities, replacements that another entity has, or that are
@@ -32,18 +34,19 @@ from .common import BROADCAST_ROWS, stored
 
 KEY = "surrogates-1"
 
-# fixed values: titles by gender, and given names and surnames by script
+# fixed values: titles by gender, and what names are composed of by script
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Г-н"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"), "n": ("Dr", "Prof", "Mx")}
-NAMES = {
-    ("LATIN", "m"): ("James", "Robert", "Michael", "David", "Thomas", "Daniel", "Martin", "Peter", "Lucas", "Hugo", "Carlos", "Pablo"),
-    ("LATIN", "f"): ("Mary", "Linda", "Susan", "Sarah", "Laura", "Anna", "Julia", "Emma", "Claire", "Elena", "Carmen", "Lucia"),
-    ("LATIN", "n"): ("Robin", "Alex", "Kim", "Sam", "Chris", "Jamie", "Taylor", "Morgan", "Jordan", "Casey", "Riley", "Quinn"),
-    ("LATIN", "last"): ("Walker", "Baker", "Carter", "Fischer", "Weber", "Schmidt", "Moreau", "Laurent", "Garcia", "Romero", "Nielsen", "Novak"),
-    ("CYRILLIC", "m"): ("Иван", "Сергей", "Павел", "Николай", "Андрей", "Борис"),
-    ("CYRILLIC", "f"): ("Анна", "Мария", "Елена", "Ольга", "Ирина", "Вера"),
-    ("CYRILLIC", "n"): ("Саша", "Женя", "Валя", "Слава"),
-    ("CYRILLIC", "last"): ("Шевченко", "Коваленко", "Бондаренко", "Ткаченко", "Мельник", "Савченко"),
+SYLLABLES = {
+    "LATIN": [x + y for x in ("b", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "br", "dr", "kr", "st") for y in ("a", "e", "i", "o", "u", "al", "en", "ir", "or", "un")],
+    "CYRILLIC": [x + y for x in "бвгдзклмнпрстф" for y in ("а", "е", "и", "о", "у", "ал", "ен", "ир", "ор", "ун")],
 }
+#: Endings of given names by gender, and of surnames, which have none.
+ENDINGS = {
+    ("LATIN", "m"): ("bert", "dus", "los", "ron"), ("LATIN", "f"): ("bella", "dina", "lia", "rina"), ("LATIN", "n"): ("bey", "dy", "ley", "ry"), ("LATIN", "last"): ("berg", "ders", "lund", "mont"),
+    ("CYRILLIC", "m"): ("дий", "слав", "мир", "тин"), ("CYRILLIC", "f"): ("дина", "лия", "мила", "рина"), ("CYRILLIC", "n"): ("ня", "ша", "ля", "ся"), ("CYRILLIC", "last"): ("енко", "чук", "ших", "дзе"),
+}
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+"  # a name, or one part of a hyphenated one
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|la|le|du|da|di|dos|zu|ter|al)[ ])*"
 
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 # in order: what an earlier pattern has found, a later one leaves alone
@@ -56,14 +59,51 @@ PATTERNS = (
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
-    ("name", r"\b(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\b\.? \K\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"),
 )
 _FIND = [(kind, regex.compile(p)) for kind, p in PATTERNS]
+_TITLE = r"(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")"
+_FULL = rf"{_WORD}(?:-{_WORD})*"
+# up to three names after one or more titles; initials and particles between them
+_NAMED = regex.compile(rf"(?<![\p{{L}}\p{{M}}-])(?P<titles>(?:{_TITLE}\b\.?[ ])+)(?P<name>(?:\p{{Lu}}\.[ ]?)*{_PARTICLES}(?!{_TITLE}\b){_FULL}(?:[ ](?:\p{{Lu}}\.[ ]?)*{_PARTICLES}(?!{_TITLE}\b){_FULL}){{0,2}})")
+_PART = regex.compile(rf"(?<![\p{{L}}\p{{M}}]){_WORD}")
+_GAP = regex.compile(rf"-|[ ](?:\p{{Lu}}\.[ ]?)*{_PARTICLES}")
 _HINT = regex.compile(r"[@\d]|(?i:token|secret|password|passwd|key)|\b(?:" + "|".join(_GENDER) + r")\b")
 
 
+def _plain(name: str) -> str:
+    """A name's form for keys: first letter upper, others lower, so that 'JONES' is 'Jones'."""
+    return name[:1].upper() + name[1:].lower()
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names after titles, by part, and every other mention of these parts in the text, with a genitive s too."""
+    known: dict[str, str] = {}
+    titled: dict[int, tuple[int, str]] = {}
+    for m in _NAMED.finditer(text):
+        genders = [_GENDER[t] for t in regex.findall(_TITLE, m["titles"])]
+        given = f"given_{next((g for g in genders if g != 'n'), 'n')}"
+        words = list(regex.finditer(_FULL, text, pos=m.start("name"), endpos=m.end("name")))
+        for i, w in enumerate(words):
+            kind = "last" if i == len(words) - 1 else given
+            for part in regex.finditer(_WORD, text, pos=w.start(), endpos=w.end()):
+                titled[part.start()] = (part.end(), kind)
+                name = _plain(part[0])
+                if name not in known or known[name] == "given_n":
+                    known[name] = kind
+    for m in _PART.finditer(text) if known else ():
+        a, b = m.span()
+        name = _plain(m[0])
+        if a in titled:
+            b, kind = titled[a]
+            yield a, b, kind, _plain(text[a:b])
+        elif name in known:
+            yield a, b, known[name], name
+        elif name.endswith("s") and name[:-1] in known:
+            yield a, b - 1, known[name[:-1]], name[:-1]
+
+
 def found(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, entity) in order, without overlaps; a name's kind tells its gender."""
+    """(start, end, kind, entity) in order, without overlaps; of names, each part is an entity, and its kind tells its gender."""
     if not _HINT.search(text):
         return []
     out: list[tuple[int, int, str, str]] = []
@@ -71,14 +111,18 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         for m in find.finditer(text):
             a, b = m.span()
             if all(b <= x or a >= y for x, y, *_ in out):
-                own = kind
-                if kind == "name":
-                    title = text[max(0, a - 12) : a].rstrip(" .").rpartition(" ")[2]
-                    own = f"name_{_GENDER.get(regex.sub(r'^.*[^\p{L}-]', '', title), 'n')}"
-                out.append((a, b, own, m[0]))
+                out.append((a, b, kind, m[0]))
+    taken = list(out)
+    out += [n for n in _names(text) if all(n[1] <= x or n[0] >= y for x, y, *_ in taken)]
     return sorted(out)
 
 
+def _mentions(text: str, hits: list[tuple[int, int, str, str]]) -> int:
+    """Number of entities in the text; adjoining parts of names are one."""
+    name = lambda h: h[2] == "last" or h[2].startswith("given")
+    return len(hits) - sum(name(x) and name(y) and x[2] != "last" and bool(_GAP.fullmatch(text, x[1], y[0])) or (name(x) and name(y) and text[x[1] : y[0]] == "-") for x, y in zip(hits, hits[1:], strict=False))
+
+
 def _draws(key: str, kind: str, entity: str, attempt: int) -> Callable[[int], int]:
     """Numbers below n, from the key, type, entity and attempt."""
     state = {"block": b"", "count": 0}
@@ -151,13 +195,13 @@ def _one(kind: str, entity: str, below: Callable[[int], int], attempt: int) -> s
         country = regex.match(r"\+\d{1,3}(?=[ .(-])", entity)
         keep = country.end() if country else 0
         return entity[:keep] + _like(entity[keep:], below)
-    if kind.startswith("name"):
-        parts, gender = entity.split(" "), kind[-1]
+    if kind == "last" or kind.startswith("given"):
         script = unicodedata.name(entity[0], "").split(" ")[0]
-        if (script, "last") not in NAMES or attempt > 8:  # names run out: letters for letters
-            return " ".join(p[0] + _like(p[1:], below) for p in parts) if attempt > 8 else _like(entity, below)
-        last, first = NAMES[script, "last"], NAMES[script, gender]
-        return last[below(len(last))] if len(parts) == 1 else f"{first[below(len(first))]} {last[below(len(last))]}"
+        if script not in SYLLABLES:  # letters for letters, and more of them where a short form's are used up
+            return _plain(_like(entity + entity[-1] * (attempt // 8), below))
+        # two or three syllables before the ending: millions of names; more where they are taken
+        parts, ends = SYLLABLES[script], ENDINGS[script, kind.removeprefix("given_")]
+        return _plain("".join(parts[below(len(parts))] for _ in range(2 + below(2) + attempt // 4)) + ends[below(len(ends))])
     return _like(entity, below)
 
 
@@ -185,6 +229,19 @@ def _drawn(rows: DataFrame, key: str) -> DataFrame:
     return rows.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, surrogate string")
 
 
+def resolved(known: DataFrame) -> DataFrame:
+    """(kind, entity, own): the kind that a name's surrogate is drawn for, so that 'Dr Anna' and 'Frau Anna' get the same.
+
+    A given name that is met with titles of one gender, and perhaps neutral ones, has that
+    gender; one that is met with both is neutral.
+    """
+    names = known.select("kind", "entity").distinct()
+    has = lambda g: F.coalesce(F.bool_or(F.col("kind") == f"given_{g}"), F.lit(False))
+    genders = names.where("kind like 'given%'").groupBy("entity").agg(has("m").alias("m"), has("f").alias("f"))
+    genders = genders.select("entity", F.when(F.expr("m and not f"), "given_m").when(F.expr("f and not m"), "given_f").otherwise("given_n").alias("gendered"))
+    return names.join(genders, "entity", "left").select("kind", "entity", F.when(F.col("kind").startswith("given"), F.col("gendered")).otherwise(F.col("kind")).alias("own"))
+
+
 def assigned(known: DataFrame, key: str = KEY) -> DataFrame:
     """Surrogates (kind, entity, attempt, surrogate) of distinct entities, no two alike and none an entity."""
     names = stored(known.select("kind", "entity").distinct())
@@ -200,8 +257,8 @@ def assigned(known: DataFrame, key: str = KEY) -> DataFrame:
         held = stored(ranked.where("not bad").drop("bad").unionByName(_drawn(again.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key)))
 
 
-def _replaced(docs: DataFrame, key: str, redrawn: dict[tuple[str, str], int] | None) -> DataFrame:
-    """``docs`` with entities replaced, and their number as pii_entities; redrawn attempts come by broadcast or in column pii_redrawn."""
+def _replaced(docs: DataFrame, key: str, redrawn: dict[tuple[str, str], tuple[str, int]] | None) -> DataFrame:
+    """``docs`` with entities replaced, and their number as pii_entities; other kinds and attempts come by broadcast or in column pii_redrawn."""
     fields = [f for f in docs.schema if f.name != "pii_redrawn"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pii_entities long"
     names = [f.name for f in fields]
@@ -214,13 +271,16 @@ def _replaced(docs: DataFrame, key: str, redrawn: dict[tuple[str, str], int] | N
                 texts, counts = [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     hits = found(text) if text else []
-                    attempts = redrawn if own is None else {(r["kind"], r["entity"]): r["attempt"] for r in own[i] or ()}
+                    attempts = redrawn if own is None else {(r["kind"], r["entity"]): (r["own"], r["attempt"]) for r in own[i] or ()}
                     at, out = 0, []
                     for x, y, kind, entity in hits:
-                        out += [text[at:x], surrogate(kind, entity, attempts.get((kind, entity), 0), key)]
+                        as_kind, attempt = attempts.get((kind, entity), (kind, 0))
+                        new = surrogate(as_kind, entity, attempt, key)
+                        named = kind == "last" or kind.startswith("given")
+                        out += [text[at:x], new.upper() if named and text[x:y].isupper() else new]
                         at = y
                     texts.append("".join([*out, text[at:]]) if hits else text)
-                    counts.append(len(hits))
+                    counts.append(_mentions(text, hits) if hits else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names] + [pa.array(counts, pa.int64())], names=[*names, "pii_entities"])
 
     return docs.mapInArrow(run, schema)
@@ -230,9 +290,11 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with every entity replaced by its surrogate, and pii_entities, their number in the text."""
     docs = docs.select(*[c for c in docs.columns if not c.startswith("pii_")])
     known = stored(entities(docs))
-    redrawn = assigned(known, key).where("attempt > 0").select("kind", "entity", "attempt")
+    kinds = stored(resolved(known))
+    drawn = assigned(kinds.select(F.col("own").alias("kind"), "entity"), key).select(F.col("kind").alias("own"), "entity", "attempt")
+    redrawn = kinds.join(drawn, ["own", "entity"]).where("attempt > 0 or own <> kind").select("kind", "entity", "own", "attempt")
     few = redrawn.limit(BROADCAST_ROWS + 1).collect()
     if len(few) <= BROADCAST_ROWS:
-        return _replaced(docs, key, {(r["kind"], r["entity"]): r["attempt"] for r in few})
-    own = known.join(redrawn, ["kind", "entity"]).groupBy(F.col("doc_id").alias("pii_doc")).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("pii_redrawn"))
+        return _replaced(docs, key, {(r["kind"], r["entity"]): (r["own"], r["attempt"]) for r in few})
+    own = known.join(redrawn, ["kind", "entity"]).groupBy(F.col("doc_id").alias("pii_doc")).agg(F.collect_list(F.struct("kind", "entity", "own", "attempt")).alias("pii_redrawn"))
     return _replaced(docs.join(own, docs["doc_id"].eqNullSafe(own["pii_doc"]), "left").drop("pii_doc"), key, None)

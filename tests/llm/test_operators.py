@@ -134,6 +134,36 @@ def test_pii(spark, docs, none):
     assert pii.assigned(many).select("surrogate").distinct().count() == 2000
 
 
+def test_pii_names_keep_gender_and_script_at_any_number(spark):
+    first = "".join
+    names = [(k, "".join(x).capitalize()) for k in ("given_m", "given_f", "given_n", "last") for x in (first(chr(97 + i // 26**j % 26) for j in range(3)) for i in range(3000))]
+    names += [("last", w) for w in ("Иванов", "Петрова")]
+    got = pii.assigned(spark.createDataFrame(names, "kind string, entity string")).collect()
+    assert len({r.surrogate for r in got}) == len(names)
+    for r in got:
+        script = "CYRILLIC" if r.entity in ("Иванов", "Петрова") else "LATIN"
+        assert r.surrogate.endswith(pii.ENDINGS[script, r.kind.removeprefix("given_")])
+
+
+def test_pii_names_corefer(spark):
+    texts = [
+        "Dr Anna Fischer met Frau Anna Fischer. Later Fischer left; Fischers Auto, Fischer's and FISCHER-Technik.",
+        "Frau Fischer und Herr Prof. Dr. Fischer.",
+        "Mr Jean-Luc Picard, later Picard and Jean-Luc. Mrs Mary O'Brien and Señor Luis de la Cruz; Dr John F. Kennedy.",
+        "Fischer is no name where no title tells so.",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.replaced(rows).orderBy("doc_id").collect()]
+    words = out[0].replace(";", "").replace(".", "").split()
+    anna, fischer = words[1], words[2]
+    assert anna.endswith(pii.ENDINGS["LATIN", "f"]) and fischer.endswith(pii.ENDINGS["LATIN", "last"])
+    assert out[0] == f"Dr {anna} {fischer} met Frau {anna} {fischer}. Later {fischer} left; {fischer}s Auto, {fischer}'s and {fischer.upper()}-Technik."
+    assert out[1] == f"Frau {fischer} und Herr Prof. Dr. {fischer}."
+    assert not any(x in out[2] for x in ("Jean", "Luc", "Picard", "Mary", "Brien", "Luis", "Cruz", "John", "Kennedy")) and " de la " in out[2]
+    jean = out[2].split()[1].rstrip(",")
+    assert "-" in jean and out[2].count(jean) == 2 and out[3] == texts[3]
+
+
 def test_toxicity_counterfactual():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(30)]

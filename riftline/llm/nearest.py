@@ -19,6 +19,7 @@ candidates than asked for, all are returned. An empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ from .common import stored
 K = 32
 #: Random orders, the length of a run in them, and what a run offers each vector.
 ORDERS, RUN, OFFER = 16, 512, 16
-#: Rounds of the descent, and how many of a vector's own and reverse neighbours take part.
-ROUNDS, OWN, BACK = 4, 28, 20
-#: Rounds of the search, vectors expanded in each, and the beam.
-HOPS, EXPAND, BEAM = 8, 24, 128
+#: The descent ends when a round changes less than this share of list entries; how many of a vector's own and reverse neighbours take part.
+CHANGED, OWN, BACK = 0.001, 28, 20
+#: Vectors expanded in each hop of the search, which ends when the beam has no other, and the beam.
+EXPAND, BEAM = 24, 128
 SIGNS = 12
 
 
@@ -149,17 +150,22 @@ def graph(packed: DataFrame) -> DataFrame:
         run = order.mapInArrow(_runs, "id long, other long, near float")
         offers = run if offers is None else offers.union(run)
     found = stored(_best(offers, "id", K))
-    for turn in range(ROUNDS):
+    for turn in count():
         edges = stored(_edges(found))
         own = _sampled(edges, "id", OWN, turn).select("id", F.col("other").alias("member"))
         back = _sampled(edges, "other", BACK, turn + 100).select(F.col("other").alias("id"), F.col("id").alias("member"))
         self = found.select("id", F.col("id").alias("member"))
         lists = own.union(back).union(self).distinct()
-        state = packed.join(found.select("id", (-F.element_at("near", -1)["least"]).alias("worst")), "id").select(F.struct("id", "v", "worst").alias("m"))
+        # a list that isn't full takes any
+        worst = F.when(F.size("near") < K, float("-inf")).otherwise(-F.element_at("near", -1)["least"])
+        state = packed.join(found.select("id", worst.cast("float").alias("worst")), "id").select(F.struct("id", "v", "worst").alias("m"))
         members = lists.join(state, F.col("member") == F.col("m.id")).groupBy("id").agg(F.collect_list("m").alias("m")).select("m")
         better = members.mapInArrow(_local, "id long, other long, near float")
         found = stored(_best(edges.union(better), "id", K))
-    return found
+        now = _edges(found)
+        # lists only get better, so that the share falls
+        if now.join(edges, ["id", "other"], "left_anti").count() <= CHANGED * now.count():
+            return found
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +186,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     asked = stored(full.select("id", F.col("id").alias("vec_id")).where(queries).select(F.col("id").alias("query")))
     own = packed.join(asked, packed["id"] == asked["query"]).select("query", F.col("v").alias("q"))
     beam = None
-    for _ in range(HOPS):
+    while True:
         if beam is None:
             ahead = asked.select("query", F.col("query").alias("node"))
         else:
             opened = Window.partitionBy("query").orderBy(F.desc("near"), "other")
             ahead = stored(beam.where("not expanded").withColumn("turn", F.row_number().over(opened)).where(F.col("turn") <= EXPAND).select("query", F.col("other").alias("node")))
+            if ahead.isEmpty():
+                break
         new = ahead.join(links, ahead["node"] == links["id"]).select("query", "other").where("other <> query").distinct()
         if beam is not None:
             new = new.join(beam.select("query", "other"), ["query", "other"], "left_anti")

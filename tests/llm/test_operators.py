@@ -212,6 +212,17 @@ def test_nearest(spark):
     assert nearest.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_descent_goes_on_until_lists_settle(spark, monkeypatch):
+    for name, value in {"ORDERS": 1, "RUN": 8, "OFFER": 2, "OWN": 4, "BACK": 3}.items():  # a poor start and small steps
+        monkeypatch.setattr(nearest, name, value)
+    rounds, sampled = set(), nearest._sampled
+    monkeypatch.setattr(nearest, "_sampled", lambda rows, key, k, salt: (rounds.add(salt % 100), sampled(rows, key, k, salt))[1])
+    x = np.random.default_rng(4).standard_normal((200, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nearest.graph(nearest.usable(table).mapInArrow(nearest._pack, "id long, v binary"))
+    assert len(rounds) > 4
+
+
 def test_toxicity_stems():
     assert toxicity.features("Idiotic muslims") == {"idiotic", "muslims", "idio*", "idiot*", "idioti*"}
     assert toxicity.features(None) == set()

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import stored
+from ..storage import stored
 from ..settings import DEFAULTS
 
 TIERS = ("confirmed", "validated", "likely", "strong_candidate", "candidate", "filtered")

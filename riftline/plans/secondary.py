@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..llm.common import stored
+from ..storage import stored
 from ..operators import annotate, background, clips, evidence, legacy, resolve, tiers
 from ..sources import views
 from . import queries as own

@@ -123,7 +123,7 @@ def test_identity_of_each_side(spark):
 def test_stream_results_lie_in_the_shared_folder(spark):
     import os
 
-    from riftline.llm.common import shared_dir
+    from riftline.storage import shared_dir
     from riftline.streaming import live
 
     got = live.drained(live.sessions(live.events(spark, "/root/testdata/sf0.001"), "2 hours"))

@@ -2,55 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, noted, shared_dir, stored  # noqa: F401
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
-_made: list[str] = []
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="riftline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def stored(df: DataFrame, droppable: bool = True) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not the work before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if droppable:
-        _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written so far, for callers that have written their own results."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _made:
-        path = hadoop(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,46 +1,68 @@
 """A corpus pipeline: toxicity, line dedup, near-dedup, mixing, and encoding of ``documents``.
 
 Counted as part of the llm subpackage. Each stage gets what the stage before has written.
+
+Defined results: null texts pass all stages and have no tokens; documents without words are
+kept, stand alone and are mixed as their source's rate says (their size counts 0); very
+long texts are read whole; of equal texts the smallest doc_id stays; rows that repeat a
+doc_id are one document to near-dedup; extra columns are carried up to mixing, whatever
+their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftline.llm import bpe, line_dedup, minhash_dedup, mixing, toxicity
-from riftline.llm.common import drop_stored, read, stored
+from riftline.llm.common import delete, noted, read, stored
+
+
+#: What each stage has written on its way, until the next stage runs on that stage's own written result.
+_scratch: dict[str, list[str]] = {}
+
+
+@contextlib.contextmanager
+def _after(spark: SparkSession, stage: str, before: str) -> Iterator[None]:
+    """Runs a stage; the tables of the stage before, of which the result is written by now, go first."""
+    delete(spark, _scratch.pop(before, []))
+    with noted() as paths:
+        yield
+    _scratch.setdefault(stage, []).extend(paths)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, learned from the labelled documents, rejects."""
-    drop_stored(spark)
-    return toxicity.without_toxic(docs, *toxicity.trained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+    with _after(spark, "toxicity", ""):
+        return toxicity.without_toxic(docs, *toxicity.trained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that repeat, within one edit, an earlier one; n_chars follows the text."""
-    drop_stored(spark)
-    out = line_dedup.deduped(docs).drop("line_dedup_lines", "line_dedup_gone")
+    with _after(spark, "line_dedup", "toxicity"):
+        out = line_dedup.deduped(docs).drop("line_dedup_lines", "line_dedup_gone")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    drop_stored(spark)
-    return minhash_dedup.keep_one(docs)
+    with _after(spark, "near_dedup", "line_dedup"):
+        return minhash_dedup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as their source's rate says."""
-    drop_stored(spark)
-    return mixing.mix(docs)
+    with _after(spark, "mixing", "near_dedup"):
+        return mixing.mix(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests of the mixed documents."""
-    drop_stored(spark)
-    return bpe.digests(docs)
+    with _after(spark, "encoding", "mixing"):
+        return bpe.digests(docs)
 
 
 STAGES = [
@@ -61,5 +83,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, droppable=False)
+            docs = stored(docs)
     return docs

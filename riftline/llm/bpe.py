@@ -3,12 +3,13 @@
 Texts are split by the vocabulary's own pattern into words, block by block of the scan: a
 block keeps its distinct words once and each text as places in that list. The blocks'
 words are dealt and sorted by word into one distinct-word table, where each is encoded
-once; its ids go back to the blocks that have it, and are joined there by place. Decoding gathers each id's piece from
-the id-to-piece table, which the vocabulary bounds and which is therefore broadcast.
+once; its ids go back to the blocks that have it, and are joined there by place. Decoding
+joins the ids that each block uses with the id-to-piece table, which the vocabulary bounds
+and which is therefore broadcast; a text's pieces are then gathered by id.
 
 The places are made by a second pass over the texts instead of being written beside the
 words. Both passes must deal the same rows to the same blocks, which holds for tables; a
-block's size and checksum are part of the join key, and a block without its words raises.
+checksum of a block's words is part of the join key, and a block without its words raises.
 
 Defined results: a null text counts as empty and has no ids; a special token's string in a
 text is that token, as the tokenizers library has it; repeated rows give repeated results;
@@ -70,12 +71,12 @@ def unpacked(x: bytes) -> np.ndarray:
 class _Blocks:
     """Cuts a partition's texts into blocks; gives a block's words, or its texts as places of words."""
 
-    def __init__(self, pattern: str, special: list[str], give_words: bool):
+    def __init__(self, pattern: str, special: list[str], give_words: bool, block: int, row: int):
         self.find = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.special = set(special)
-        self.give_words = give_words
-        self.key = TaskContext.get().partitionId() << 24
+        self.give_words, self.block_chars, self.most_row_chars = give_words, block, row
+        self.part, self.no = TaskContext.get().partitionId(), 0
         self._open()
 
     def _open(self) -> None:
@@ -102,9 +103,9 @@ class _Blocks:
             self.lengths.append(len(at))
             self.places.append(at)
             self.row_chars += size
-            if self.row_chars >= ROW:
+            if self.row_chars >= self.most_row_chars:
                 self._pack()
-        if self.chars >= BLOCK:
+        if self.chars >= self.block_chars:
             yield from self.close()
 
     def _pack(self) -> None:
@@ -115,24 +116,26 @@ class _Blocks:
     def close(self) -> Iterator[pa.RecordBatch]:
         self._pack()
         words = list(self.words)
-        check = (len(words) << 32) | zlib.crc32("".join(words).encode("utf-8", "surrogatepass"))
+        # 22 bits for the partition, 10 for the block in it, 31 of the words' checksum
+        check = zlib.crc32("".join(words).encode(), zlib.crc32(str(len(words)).encode()))
+        key = self.part << 41 | self.no << 31 | check >> 1
         if self.give_words:
             for a in range(0, len(words), 8192):
                 part = words[a : a + 8192]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([self.key] * n, pa.int64()), pa.array([check] * n, pa.int64()), pa.array(range(a, a + n), pa.int32()), pa.array(part, pa.string())], names=["block", "check", "place", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(a, a + n), pa.int32()), pa.array(part, pa.string())], names=["block", "place", "word"])
         else:
             for ids, lengths, packed in self.rows:
-                yield pa.RecordBatch.from_arrays([pa.array([self.key]), pa.array([check]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "check", "ids", "lengths", "places"])
-        self.key += 1
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "ids", "lengths", "places"])
+        self.no += 1
         self._open()
 
 
-def _blocks(docs: DataFrame, special: list[str], give_words: bool) -> DataFrame:
+def _blocks(docs: DataFrame, special: list[str], give_words: bool, block: int, row: int) -> DataFrame:
     pattern = _pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks(pattern, special, give_words)
+        blocks = _Blocks(pattern, special, give_words, block, row)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
@@ -140,16 +143,16 @@ def _blocks(docs: DataFrame, special: list[str], give_words: bool) -> DataFrame:
                     yield from blocks.add(doc_id, text)
         yield from blocks.close()
 
-    schema = "block long, check long, place int, word string" if give_words else "block long, check long, ids array<long>, lengths array<int>, places binary"
+    schema = "block long, place int, word string" if give_words else "block long, ids array<long>, lengths array<int>, places binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 #: Entries of the word table that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 500_000
 
 
-def _encoded(words: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows (block, check, place, word), sorted by word, to packed entries (block, check, places, sizes, tokens)."""
+def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
+    """Rows (block, place, word), sorted by word, to packed entries (block, places, sizes, tokens) with the distinct ids they use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -164,85 +167,125 @@ def _encoded(words: DataFrame, vocabulary: str) -> DataFrame:
         last: tuple[str | None, list[int]] = (None, [])
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            block, check, place, size, first = (np.concatenate([h[k] for h in held]) for k in range(5))
-            flat = np.concatenate([h[5] for h in held])
-            first = first + np.repeat(np.cumsum([0, *(len(h[5]) for h in held[:-1])]), [len(h[0]) for h in held])
-            order = np.argsort(block, kind="stable")
+            block, place, size, first = (np.concatenate([h[k] for h in held]) for k in range(4))
+            flat = np.concatenate([h[4] for h in held])
+            first += np.repeat(np.cumsum([0, *(len(h[4]) for h in held[:-1])]), [len(h[0]) for h in held]).astype(np.int32)
+            held.clear()
+            order = np.argsort(block, kind="stable").astype(np.int32)
             cuts = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 at = order[a:b]
                 n = size[at]
                 ids = flat[np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(block[at[:1]]), pa.array(check[at[:1]]), *(pa.array([packed(x)], pa.binary()) for x in (place[at], n, ids))], names=["block", "check", "places", "sizes", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[at[:1]]), *(pa.array([packed(x)], pa.binary()) for x in (place[at], n, ids)), pa.array([np.unique(ids)], pa.list_(pa.int32()))], names=["block", "places", "sizes", "tokens", "used"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column(3).dictionary_encode()
+            coded = batch.column(2).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             ids = [e.ids for e in tokenizer.encode_batch_fast(distinct[distinct[0] == last[0] :], add_special_tokens=False)]
             ids = [last[1], *ids] if distinct[0] == last[0] else ids
             last = (distinct[-1], ids[-1])
-            index, size = coded.indices.to_numpy(), np.array([len(x) for x in ids], np.int64)
-            first = np.r_[0, np.cumsum(size)[:-1]]
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), size[index], first[index], np.fromiter((i for x in ids for i in x), np.int64)))
+            index, size = coded.indices.to_numpy(), np.array([len(x) for x in ids], np.int32)
+            first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int32)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), size[index], first[index], np.fromiter((i for x in ids for i in x), np.int32)))
             count += batch.num_rows
-            if count >= HELD:
+            if count >= most:
                 yield from handed_on()
-                held, count = [], 0
+                count = 0
         if held:
             yield from handed_on()
 
-    return words.mapInArrow(run, "block long, check long, places binary, sizes binary, tokens binary")
+    return words.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, used array<int>")
 
 
-def _texts(pieces: list[bytes]):
-    """Joins a block's encoded words to its texts by place, and pieces to ids."""
+def _with_pieces(entries: DataFrame, pieces: list[bytes]) -> DataFrame:
+    """The packed entries, and beside them the ids each block uses, joined with their pieces and packed as (block, ids, pieces)."""
+    table = entries.sparkSession.createDataFrame(pa.table([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["id", "piece"]))
+    own = F.struct("places", "sizes", "tokens", F.lit(None).cast("int").alias("id"))
+    none = F.lit(None).cast("binary")
+    ids = F.transform("used", lambda i: F.struct(none.alias("places"), none.alias("sizes"), none.alias("tokens"), i.alias("id")))
+    flat = entries.select("block", F.explode(F.concat(F.array(own), ids)).alias("e")).select("block", "e.*")
+    # a row for each id of the vocabulary
+    joined = flat.join(F.broadcast(table), "id", "left").select("block", "places", "sizes", "tokens", "id", "piece")
 
-    def run(words: pa.Table, texts: pa.Table) -> pa.Table:
-        parts = [[unpacked(x.as_py()).astype(np.int64) for x in words.column(c)] for c in ("places", "sizes", "tokens")]
-        place, length, mixed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
-        order = np.argsort(place)
-        length, start = length[order], (np.cumsum(length) - length)[order]
-        bounds = np.r_[0, np.cumsum(length)]
-        flat = mixed[np.repeat(start - bounds[:-1], length) + np.arange(len(mixed))]
-        as_bytes = [b"".join(map(pieces.__getitem__, flat[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        size = np.diff(bounds)
-        out = []
-        for row in range(texts.num_rows):
-            places = unpacked(texts.column("places")[row].as_py())
-            if len(places) and (not len(place) or int(texts.column("check")[row].as_py()) >> 32 != len(place)):
-                raise RuntimeError("a block's words are not those of its texts: the input changed between two passes; store it as a table first")
-            lengths = np.array(texts.column("lengths")[row].as_py(), np.int64)
-            ends = np.cumsum(lengths)
-            n = size[places]
-            # all ids of the row at once: the run of each word's ids, one after the other
-            first = np.repeat(bounds[places] - np.r_[0, np.cumsum(n)[:-1]], n) if len(places) else np.zeros(0, np.int64)
-            ids = flat[first + np.arange(len(first))]
-            per = np.add.reduceat(np.r_[n, 0], np.minimum(ends - lengths, len(n))) * (lengths > 0)
-            texts_out = [b"".join(map(as_bytes.__getitem__, places[e - m : e].tolist())).decode("utf-8", "replace") for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(ids, pa.int32()))
-            out.append(pa.table([pa.array(texts.column("ids")[row].as_py(), pa.int64()), listed, pa.array(texts_out, pa.string())], names=["doc_id", "ids", "decoded"]))
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names=["doc_id", "ids", "decoded"])
-        return pa.concat_tables(out) if out else empty
-
-    return run
-
-
-def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, id = batch.column(0).to_numpy(), batch.column(4)
+            entry = id.is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, entry[1:] | entry[:-1] | (block[1:] != block[:-1]), True]) if batch.num_rows else np.zeros(1, int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if entry[a]:
+                    out = [*(batch.column(c).slice(a, 1) for c in range(4)), pa.array([None], pa.binary()), pa.array([None], pa.binary())]
+                else:
+                    own = batch.column(5).slice(a, b - a).to_pylist()
+                    texts = packed(np.array([len(x) for x in own])) + b"".join(own)
+                    out = [pa.array(block[a : a + 1]), *[pa.array([None], pa.binary())] * 3, pa.array([packed(id.slice(a, b - a).to_numpy())], pa.binary()), pa.array([texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["block", "places", "sizes", "tokens", "ids", "pieces"])
+
+    return joined.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, ids binary, pieces binary")
+
+
+def _pieces_of(words: pa.Table) -> dict[int, bytes]:
+    """A block's id-to-piece table."""
+    out = {}
+    for ids, pieces in zip(words.column("ids"), words.column("pieces"), strict=True):
+        if ids.is_valid:
+            own, data = unpacked(ids.as_py()), pieces.as_py()
+            head = zstandard.ZstdDecompressor().decompressobj()
+            sizes = np.ascontiguousarray(np.frombuffer(head.decompress(data), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+            text, ends = head.unused_data, np.cumsum(sizes).tolist()
+            out.update(zip(own.tolist(), (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+    return out
+
+
+def _texts(words: pa.Table, texts: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Joins a block's encoded words to its texts by place, and pieces to ids."""
+    parts = [[unpacked(x.as_py()).astype(np.int64) for x in words.column(c) if x.is_valid] for c in ("places", "sizes", "tokens")]
+    place, length, mixed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+    piece = _pieces_of(words)
+    order = np.argsort(place)
+    length, start = length[order], (np.cumsum(length) - length)[order]
+    bounds = np.r_[0, np.cumsum(length)]
+    flat = mixed[np.repeat(start - bounds[:-1], length) + np.arange(len(mixed))]
+    size = np.diff(bounds)
+    for row in range(texts.num_rows):
+        places = unpacked(texts.column("places")[row].as_py())
+        if len(places) and int(places.max()) >= len(place):
+            raise RuntimeError("a block's words are not those of its texts: the input changed between two passes; store it as a table first")
+        lengths = np.array(texts.column("lengths")[row].as_py(), np.int64)
+        ends = np.cumsum(lengths)
+        n = size[places]
+        # all ids of the row at once: the run of each word's ids, one after the other
+        first = np.repeat(bounds[places] - np.r_[0, np.cumsum(n)[:-1]], n) if len(places) else np.zeros(0, np.int64)
+        ids = flat[first + np.arange(len(first))]
+        per = np.add.reduceat(np.r_[n, 0], np.minimum(ends - lengths, len(n))) * (lengths > 0)
+        until = np.r_[0, np.cumsum(per)]
+        own = list(map(piece.__getitem__, ids.tolist()))
+        decoded = [b"".join(own[a:b]).decode("utf-8", "replace") for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
+        listed = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(texts.column("ids")[row].as_py(), pa.int64()), listed, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+
+
+def _assembled(words: pa.Table, texts: pa.Table) -> pa.Table:
+    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names=["doc_id", "ids", "decoded"])
+    return pa.Table.from_batches(_texts(words, texts), empty.schema)
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, block: int = BLOCK, row: int = ROW, held: int = HELD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, ids array<int>, and decoded, the text of those ids."""
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         vocabulary = f.read()
     special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
-    words = _blocks(docs, special, True).repartition("word").sortWithinPartitions("word")
-    back = _encoded(words, vocabulary)
-    key = ["block", "check"]
-    return back.groupBy(*key).cogroup(_blocks(docs, special, False).groupBy(*key)).applyInArrow(_texts(piece_bytes(vocabulary)), "doc_id long, ids array<int>, decoded string")
+    words = _blocks(docs, special, True, block, row).repartition("word").sortWithinPartitions("word")
+    back = _with_pieces(_encoded(words, vocabulary, held), piece_bytes(vocabulary))
+    return back.groupBy("block").cogroup(_blocks(docs, special, False, block, row).groupBy("block")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, **sizes: int) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text."""
-    return encode_decode(docs, path).select(
+    return encode_decode(docs, path, **sizes).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

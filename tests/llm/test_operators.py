@@ -78,14 +78,17 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(docs).columns == docs.columns
 
 
-def test_bpe(docs, none, rows):
+def test_bpe(spark, docs, none, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_vocabulary())
     ids = lambda x: t.encode(x or "", add_special_tokens=False).ids
-    want = sorted((str(r[0]), len(ids(r[1])), hashlib.sha256(",".join(map(str, ids(r[1]))).encode()).hexdigest()) for r in rows)
-    got = bpe.digests(docs).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in got) == want
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    own = [*rows, (50, "a<|endoftext|>b \U0001f600\u0301 \r\n\x00", "en", "a", None, 1, "x"), (51, "x" * 5000 + " " * 3000, "en", "a", None, 1, "x")]
+    want = sorted((str(r[0]), len(ids(r[1])), sha(",".join(map(str, ids(r[1])))), sha(t.decode(ids(r[1]), skip_special_tokens=False))) for r in own)
+    for sizes in ({}, {"block": 900, "row": 200, "held": 64}):  # also with many blocks, rows of places and parts of the word table
+        got = bpe.digests(spark.createDataFrame(own, SCHEMA), **sizes).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe.digests(none).count() == 0
 
 

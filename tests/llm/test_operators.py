@@ -215,15 +215,28 @@ def test_nearest(spark):
     assert nearest.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_descent_goes_on_until_lists_settle(spark, monkeypatch):
-    for name, value in {"ORDERS": 1, "RUN": 8, "OFFER": 2, "OWN": 4, "BACK": 3}.items():  # a poor start and small steps
-        monkeypatch.setattr(nearest, name, value)
-    rounds, sampled = set(), nearest._sampled
-    monkeypatch.setattr(nearest, "_sampled", lambda rows, key, k, salt: (rounds.add(salt % 100), sampled(rows, key, k, salt))[1])
-    x = np.random.default_rng(4).standard_normal((200, 16))
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    nearest.graph(nearest.usable(table).mapInArrow(nearest._pack, "id long, v binary"))
-    assert len(rounds) > 4
+def test_descent_and_search_on_clusters(spark):
+    """A poor start and small lists, so that descent and search do the work; copies of one vector are a third of all rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8, 12))[rng.integers(0, 8, 1000)] + 0.7 * rng.standard_normal((1000, 12))
+    x[::3] = x[0]
+    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, class string")
+    packed = nearest.usable(table).where("id % 3 <> 0").mapInArrow(nearest._pack, "id long, v binary")
+    found, rounds = nearest.graph(packed, k=16, orders=1, run=16, most=6, back=10, changed=0.01)
+    assert rounds > 2
+    s = x @ x.T
+    own = np.array([i for i in range(1000) if i % 3])
+    hits = [len(set(r.others[:10]) & set(own[np.argsort(-np.where(own == r.id, -np.inf, s[r.id, own]))][:10].tolist())) for r in found.collect()]
+    assert sum(hits) / (10 * len(hits)) > 0.9
+    got = nearest.search(table, F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 50 * 20
+    for q in range(0, 1000, 20):
+        near = np.where(np.arange(1000) == q, -np.inf, s[q])
+        want = sorted(range(1000), key=lambda i: (-near[i], i))[:20]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert len({v for _, v, _ in mine} & set(want)) >= 18 and all(score == pytest.approx(s[q, v]) for _, v, score in mine)
+        if q % 3 == 0:  # ties go to the smaller id
+            assert [v for _, v, _ in mine] == [i for i in range(0, 66, 3) if i != q][:20]
 
 
 def test_toxicity_stems():

@@ -27,13 +27,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text to a block, and of places to a row.
 BLOCK = 32_000_000
-ROW = 1_000_000
+ROW = 500_000
 
 
 def default_vocabulary() -> str:
@@ -76,7 +75,7 @@ class _Blocks:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.special = set(special)
         self.give_words, self.block_chars, self.most_row_chars = give_words, block, row
-        self.part, self.no = TaskContext.get().partitionId(), 0
+        self.part = self.no = 0
         self._open()
 
     def _open(self) -> None:
@@ -126,7 +125,7 @@ class _Blocks:
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(a, a + n), pa.int32()), pa.array(part, pa.string())], names=["block", "place", "word"])
         else:
             for ids, lengths, packed in self.rows:
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "ids", "lengths", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], names=["block", "doc_ids", "lengths", "places"])
         self.no += 1
         self._open()
 
@@ -139,12 +138,13 @@ def _blocks(docs: DataFrame, special: list[str], give_words: bool, block: int, r
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
+                blocks.part = part.column(2)[0].as_py()
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     yield from blocks.add(doc_id, text)
         yield from blocks.close()
 
-    schema = "block long, place int, word string" if give_words else "block long, ids array<long>, lengths array<int>, places binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "block long, place int, word string" if give_words else "block long, doc_ids array<long>, lengths array<int>, places binary"
+    return docs.select("doc_id", "text", F.spark_partition_id()).mapInArrow(run, schema)
 
 
 #: Entries of the word table that a task holds before it hands them on.
@@ -227,50 +227,55 @@ def _with_pieces(entries: DataFrame, pieces: list[bytes]) -> DataFrame:
     return joined.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, ids binary, pieces binary")
 
 
-def _pieces_of(words: pa.Table) -> dict[int, bytes]:
-    """A block's id-to-piece table."""
-    out = {}
-    for ids, pieces in zip(words.column("ids"), words.column("pieces"), strict=True):
-        if ids.is_valid:
-            own, data = unpacked(ids.as_py()), pieces.as_py()
-            head = zstandard.ZstdDecompressor().decompressobj()
-            sizes = np.ascontiguousarray(np.frombuffer(head.decompress(data), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-            text, ends = head.unused_data, np.cumsum(sizes).tolist()
-            out.update(zip(own.tolist(), (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-    return out
-
-
-def _texts(words: pa.Table, texts: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Joins a block's encoded words to its texts by place, and pieces to ids."""
-    parts = [[unpacked(x.as_py()).astype(np.int64) for x in words.column(c) if x.is_valid] for c in ("places", "sizes", "tokens")]
-    place, length, mixed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
-    piece = _pieces_of(words)
-    order = np.argsort(place)
-    length, start = length[order], (np.cumsum(length) - length)[order]
-    bounds = np.r_[0, np.cumsum(length)]
-    flat = mixed[np.repeat(start - bounds[:-1], length) + np.arange(len(mixed))]
-    size = np.diff(bounds)
-    for row in range(texts.num_rows):
-        places = unpacked(texts.column("places")[row].as_py())
-        if len(places) and int(places.max()) >= len(place):
+class _Block:
+    """A block's encoded words and its id-to-piece table."""
+
+    def __init__(self, rows: list[dict[str, bytes]]):
+        parts = [[unpacked(r[c]) for r in rows if r["places"] is not None] for c in ("places", "sizes", "tokens")]
+        place, length, mixed = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts)
+        order = np.argsort(place)
+        length, start = length[order], (np.cumsum(length) - length)[order]
+        self.bounds = np.r_[0, np.cumsum(length)]
+        self.flat = mixed[np.repeat(start - self.bounds[:-1], length) + np.arange(len(mixed))]
+        self.size = length
+        self.piece: dict[int, bytes] = {}
+        for r in rows:
+            if r["pieces"] is not None:
+                head = zstandard.ZstdDecompressor().decompressobj()
+                sizes = np.ascontiguousarray(np.frombuffer(head.decompress(r["pieces"]), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+                text, ends = head.unused_data, np.cumsum(sizes).tolist()
+                self.piece.update(zip(unpacked(r["ids"]).tolist(), (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
+    def texts(self, ids: list[int | None], lengths: list[int], packed_places: bytes) -> pa.RecordBatch:
+        """Joins words to texts by place, and pieces to ids."""
+        places, lengths = unpacked(packed_places), np.array(lengths, np.int64)
+        if len(places) and int(places.max()) >= len(self.size):
             raise RuntimeError("a block's words are not those of its texts: the input changed between two passes; store it as a table first")
-        lengths = np.array(texts.column("lengths")[row].as_py(), np.int64)
-        ends = np.cumsum(lengths)
-        n = size[places]
+        ends, n = np.cumsum(lengths), self.size[places]
         # all ids of the row at once: the run of each word's ids, one after the other
-        first = np.repeat(bounds[places] - np.r_[0, np.cumsum(n)[:-1]], n) if len(places) else np.zeros(0, np.int64)
-        ids = flat[first + np.arange(len(first))]
+        first = np.repeat(self.bounds[places] - np.r_[0, np.cumsum(n)[:-1]], n) if len(places) else np.zeros(0, np.int64)
+        tokens = self.flat[first + np.arange(len(first))]
         per = np.add.reduceat(np.r_[n, 0], np.minimum(ends - lengths, len(n))) * (lengths > 0)
         until = np.r_[0, np.cumsum(per)]
-        own = list(map(piece.__getitem__, ids.tolist()))
+        own = list(map(self.piece.__getitem__, tokens.tolist()))
         decoded = [b"".join(own[a:b]).decode("utf-8", "replace") for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
-        listed = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(texts.column("ids")[row].as_py(), pa.int64()), listed, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        listed = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(tokens, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), listed, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
 
-def _assembled(words: pa.Table, texts: pa.Table) -> pa.Table:
-    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names=["doc_id", "ids", "decoded"])
-    return pa.Table.from_batches(_texts(words, texts), empty.schema)
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a partition sorted by block, in which a block's words come before its texts; one row of places at a time."""
+    key, words, block = None, [], None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            if row["block"] != key:
+                key, words, block = row["block"], [], None
+            if row["doc_ids"] is None:
+                words.append(row)
+            else:
+                block, words = block or _Block(words), []
+                yield block.texts(row["doc_ids"], row["lengths"], row["places"])
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, block: int = BLOCK, row: int = ROW, held: int = HELD) -> DataFrame:
@@ -280,7 +285,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, block: int = BLOCK,
     special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
     words = _blocks(docs, special, True, block, row).repartition("word").sortWithinPartitions("word")
     back = _with_pieces(_encoded(words, vocabulary, held), piece_bytes(vocabulary))
-    return back.groupBy("block").cogroup(_blocks(docs, special, False, block, row).groupBy("block")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
+    rows = back.unionByName(_blocks(docs, special, False, block, row), allowMissingColumns=True)
+    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("doc_ids").isNotNull())
+    return dealt.mapInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None, **sizes: int) -> DataFrame:

@@ -3,6 +3,9 @@
 Rows with equal vectors are one class, which its smallest id stands for; graph and search
 know classes only, however many copies a vector has, and the copies come back by membership.
 
+For the graph every vector gets one more component, which brings all to the largest norm:
+then near means alike, and long vectors aren't in everyone's list. The search leaves that component out.
+
 The graph starts from random-projection orders: vectors sorted by the signs of random
 projections are compared within runs of equal length, however many lie close together. Then
 each round joins neighbours of neighbours: every vector's list (those whose lists it is in,
@@ -10,7 +13,7 @@ and the members of its own, both by a sample of bounded size) is gathered with t
 vectors, all pairs within the list are compared, and each member is offered those that beat
 its worst neighbour so far. Rounds go on until lists settle.
 
-A query's beam starts with its own vector's neighbours. Each hop expands the best of the beam that
+A query starts at its own vector. Each hop expands the best of the beam that
 weren't expanded yet, by joins with the graph and the vectors, until none is left; the beam's best
 are at last scored in double precision on the original vectors.
 
@@ -40,6 +43,8 @@ CHANGED, BACK = 0.02, 24
 #: Vectors expanded in each hop of the search, the beam, reverse links, and what of the beam is scored exactly, for each result asked for.
 EXPAND, BEAM, REVERSE, EXACT = 40, 160, 16, 3
 SIGNS = 12
+#: Bits of the filter that tells, but for few false alarms, whom a vector has in its list.
+BITS = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,13 +62,26 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
     return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = []
-        for x in map(np.array, batch.column(1).to_pylist()):
-            scale = np.float32(min(np.abs(x).max() / 127, 1e15)) or np.float32(1e-30)
-            packed.append(scale.tobytes() + np.rint(np.clip(x / scale, -127, 127)).astype(np.int8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "v"])
+def _pack(longest: float):
+    """Packed vectors with a last component that brings them to the norm ``longest``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for x in map(np.array, batch.column(1).to_pylist()):
+                x = np.r_[x, longest * np.sqrt(max(0.0, 1 - ((x / longest) ** 2).sum()))]
+                scale = np.float32(min(np.abs(x).max() / 127, 1e15)) or np.float32(1e-30)
+                packed.append(scale.tobytes() + np.rint(np.clip(x / scale, -127, 127)).astype(np.int8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "v"])
+
+    return run
+
+
+def packed(classes: DataFrame) -> DataFrame:
+    """(id, v) of rows (id, vector)."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    longest = classes.agg(F.max(norm)).first()[0] or 1.0
+    return classes.mapInArrow(_pack(min(longest, 1e150)), "id long, v binary")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -108,9 +126,19 @@ def _places(orders: int):
     return run
 
 
-def _offers(ids: np.ndarray, near: np.ndarray, most: int, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each member the best others, as (id, other, nearness); only better ones than ``worst``."""
+def _bits(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each id; other ones for each seed, so that a false alarm doesn't repeat."""
+    # fixed values: odd multipliers of 64-bit mixing
+    x = (ids.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(33)) % np.uint64(BITS), (x >> np.uint64(48)) % np.uint64(BITS)
+
+
+def _offers(ids: np.ndarray, near: np.ndarray, most: int, worst: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each member the best others that it doesn't know, as (id, other, nearness); only better ones than ``worst``."""
     np.fill_diagonal(near, -np.inf)
+    if known is not None:
+        near[known] = -np.inf
     k = min(most, len(ids) - 1)
     at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(ids), 0), int)
     value = np.take_along_axis(near, at, 1)
@@ -156,17 +184,21 @@ def _runs(length: int, most: int):
     return run
 
 
-def _local(most: int):
-    """Compares the members of each list; they hold their vector and their worst neighbour's nearness."""
+def _local(most: int, seed: int):
+    """Compares the members of each list; they hold their vector and their worst neighbour's nearness and the filter of its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches):
+            known = rows.column("known")
             member, v, worst = rows.column("member").to_numpy(), rows.column("v"), rows.column("worst").to_numpy()
             found, size = [], 0
             for a, b in _cuts(rows.column("target").to_numpy()):
                 ids, first = np.unique(member[a:b], return_index=True)
                 x = _matrix(v.slice(a, b - a).take(pa.array(first)).to_pylist())
-                found.append(_offers(ids, x @ x.T, most, worst[a + first]))
+                lists = np.frombuffer(b"".join(known.slice(a, b - a).take(pa.array(first)).to_pylist()), np.uint8).reshape(len(ids), -1)
+                one, two = _bits(ids, seed)
+                lists = np.unpackbits(lists, axis=1).view(bool)
+                found.append(_offers(ids, x @ x.T, most, worst[a + first], lists[:, one] & lists[:, two]))
                 size += len(found[-1][0])
                 if size > 500_000:
                     yield _batch(found)
@@ -177,7 +209,7 @@ def _local(most: int):
     return run
 
 
-def _merged(k: int):
+def _merged(k: int, seed: int):
     """Lists of the k nearest from rows (id, other, near, old, v), of which the row of an id with itself has the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,17 +229,21 @@ def _merged(k: int):
             bounds = np.searchsorted(id, np.r_[ids, np.iinfo(np.int64).max], "left")
             bounds[-1] = len(id)
             fresh = np.diff(np.r_[0, np.cumsum(old == 0)][bounds])
+            bits = np.zeros((len(ids), BITS), bool)
+            for place in _bits(other, seed):
+                bits[np.searchsorted(ids, id), place] = True
+            known = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
             lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (other, near))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v, *lists, pa.array(fresh, pa.int32())], names=["id", "v", "others", "near", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v, *lists, known, pa.array(fresh, pa.int32())], names=["id", "v", "others", "near", "known", "fresh"])
 
     return run
 
 
-def _lists(offers: DataFrame, selves: DataFrame, k: int) -> DataFrame:
-    """(id, v, others, near, fresh): the k nearest of offers (id, other, near, old), nearest first, and how many of them are new."""
+def _lists(offers: DataFrame, selves: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, v, others, near, known, fresh): the k nearest of offers (id, other, near, old), nearest first, their filter, and how many of them are new."""
     own = selves.select("id", F.col("id").alias("other"), F.lit(float("inf")).cast("float").alias("near"), F.lit(0).cast("byte").alias("old"), "v")
     rows = own.unionByName(offers.withColumn("v", F.lit(None).cast("binary")))
-    return stored(_grouped(rows, "id").mapInArrow(_merged(k), "id long, v binary, others array<long>, near array<float>, fresh int"))
+    return stored(_grouped(rows, "id").mapInArrow(_merged(k, seed), "id long, v binary, others array<long>, near array<float>, known binary, fresh int"))
 
 
 def _sampled(rows: DataFrame, key: str, k: int, salt: int) -> DataFrame:
@@ -215,29 +251,29 @@ def _sampled(rows: DataFrame, key: str, k: int, salt: int) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("id", "other", F.lit(salt))))).where(F.col("turn") <= k).drop("turn")
 
 
-def graph(packed: DataFrame, k: int = K, orders: int = ORDERS, run: int = RUN, most: int = OFFER, back: int = BACK, changed: float = CHANGED) -> tuple[DataFrame, int]:
-    """(id, v, others, near): each vector's k neighbours found, nearest first; and the number of rounds."""
+def graph(vectors: DataFrame, k: int = K, orders: int = ORDERS, run: int = RUN, most: int = OFFER, back: int = BACK, changed: float = CHANGED) -> tuple[DataFrame, int]:
+    """(id, v, others, near) of packed vectors (id, v): each vector's k neighbours found, nearest first; and the number of rounds."""
     old = lambda x: F.lit(x).cast("byte").alias("old")
-    dealt = packed.mapInArrow(_places(orders), "turn int, place double, id long, v binary").withColumn("salt", F.xxhash64("turn", "id"))
+    dealt = vectors.mapInArrow(_places(orders), "turn int, place double, id long, v binary").withColumn("salt", F.xxhash64("turn", "id"))
     # near copies share a place; the salt lets a range end among them
-    dealt = dealt.repartitionByRange(max(1, orders * packed.count() // (8 * run)), "turn", "place", "salt").sortWithinPartitions("turn", "place", "salt")
+    dealt = dealt.repartitionByRange(max(1, orders * vectors.count() // (8 * run)), "turn", "place", "salt").sortWithinPartitions("turn", "place", "salt")
     offers = dealt.select("turn", "id", "v").mapInArrow(_runs(run, most), "id long, other long, near float")
-    found = _lists(offers.select("*", old(0)), packed, k)
+    found = _lists(offers.select("*", old(0)), vectors, k, 0)
     for turn in count(1):
         edges = found.select("id", F.explode("others").alias("other"))
         link = lambda a, b: F.struct(F.col(a).alias("target"), F.col(b).alias("member"))
         both = _sampled(edges, "other", back, turn).select(F.explode(F.array(link("other", "id"), link("id", "other"))).alias("e")).select("e.*")
         # a list that isn't full takes any
         worst = F.when(F.size("near") < k, float("-inf")).otherwise(F.element_at("near", -1)).cast("float").alias("worst")
-        state = found.select(F.col("id").alias("member"), "v", worst)
-        sent = both.join(state, "member").select("target", "member", "v", "worst").unionByName(state.withColumn("target", F.col("member")))
-        better = _grouped(sent, "target").mapInArrow(_local(most), "id long, other long, near float").select("*", old(0))
+        state = found.select(F.col("id").alias("member"), "v", worst, "known")
+        sent = both.join(state, "member").select("target", "member", "v", "worst", "known").unionByName(state.withColumn("target", F.col("member")))
+        better = _grouped(sent, "target").mapInArrow(_local(most, turn - 1), "id long, other long, near float").select("*", old(0))
         known = found.select("id", F.explode(F.arrays_zip("others", "near")).alias("e")).select("id", F.col("e.others").alias("other"), F.col("e.near").alias("near"), old(1))
-        found = _lists(better.unionByName(known), found, k)
+        found = _lists(better.unionByName(known), found, k, turn)
         now = found.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("fresh"), F.coalesce(F.sum(F.size("others")), F.lit(0)).alias("size")).first()
         # lists only get better, so that the share falls
         if now["fresh"] <= changed * now["size"]:
-            return found.drop("fresh"), turn
+            return found.drop("fresh", "known"), turn
 
 
 def _hop(expand: int, beam: int):
@@ -251,7 +287,7 @@ def _hop(expand: int, beam: int):
                 met, x = other.slice(a, b - a), _matrix(v.slice(a, b - a).to_pylist())
                 state = int(np.flatnonzero(met.is_null().to_numpy())[0])
                 held, near, done = (np.array(rows.column(c)[a + state].as_py(), t) for c, t in (("others", np.int64), ("near", np.float32), ("done", bool)))
-                met, score = np.delete(met.fill_null(0).to_numpy(), state), np.delete(x @ x[state], state)
+                met, score = np.delete(met.fill_null(0).to_numpy(), state), np.delete(x[:, :-1] @ x[state, :-1], state)
                 new = ~np.isin(met, held)
                 ids, near, done = np.r_[held, met[new]], np.r_[near, score[new]], np.r_[done, np.zeros(new.sum(), bool)]
                 at = np.lexsort((ids, -near))[:beam]
@@ -273,7 +309,7 @@ def beams(found: DataFrame, asked: DataFrame, expand: int = EXPAND, beam: int =
     links = stored(ways.groupBy("id").agg(F.collect_set("other").alias("to")))
     state = stored(
         found.join(asked, found["id"] == asked["query"])
-        .select("query", "v", "others", "near", F.transform("others", lambda x, i: i < expand).alias("done"), F.slice("others", 1, expand).alias("ahead"))
+        .select("query", "v", F.expr("cast(array() as array<long>)").alias("others"), F.expr("cast(array() as array<float>)").alias("near"), F.expr("cast(array() as array<boolean>)").alias("done"), F.array("query").alias("ahead"))
     )
     while not state.where(F.size("ahead") > 0).isEmpty():
         ahead = state.select("query", F.explode("ahead").alias("id"))
@@ -294,7 +330,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     classes = members.where("id = class").select("id", "vector")
     asked = full.select("vector", F.col("id").alias("vec_id")).where(queries).withColumnRenamed("vec_id", "query_id")
     asked = stored(asked.join(classes, "vector").select("query_id", F.col("id").alias("query")))
-    found, _ = graph(stored(classes.mapInArrow(_pack, "id long, v binary")))
+    found, _ = graph(stored(packed(classes)))
     beam = beams(found, asked.select("query").distinct())
     best = beam.select("query", F.explode(F.concat(F.array("query"), F.slice("others", 1, EXACT * k))).alias("other"))
     exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)

@@ -55,7 +55,7 @@ def bnd_alt(chrom: Column, pos: Column, orient: Column, base: str = "N") -> Colu
     place = F.concat(chrom, F.lit(":"), pos.cast("string"))
     shape = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     return (
-        F.when(orient == "++", shape(base, "]", place, "]")).when(orient == "+-", shape(base, "[", place, "["))
+        F.when(orient == "++", shape(base, "[", place, "[")).when(orient == "+-", shape(base, "]", place, "]"))
         .when(orient == "-+", shape("]", place, "]", base)).otherwise(shape("[", place, "[", base))
     )
 

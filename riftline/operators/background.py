@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..settings import DEFAULTS
+from ..storage import stored
 from .annotate import ends
 
 
@@ -102,7 +103,7 @@ def local_rates(clusters: DataFrame, binned: DataFrame, size: int = DEFAULTS.bg_
 
 def background(clusters: DataFrame, reads: DataFrame) -> DataFrame:
     """Adds rates and tail probabilities of both sides, and the lesser as background_p."""
-    binned = bins(reads)
+    binned = stored(bins(reads))
     fit = nb_params(window_moments(binned))
     out = clusters.join(local_rates(clusters, binned), "event_id")
     for s in "ab":

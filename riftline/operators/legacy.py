@@ -32,11 +32,11 @@ def noise_floor(pairs: DataFrame) -> DataFrame:
 
 
 def rate(reads: DataFrame, disc: DataFrame, size: int = DEFAULTS.telemetry_bin) -> DataFrame:
-    """One row: reads, those between contigs, occupied bins, and the share of the second in the first."""
+    """One row: reads, those between contigs, occupied bins, and the second for each pair of bins."""
     seen = reads.agg(F.count("*").alias("reads"))
     between = disc.agg(F.count("*").alias("interchrom"))
     bins = annotate.ends(disc).select("chrom", F.floor(F.col("pos") / size)).distinct().agg(F.count("*").alias("bins"))
-    return seen.join(between).join(bins).withColumn("rate", F.round(F.col("interchrom") / F.greatest(F.col("reads"), F.lit(1)), 9))
+    return seen.join(between).join(bins).withColumn("rate", F.round(F.col("interchrom") / (F.greatest("bins", F.lit(1)) * F.greatest("bins", F.lit(1))), 9))
 
 
 def flagged(clusters: DataFrame, masks: DataFrame, length: int = DEFAULTS.contig_length) -> DataFrame:

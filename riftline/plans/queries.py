@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import annotate, background, evidence, output, tiers
 from ..sources import views
+from ..storage import stored
 from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,18 +82,19 @@ def _clusters(spark, d):
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:
     """Clusters with everything the gates ask for."""
-    disc = _disc(spark, d)
-    c = annotate.local_coverage(_clusters(spark, d), annotate.end_bins(disc))
-    c = c.join(annotate.external_support(c, views.bnds(spark, d)), "event_id", "left").fillna({"n_ext": 0})
-    c = c.join(annotate.reciprocal(c), "event_id", "left")
-    stabs = annotate.stabbed(c, annotate.merged_intervals(views.masks(spark, d)))
+    disc, own = _disc(spark, d), stored(_clusters(spark, d))
+    c = annotate.local_coverage(own, stored(annotate.end_bins(disc)))
+    c = c.join(annotate.external_support(own, views.bnds(spark, d)), "event_id", "left").fillna({"n_ext": 0})
+    c = c.join(annotate.reciprocal(own), "event_id", "left")
+    stabs = annotate.stabbed(own, annotate.merged_intervals(views.masks(spark, d)))
     per = stabs.groupBy("event_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("track")))).alias(f"tracks_{s}") for s in "ab"))
     c = c.join(per, "event_id", "left")
     for s in "ab":
         c = c.withColumn(f"tracks_{s}", F.coalesce(f"tracks_{s}", F.array().cast("array<string>")))
     c = annotate.with_identity(c, annotate.best_identity(views.masks(spark, d).where("track = 'segdup'")))
     c = c.join(annotate.pair_enrichment(evidence.pair_density(disc), 6).select("ca", "cb", "enrichment"), ["ca", "cb"], "left")
-    return background.background(c, disc)
+    tails = background.background(own, disc).select("event_id", "rate_a", "rate_b", "p_a", "p_b", "background_p")
+    return c.join(tails, "event_id")
 
 
 def tiered(spark: SparkSession, d: str) -> DataFrame:
@@ -323,8 +325,8 @@ def _q(spark, d):
     return tiers.cross_merged(evidence.clustered(_survivors(spark, d)))
 
 
-@_query("vcf_rows", """select ca chrom, median_a + 1 pos, event_id || '_1' id, case orient when '++' then 'N]'||cb||':'||(median_b+1)||']' when '+-' then 'N['||cb||':'||(median_b+1)||'[' when '-+' then ']'||cb||':'||(median_b+1)||']N' else '['||cb||':'||(median_b+1)||'[N' end alt, event_id||'_2' mate_id, 'SVTYPE=BND;MATEID='||event_id||'_2;SUPPORT='||support info from clusters
- union all select cb, median_b + 1, event_id || '_2', case reverse(orient) when '++' then 'N]'||ca||':'||(median_a+1)||']' when '+-' then 'N['||ca||':'||(median_a+1)||'[' when '-+' then ']'||ca||':'||(median_a+1)||']N' else '['||ca||':'||(median_a+1)||'[N' end, event_id||'_1', 'SVTYPE=BND;MATEID='||event_id||'_1;SUPPORT='||support from clusters""")
+@_query("vcf_rows", """select ca chrom, median_a + 1 pos, event_id || '_1' id, case orient when '++' then 'N['||cb||':'||(median_b+1)||'[' when '+-' then 'N]'||cb||':'||(median_b+1)||']' when '-+' then ']'||cb||':'||(median_b+1)||']N' else '['||cb||':'||(median_b+1)||'[N' end alt, event_id||'_2' mate_id, 'SVTYPE=BND;MATEID='||event_id||'_2;SUPPORT='||support info from clusters
+ union all select cb, median_b + 1, event_id || '_2', case reverse(orient) when '++' then 'N['||ca||':'||(median_a+1)||'[' when '+-' then 'N]'||ca||':'||(median_a+1)||']' when '-+' then ']'||ca||':'||(median_a+1)||']N' else '['||ca||':'||(median_a+1)||'[N' end, event_id||'_1', 'SVTYPE=BND;MATEID='||event_id||'_1;SUPPORT='||support from clusters""")
 def _q(spark, d):
     return output.vcf_rows(_clusters(spark, d))
 
@@ -362,4 +364,5 @@ def _q(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("event_type").orderBy("event_id")
-    return spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", F.row_number().over(w).cast("long").alias("k")).where(F.col("k").isin(1, 5, 10, 25, 50, 100))
+    ranked = spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", F.row_number().over(w).alias("k")).where("k <= 100")  # tasks keep 100 of a type
+    return ranked.where(F.col("k").isin(1, 5, 10, 25, 50, 100)).withColumn("k", F.col("k").cast("long"))

@@ -54,7 +54,7 @@ def _q(spark, d):
     return background.bins(own._disc(spark, d)).select("chrom", "bin", "n")
 
 
-@_query("chimeric_rate", """select *, round(interchrom / greatest(reads, 1), 9) rate from (select (select count(*) from reads) reads, (select count(*) from disc) interchrom,
+@_query("chimeric_rate", """select *, round(interchrom / (greatest(bins, 1) * greatest(bins, 1)), 9) rate from (select (select count(*) from reads) reads, (select count(*) from disc) interchrom,
  (select count(*) from (select distinct chrom, floor(pos/100000) from ends)) bins)""")
 def _q(spark, d):
     return legacy.rate(views.reads(spark, d), own._disc(spark, d))

@@ -56,7 +56,7 @@ def sessions(stream: DataFrame, gap: str) -> DataFrame:
 
 def capped(rows: DataFrame, limit: int, window: str = "1 hour") -> DataFrame:
     """At most ``limit`` events of each window, by sequence number: for foreachBatch, which ranks a batch."""
-    w = Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("event_id")
+    w = Window.partitionBy(F.window("ts", window)).orderBy("event_id")
     return rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
 
 

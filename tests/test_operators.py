@@ -155,3 +155,13 @@ def test_cross_merge_of_counted_positions(spark):
     got = tiers.cross_merged(spark.createDataFrame(reads, "ca string, cb string, orient string, isl_a long, isl_b long, pos_a long, pos_b long"))
     assert {tuple(r) for r in got.collect()} == want and len({r[1] for r in want}) < len(want)
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no list of a cluster's reads
+
+
+def test_breakend_alleles(spark):
+    from pyspark.sql import functions as F
+
+    from riftline.functions.scalar import bnd_alt
+
+    rows = spark.createDataFrame([("++",), ("+-",), ("-+",), ("--",)], "o string")
+    got = {r.o: r.alt for r in rows.select("o", bnd_alt(F.lit("chr2"), F.lit(7), F.col("o")).alias("alt")).collect()}
+    assert got == {"++": "N[chr2:7[", "+-": "N]chr2:7]", "-+": "]chr2:7]N", "--": "[chr2:7[N"}

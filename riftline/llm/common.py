@@ -13,7 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Bytes of a batch of rows that a task hands to Python; by default Spark makes them of 10,000 rows, however long.
+BATCH_BYTES = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Sets the session's bound for Arrow batches, so that a task's memory doesn't grow with the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,11 +18,12 @@ def vcf_rows(calls: DataFrame) -> DataFrame:
 
 
 def bedpe_rows(calls: DataFrame) -> DataFrame:
-    """Thirteen BEDPE columns, 0-based half-open."""
+    """Thirteen BEDPE columns, 0-based half-open, of calls with cluster_id, tier, score and background_p."""
     c = F.col
     return calls.select(
-        c("ca").alias("chrom1"), c("lo_a").alias("start1"), (c("hi_a") + 1).alias("end1"), c("cb").alias("chrom2"), c("lo_b").alias("start2"), (c("hi_b") + 1).alias("end2"),
-        c("event_id").alias("name"), c("support").alias("score"), F.substring("orient", 1, 1).alias("strand1"), F.substring("orient", 2, 1).alias("strand2"), c("sr"), c("pr"), F.lit("BND").alias("type"),
+        c("ca").alias("chrom1"), c("median_a").alias("start1"), (c("median_a") + 1).alias("end1"), c("cb").alias("chrom2"), c("median_b").alias("start2"), (c("median_b") + 1).alias("end2"),
+        F.regexp_replace("cluster_id", "^CLU", "TRA").alias("name"), F.format_string("%.4f", "score").alias("score"), F.substring("orient", 1, 1).alias("strand1"), F.substring("orient", 2, 1).alias("strand2"),
+        "tier", "support", F.format_string("%.6e", "background_p").alias("bg_pval"),
     )
 
 
@@ -38,7 +39,7 @@ def write_vcf(calls: DataFrame, path: str) -> None:
 
 
 def write_bedpe(calls: DataFrame, path: str) -> None:
-    bedpe_rows(calls).orderBy("chrom1", "start1", "chrom2", "start2").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+    bedpe_rows(calls).orderBy(chrom_rank(F.col("chrom1")), "start1", chrom_rank(F.col("chrom2")), "start2").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
 
 
 def write_json(calls: DataFrame, path: str) -> None:

@@ -37,34 +37,96 @@ def reject_reason(promiscuous: int = DEFAULTS.promiscuous_threshold) -> Column:
     )
 
 
-def tier() -> Column:
-    """Tier of a cluster that isn't excluded or rejected (column ``gone``)."""
+def _gates(unique: Column, coherent: Column) -> dict[str, Column]:
+    """Which gates a cluster passes, each by its own rule, from the lowest up."""
     c = F.col
-    unmasked = ~F.arrays_overlap(F.array_union("tracks_a", "tracks_b"), F.array(F.lit("encode_blacklist"))) & (c("segdup_pct_a") < 95) & (c("segdup_pct_b") < 95)
+    few = (c("segdup_pct_a") < 95) & (c("segdup_pct_b") < 95)
+    unmasked = ~F.exists(F.concat("tracks_a", "tracks_b"), lambda t: t.contains("blacklist")) & few
     clean = unmasked & (F.greatest("partners_a", "partners_b") < DEFAULTS.promiscuous_threshold)
-    wide = (c("pr") >= 15) & (c("sr") == 0) & (c("lcr_a") <= 1.5) & (c("lcr_b") <= 1.5) & (c("starts_a") >= 10) & (c("starts_b") >= 10) & unmasked
+    low = F.greatest("lcr_a", "lcr_b") <= 1.5
+    starts = F.least("starts_a", "starts_b") >= 10
+    wide = (c("pr") >= 15) & (c("sr") == 0) & unique & low & starts & unmasked & coherent
     strong = wide | ((c("pr") >= 5) & (c("sr") >= 1) & clean)
     likely = strong & ((c("sr") >= 2) | (c("n_ext") >= 1))
-    validated = ((c("pr") >= 6) & (c("sr") >= 3) & (c("p_a") < 1e-6) & (c("p_b") < 1e-6) & clean) | (likely & (c("n_ext") >= 2))
-    confirmed = validated & (c("n_ext") >= 3)
+    own = (c("pr") >= 6) & (c("sr") >= 3) & (c("p_a") < 1e-6) & (c("p_b") < 1e-6) & clean & coherent
+    return {"few": few, "low": low, "starts": starts, "strong": strong, "likely": likely, "own": own, "validated": own | (likely & (c("n_ext") >= 2))}
+
+
+def tier(reviewed: Column | None = None, unique: Column | None = None, coherent: Column | None = None) -> Column:
+    """Tier of a cluster that isn't excluded or rejected (column ``gone``).
+
+    ``reviewed``: an assembly or a person has confirmed it (default no); ``unique``: both
+    flanks map to one place only; ``coherent``: its reads have two orientations at most
+    (both default yes, clusters being made by orientation).
+    """
+    c, yes = F.col, F.lit(True)
+    g = _gates(yes if unique is None else unique, yes if coherent is None else coherent)
+    confirmed = g["validated"] & ((c("n_ext") >= 3) | (F.lit(False) if reviewed is None else reviewed))
+    return (
+        F.when(c("gone"), "filtered").when(confirmed, "confirmed").when(g["validated"], "validated").when(g["likely"], "likely")
+        .when(g["strong"], "strong_candidate").when((c("pr") >= 3) | (c("sr") >= 1), "candidate").otherwise("filtered")
+    )
+
+
+def reject_reasons() -> Column:
+    """Every gate above its tier that a cluster (columns as for ``tier``, with ``tier``) has not passed; of one that is gone, why."""
+    c, yes = F.col, F.lit(True)
+    g = _gates(yes, yes)
+    below = ~g["own"]
+    sr0 = below & ~g["strong"] & (c("pr") >= 15) & (c("sr") == 0)
+    why = [
+        F.when(sr0 & ~g["low"], F.format_string("lcr_high:%.1f", F.greatest("lcr_a", "lcr_b"))), F.when(sr0 & ~g["starts"], "low_unique_starts_for_sr0"), F.when(sr0 & ~g["few"], "segdup_high_identity"),
+        F.when(below & ~g["strong"] & (c("pr") < 5), F.format_string("pr_lt5:%d", "pr")), F.when(below & g["strong"] & ~g["likely"], "no_split_or_external"),
+        F.when(~g["validated"] & (c("pr") < 6), F.format_string("pr_lt6:%d", "pr")), F.when(~g["validated"] & (c("sr") < 3), F.format_string("sr_lt3:%d", "sr")),
+        *(F.when(~g["validated"] & (c(f"p_{s}") >= 1e-6), F.format_string(f"pval_{s}_high:%.2e", f"p_{s}")) for s in "ab"),
+        F.when(~g["validated"], "not_validated"), F.when(g["validated"] & (c("tier") != "confirmed"), "no_confirmation_evidence"),
+        F.when((c("pr") < 3) & (c("sr") < 1), "below_minimum_support"),
+    ]
+    return F.when(c("gone"), F.array(F.coalesce("excluded", "rejected"))).otherwise(F.array_compact(F.array(*why)))
+
+
+def label(reviewed: Column | None = None) -> Column:
+    """How far a cluster has come, whatever its tier: six names, each of which asks for the one before."""
+    c = F.col
+    enriched = (c("pr") >= 3) | (c("sr") >= 1)
+    strong = enriched & (c("p_a") < 0.01) & (c("p_b") < 0.01) & (c("dup_fraction") <= 0.7)
+    quiet = F.greatest("partners_a", "partners_b") < DEFAULTS.promiscuous_threshold
+    junction = strong & (F.least("starts_a", "starts_b") >= 5) & (c("dup_fraction") <= 0.5) & quiet & (F.coalesce("median_mapq", F.lit(0)) >= 20)
+    likely = junction & ((c("sr") >= 2) | (c("n_ext") >= 1))
+    sure = likely & ((c("n_ext") >= 3) | ((c("sr") >= 3) & (c("pr") >= 6)) | (F.lit(False) if reviewed is None else reviewed))
     return (
-        F.when(c("gone"), "filtered").when(confirmed, "confirmed").when(validated, "validated").when(likely, "likely")
-        .when(strong, "strong_candidate").when((c("pr") >= 3) | (c("sr") >= 1), "candidate").otherwise("filtered")
+        F.when(sure, "confirmed").when(likely, "likely_translocation").when(junction, "candidate_junction").when(strong, "strong_cluster")
+        .when(enriched, "enriched_cluster").otherwise("raw_cluster")
     )
 
 
-def score() -> Column:
-    """The additive score; filtered clusters have 0. Logarithms are of counts; rounded once, at the end."""
+def evidence_kind(clip: Column | None = None) -> Column:
+    """The first-generation name of a cluster's kinds of evidence; without a clip count there are no clips."""
+    split, disc, clips = F.col("sr") >= 1, F.col("pr") >= 1, F.lit(False) if clip is None else clip >= 1
+    return (
+        F.when(split & disc, "multi-evidence").when(split & clips, "split+clip").when(disc & clips, "discordant+clip").when(split, "split-supported")
+        .when(disc, "discordant-supported").when(clips, "softclip-supported").otherwise("unknown")
+    )
+
+
+def components(clip: Column | None = None) -> dict[str, Column]:
+    """The parts of the score, each rounded to one decimal."""
     c = F.col
     decades = lambda p: F.least(-F.log10(F.greatest(c(p), F.lit(1e-300))), F.lit(20.0))
     tight = ((c("hi_a") - c("lo_a")) < 1000) & ((c("hi_b") - c("lo_b")) < 1000) & (c("support") >= 3)
-    total = (
-        5 * F.log2(c("pr") + 1) + 10 * F.log2(c("sr") + 1) + decades("p_a") + decades("p_b") + 0.5 * F.least("starts_a", "starts_b")
-        + F.when(tight, 5).otherwise(0) + F.least(0.5 * c("enrichment"), F.lit(10.0)) + F.when(c("partner").isNotNull(), 10).otherwise(0)
-        + 15 * c("n_ext") + 0.2 * c("median_mapq") - F.when(c("dup_fraction") > 0.5, 5).otherwise(0)
-        - F.when(F.greatest("partners_a", "partners_b") >= DEFAULTS.promiscuous_threshold, 10).otherwise(0)
-    )
-    return F.when(c("tier") == "filtered", 0.0).otherwise(F.round(total, 1))
+    parts = {
+        "support_pr": 5 * F.log2(c("pr") + 1), "support_sr": 10 * F.log2(c("sr") + 1), "support_clip": F.lit(0.0) if clip is None else 2 * F.log2(clip + 1),
+        "pvalue_a": decades("p_a"), "pvalue_b": decades("p_b"), "unique_starts": 0.5 * F.least("starts_a", "starts_b"), "tightness_bonus": F.when(tight, 5.0).otherwise(0.0),
+        "enrichment_over_bg": F.least(0.5 * c("enrichment"), F.lit(10.0)), "reciprocal": F.when(c("partner").isNotNull(), 10.0).otherwise(0.0), "external": 15.0 * c("n_ext"),
+        "mapq": 0.2 * F.coalesce("median_mapq", F.lit(0.0)), "dup_penalty": F.when(c("dup_fraction") > 0.5, -5.0).otherwise(0.0),
+        "promiscuous_penalty": F.when(F.greatest("partners_a", "partners_b") >= DEFAULTS.promiscuous_threshold, -10.0).otherwise(0.0),
+    }
+    return {k: F.round(v, 1) for k, v in parts.items()}
+
+
+def score(clip: Column | None = None) -> Column:
+    """The sum of the parts; filtered clusters have 0."""
+    return F.when(F.col("tier") == "filtered", 0.0).otherwise(F.round(sum(components(clip).values(), F.lit(0.0)), 1))
 
 
 def v1_score() -> Column:

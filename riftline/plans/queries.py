@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import annotate, background, evidence, output, tiers
+from ..operators import annotate, background, evidence, legacy, output, report, tiers
 from ..sources import views
 from ..storage import stored
 from ..streaming import live
@@ -244,11 +244,6 @@ def _q(spark, d):
     return background.local_rates(_clusters(spark, d), background.bins(_disc(spark, d)))
 
 
-@_query("nb_pvalues")
-def _q(spark, d):
-    return background.background(_clusters(spark, d), _disc(spark, d)).select("event_id", "p_a", "p_b", "background_p")
-
-
 @_query("bh_adjust", """select event_id, round(q, 9) q from (select event_id, least(min(p * n / r) over (order by p desc range unbounded preceding), 1) q from (select event_id, p, count(*) over () n, count(*) over (order by p range unbounded preceding) r from (select event_id, 1.0 / (1 + support * support) p from clusters)))""")
 def _q(spark, d):
     rows = _clusters(spark, d).select("event_id", (1.0 / (1 + F.col("support") * F.col("support"))).alias("p"))
@@ -290,6 +285,39 @@ _REASON = """select c.event_id, case when exists (select 1 from stabs s where s.
  from clusters c left join rate10 a on a.chrom=ca and a.bin=floor(median_a/10000) left join rate10 b on b.chrom=cb and b.bin=floor(median_b/10000) left join ext e on e.event_id=c.event_id"""
 
 
+#: Negative-binomial and Poisson tails as sums of their terms; ``TERMS`` are past double precision.
+TERMS = 6000
+_TAILS = f"""fitted as (select chrom, case when mean<=0 or var<=mean then 1e6 else least(greatest(mean*mean/(var-mean),0.01),1e8) end r, case when mean<=0 then 0.999 when var<=mean then 1e6/(1e6+mean) else mean/var end p from mom),
+near as (select s.event_id, s.side, s.chrom, cast(coalesce(sum(n),0) as double) rate from sides s left join bins1 b on b.chrom = s.chrom and b.bin between floor(s.pos/1000)-5 and floor(s.pos/1000)+5 group by 1, 2, 3),
+held as (select n.event_id, side, support k, n.rate obs, greatest(n.rate, 1e-300) rate, case when coalesce(r, 1e6) < 1e5 then greatest(0.01, r*n.rate/(r*(1-p)/p)) end r2 from near n join clusters using (event_id) left join fitted f on f.chrom = n.chrom),
+tails as (select event_id, side, case when max(obs) <= 0 then 0.0 else least(sum(case when r2 is null then exp(i*ln(rate)-rate-lgamma(i+1)) else exp(lgamma(i+r2)-lgamma(r2)-lgamma(i+1)+r2*ln(r2/(r2+rate))+i*ln(rate/(r2+rate))) end), 1.0) end p
+  from (select *, k + j i from held, (select unnest(range({TERMS})) j)) group by 1, 2),
+ps as (select event_id, max(p) filter (side = 'a') p_a, max(p) filter (side = 'b') p_b from tails group by 1)"""
+_FULL = f"""{_TAILS}, reasons as ({_REASON}), kb as (select chrom, bin, max(pct_identity) pct from (select chrom, pct_identity, unnest(range(start_pos // 1000, end_pos // 1000 + 1)) bin from masks where track = 'segdup') group by 1, 2),
+enr as (select ca, cb, n / greatest(sum(n) over () / 15.0, 1) enrichment from (select ca, cb, count(*) n from canon group by 1, 2)),
+wide as (select c.*, p_a, p_b, least(p_a, p_b) bp, excluded, rejected, coalesce(excluded, rejected) is not null gone, greatest(coalesce(a.lcr,0), coalesce(b.lcr,0)) lcr, greatest(coalesce(a.partners,0), coalesce(b.partners,0)) >= 5 prom, coalesce(n_ext,0) ext,
+  greatest(coalesce(ka.pct,0), coalesce(kb2.pct,0)) pct, exists (select 1 from stabs s where s.event_id = c.event_id and track like '%blacklist%') black, enrichment, r.partner is not null rec
+  from clusters c join ps using (event_id) join reasons using (event_id) left join rate10 a on a.chrom=ca and a.bin=floor(median_a/10000) left join rate10 b on b.chrom=cb and b.bin=floor(median_b/10000) left join ext e on e.event_id=c.event_id
+  left join kb ka on ka.chrom=ca and ka.bin=floor(median_a/1000) left join kb kb2 on kb2.chrom=cb and kb2.bin=floor(median_b/1000) left join enr on enr.ca=c.ca and enr.cb=c.cb left join recip r on r.event_id=c.event_id),
+gates as (select *, (pr>=15 and sr=0 and lcr<=1.5 and starts_a>=10 and starts_b>=10 and pct<95 and not black) or (pr>=5 and sr>=1 and pct<95 and not black and not prom) strong,
+  pr>=6 and sr>=3 and p_a<1e-6 and p_b<1e-6 and pct<95 and not black and not prom own from wide),
+graded as (select *, strong and (sr>=2 or ext>=1) likely, own or (strong and ext>=2) valid from gates),
+tiered as (select *, case when gone then 'filtered' when valid and ext>=3 then 'confirmed' when valid then 'validated' when likely then 'likely' when strong then 'strong_candidate' when pr>=3 or sr>=1 then 'candidate' else 'filtered' end tier from graded),
+parts as (select *, round(5*log2(pr+1),1) support_pr, round(10*log2(sr+1),1) support_sr, 0.0::double support_clip, round(least(-log10(greatest(p_a,1e-300)),20),1) pvalue_a, round(least(-log10(greatest(p_b,1e-300)),20),1) pvalue_b, round(0.5::double*least(starts_a,starts_b),1) unique_starts,
+  case when hi_a-lo_a<1000 and hi_b-lo_b<1000 and support>=3 then 5.0::double else 0 end tightness_bonus, round(least(0.5*enrichment,10),1)::double enrichment_over_bg, case when rec then 10.0::double else 0 end reciprocal, 15.0::double*ext as external, round(0.2::double*coalesce(median_mapq,0),1) mapq,
+  case when dup_fraction>0.5 then -5.0::double else 0 end dup_penalty, case when prom then -10.0::double else 0 end promiscuous_penalty from tiered),
+scored as (select *, case when tier='filtered' then 0.0 else round(support_pr+support_sr+support_clip+pvalue_a+pvalue_b+unique_starts+tightness_bonus+enrichment_over_bg+reciprocal+external+mapq+dup_penalty+promiscuous_penalty,1) end score from parts),
+fill as (select event_id from scored where tier='candidate' order by score desc, event_id limit (select greatest(0, 100 - count(*)) from scored where tier not in ('candidate','filtered'))),
+top as (select *, 'CLU_' || lpad(cast(row_number() over (order by score desc, event_id) as varchar), greatest(3, length(cast(row_number() over (order by score desc, event_id) as varchar))::int), '0') cluster_id from scored where tier not in ('candidate','filtered') or event_id in (select event_id from fill)),
+names as (select unnest(['confirmed','validated','likely','strong_candidate','candidate','filtered']) tier)"""
+_PARTS = ("support_pr", "support_sr", "support_clip", "pvalue_a", "pvalue_b", "unique_starts", "tightness_bonus", "enrichment_over_bg", "reciprocal", "external", "mapq", "dup_penalty", "promiscuous_penalty")
+
+
+def _tiered_sql(select: str) -> str:
+    """SQL over the views, the clusters and their tiers."""
+    return f", {_FULL} {select}"
+
+
 @_query("exclude_and_reject", _REASON)
 def _q(spark, d):
     return tiered(spark, d).select("event_id", "excluded", "rejected")
@@ -300,17 +328,24 @@ def _q(spark, d):
     return tiered(spark, d).select(F.coalesce("excluded", "rejected").alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@_query("tier_assign")
+@_query("nb_pvalues", f", {_TAILS} select event_id, round(p_a, 6) p_a, round(p_b, 6) p_b, round(least(p_a, p_b), 6) background_p, round(-log10(greatest(least(p_a, p_b), 1e-300)), 6) as minus_log10 from ps")
+def _q(spark, d):
+    p = background.background(_clusters(spark, d), _disc(spark, d))
+    decades = F.round(-F.log10(F.greatest("background_p", F.lit(1e-300))), 6)
+    return p.select("event_id", *(F.round(c, 6).alias(c) for c in ("p_a", "p_b", "background_p")), decades.alias("minus_log10"))
+
+
+@_query("tier_assign", _tiered_sql("select event_id, tier, score from scored"))
 def _q(spark, d):
     return tiered(spark, d).select("event_id", "tier", "score")
 
 
-@_query("tier_counts")
+@_query("tier_counts", _tiered_sql("select tier, count(event_id) n from names left join scored using (tier) group by 1"))
 def _q(spark, d):
     return tiers.tier_counts(tiered(spark, d))
 
 
-@_query("top_n")
+@_query("top_n", _tiered_sql("select cluster_id, event_id, tier, score from top"))
 def _q(spark, d):
     return tiers.selected(tiered(spark, d))
 
@@ -331,9 +366,40 @@ def _q(spark, d):
     return output.vcf_rows(_clusters(spark, d))
 
 
-@_query("bedpe_rows", "select ca chrom1, lo_a start1, hi_a+1 end1, cb chrom2, lo_b start2, hi_b+1 end2, event_id as name, support score, orient[1] strand1, orient[2] strand2, sr, pr, 'BND' as type from clusters")
+@_query("bedpe_rows", _tiered_sql("""select ca chrom1, median_a start1, median_a+1 end1, cb chrom2, median_b start2, median_b+1 end2, replace(cluster_id,'CLU','TRA') as name, printf('%.4f', score) score, orient[1] strand1, orient[2] strand2, tier, support, printf('%.6e', bp) bg_pval from top"""))
+def _q(spark, d):
+    rows = stored(tiered(spark, d))
+    return output.bedpe_rows(tiers.selected(rows).join(rows.drop("tier", "score"), "event_id"))
+
+
+@_query("score_v2", _tiered_sql(f"select event_id, score, {', '.join(_PARTS)} from scored where tier <> 'filtered'"))
+def _q(spark, d):
+    return tiered(spark, d).where("tier <> 'filtered'").select("event_id", "score", *(v.alias(k) for k, v in tiers.components().items()))
+
+
+@_query("progressive_label", _tiered_sql("""select event_id, case when pr<3 and sr<1 then 'raw_cluster' when not (p_a<0.01 and p_b<0.01 and dup_fraction<=0.7) then 'enriched_cluster' when not (starts_a>=5 and starts_b>=5 and dup_fraction<=0.5 and not prom and coalesce(median_mapq,0)>=20) then 'strong_cluster'
+ when not (sr>=2 or ext>=1) then 'candidate_junction' when not (ext>=3 or (sr>=3 and pr>=6)) then 'likely_translocation' else 'confirmed' end as label, case when sr>0 and pr>0 then 'multi-evidence' when sr>0 then 'split-supported' else 'discordant-supported' end kind from tiered"""))
+def _q(spark, d):
+    return annotated(spark, d).select("event_id", tiers.label().alias("label"), tiers.evidence_kind().alias("kind"))
+
+
+@_query("reject_reasons", _tiered_sql("""select event_id, case when gone then coalesce(excluded, rejected) else concat_ws(',', case when not own and not strong and pr>=15 and sr=0 and lcr>1.5 then printf('lcr_high:%.1f', lcr) end,
+ case when not own and not strong and pr>=15 and sr=0 and least(starts_a,starts_b)<10 then 'low_unique_starts_for_sr0' end, case when not own and not strong and pr>=15 and sr=0 and pct>=95 then 'segdup_high_identity' end, case when not own and not strong and pr<5 then 'pr_lt5:'||pr end,
+ case when not own and strong and not likely then 'no_split_or_external' end, case when not valid and pr<6 then 'pr_lt6:'||pr end, case when not valid and sr<3 then 'sr_lt3:'||sr end, case when not valid and p_a>=1e-6 then printf('pval_a_high:%.2e', p_a) end, case when not valid and p_b>=1e-6 then printf('pval_b_high:%.2e', p_b) end,
+ case when not valid then 'not_validated' end, case when valid and ext<3 then 'no_confirmation_evidence' end, case when pr<3 and sr<1 then 'below_minimum_support' end) end reasons from tiered"""))
+def _q(spark, d):
+    return tiered(spark, d).select("event_id", F.concat_ws(",", tiers.reject_reasons()).alias("reasons"))
+
+
+@_query("qc_report", _tiered_sql("""select *, case when chimeric_pct<1 then 'normal' when chimeric_pct<5 then 'elevated' else 'high' end chimeric_assessment, case when med between 200 and 600 then 'normal' else 'atypical' end insert_assessment,
+ case when confirmed+validated+likely=0 then 'No high-confidence translocations detected.' else (confirmed+validated+likely+strong_candidate+candidate)||' translocation call'||case when confirmed+validated+likely+strong_candidate+candidate=1 then '' else 's' end||': '
+ ||concat_ws(', ', case when confirmed>0 then confirmed||' confirmed' end, case when validated>0 then validated||' validated' end, case when likely>0 then likely||' likely' end, case when candidate>0 then candidate||' candidate' end)||'.' end summary from
+ (select count(*) filter (tier='confirmed') confirmed, count(*) filter (tier='validated') validated, count(*) filter (tier='likely') likely, count(*) filter (tier='strong_candidate') strong_candidate, count(*) filter (tier='candidate') candidate, count(*) filter (tier='filtered') filtered,
+ (select round(100*round(count(*)/(b*b),9),6) from disc, (select count(*) b from (select distinct chrom, floor(pos/100000) from ends)) group by b) chimeric_pct, (select median(abs(mate_pos-pos)) from reads where chrom=mate_chrom) med from tiered)""").replace("select *, case when chimeric_pct<1", "select * exclude (med), case when chimeric_pct<1"))
 def _q(spark, d):
-    return output.bedpe_rows(_clusters(spark, d))
+    reads = views.reads(spark, d)
+    insert = reads.where("chrom = mate_chrom").agg(F.median(F.abs(F.col("mate_pos") - F.col("pos"))).alias("median_v"))
+    return report.qc_report(tiered(spark, d), legacy.rate(reads, _disc(spark, d)), insert)
 
 
 @_query("stream_tumbling", "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) n, round(sum(value),3) total from events group by 1, 2")

@@ -118,7 +118,8 @@ def _q(spark, d):
     return resolve.metrics(resolve.matched(_truth(spark, d), calls), calls)
 
 
-@_query("near_miss")
+@_query("near_miss", own._tiered_sql("""select event_id, support, 'beyond_top_n' reason from scored where tier = 'candidate' and event_id not in (select event_id from fill)
+ union all select * from (select event_id, support, coalesce(excluded, rejected) reason from scored where tier = 'filtered' and support >= 3 order by support desc, event_id limit 20)"""))
 def _q(spark, d):
     """The candidates that ``top_n`` has no room for, and the 20 best filtered clusters."""
     rows = stored(own.tiered(spark, d).select("event_id", "tier", "score", "support", F.coalesce("excluded", "rejected").alias("reason")))

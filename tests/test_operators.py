@@ -165,3 +165,34 @@ def test_breakend_alleles(spark):
     rows = spark.createDataFrame([("++",), ("+-",), ("-+",), ("--",)], "o string")
     got = {r.o: r.alt for r in rows.select("o", bnd_alt(F.lit("chr2"), F.lit(7), F.col("o")).alias("alt")).collect()}
     assert got == {"++": "N[chr2:7[", "+-": "N]chr2:7]", "-+": "]chr2:7]N", "--": "[chr2:7[N"}
+
+
+def test_labels_and_reasons(spark):
+    fields = "i int, pr int, sr int, p_a double, p_b double, dup_fraction double, starts_a int, starts_b int, partners_a int, partners_b int, median_mapq double, n_ext int, tracks_a array<string>, tracks_b array<string>, segdup_pct_a double, segdup_pct_b double, lcr_a double, lcr_b double, gone boolean, excluded string, rejected string, tier string"
+    base = dict(pr=6, sr=3, p_a=1e-9, p_b=1e-9, dup_fraction=0.0, starts_a=9, starts_b=9, partners_a=1, partners_b=1, median_mapq=60.0, n_ext=0, tracks_a=[], tracks_b=[], segdup_pct_a=0.0, segdup_pct_b=0.0, lcr_a=1.0, lcr_b=1.0, gone=False, excluded=None, rejected=None, tier="validated")
+    cases = [
+        ({}, "confirmed", ["no_confirmation_evidence"]),
+        (dict(pr=2, sr=0, tier="filtered"), "raw_cluster", ["pr_lt5:2", "pr_lt6:2", "sr_lt3:0", "not_validated", "below_minimum_support"]),
+        (dict(p_a=0.5, tier="likely"), "enriched_cluster", ["pval_a_high:5.00e-01", "not_validated"]),
+        (dict(median_mapq=None), "strong_cluster", ["no_confirmation_evidence"]),
+        (dict(sr=1, tier="strong_candidate"), "candidate_junction", ["no_split_or_external", "sr_lt3:1", "not_validated"]),
+        (dict(pr=5, sr=2, tier="likely"), "likely_translocation", ["pr_lt6:5", "sr_lt3:2", "not_validated"]),
+        (dict(pr=20, sr=0, lcr_b=2.04, segdup_pct_a=96.0, tier="candidate"), "candidate_junction", ["lcr_high:2.0", "low_unique_starts_for_sr0", "segdup_high_identity", "sr_lt3:0", "not_validated"]),
+        (dict(gone=True, excluded="centromere_a", rejected="promiscuous"), "confirmed", ["centromere_a"]),
+    ]
+    rows = [tuple({"i": i, **base, **c}[f.split()[0]] for f in fields.split(", ")) for i, (c, _, _) in enumerate(cases)]
+    got = spark.createDataFrame(rows, fields).select("i", tiers.label().alias("label"), tiers.reject_reasons().alias("why")).orderBy("i").collect()
+    assert [(r.label, r.why) for r in got[:6]] == [(a, b) for _, a, b in cases[:6]]
+    assert got[6].why == cases[6][2] and got[7].why == cases[7][2]
+
+
+def test_report_classes_and_summary(spark):
+    from riftline.operators import report
+
+    rows = spark.createDataFrame([("confirmed",), ("candidate",), ("filtered",)], "tier string")
+    one = spark.range(1)
+    full = report.qc_report(rows, one.selectExpr("0.03D rate"), one.selectExpr("400 median_v")).first()
+    assert (full.chimeric_assessment, full.insert_assessment) == ("elevated", "normal")
+    assert full.summary == "2 translocation calls: 1 confirmed, 1 candidate."
+    none = report.qc_report(rows.where("tier = 'filtered'"), one.selectExpr("0.0D rate"), one.selectExpr("900 median_v")).first()
+    assert (none.chimeric_assessment, none.insert_assessment, none.summary) == ("normal", "atypical", "No high-confidence translocations detected.")

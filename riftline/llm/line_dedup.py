@@ -1,7 +1,7 @@
 """Line dedup: a line goes if an earlier one, in any document, is within one edit of it.
 
 Lines are ordered by document id and number. Equal lines have equal 128-bit hashes, and the
-first of them stays. Lines of at least ``SHORTEST`` characters are then compared by deletion
+first of them stays. Lines, however short, are then compared by deletion
 neighbourhood: each emits hashed keys of itself and of its variants with one character
 deleted, and lines with equal keys are joined: equal variants at the same place differ by
 one substitution, a variant that equals a whole line by one insertion. Within a key only the
@@ -14,8 +14,7 @@ for segments outside of which they equal another. No partner is lost by that.
 
 Defined results: null ids, and null texts or texts without words, stay as they are and drop
 nothing; lines of white space are never dropped; a document all of whose other lines are
-dropped goes; shorter lines are dropped only for exact repeats; rows that repeat a document
-are treated alike; other columns are kept. An empty table gives an empty result.
+dropped goes; rows that repeat a document are treated alike; other columns are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import bit_map, in_map, stored
 
-SHORTEST = 20
 SEGMENTS = 16
 #: Bits of the map of lines that may have partners; it only spares lines a shuffle, and its size is fixed.
 BITS = 1 << 24
@@ -74,7 +72,7 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             keys, own = [], []
-            for line in {x for *_, x in _lines(batch.slice(a, 1024)) if len(x) >= SHORTEST}:
+            for line in {x for *_, x in _lines(batch.slice(a, 1024))}:
                 keys += half_keys(line)
                 own += [_own(line)] * 4
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.int64())], names=["half", "hi"])
@@ -123,7 +121,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
-                texts = list({x for *_, x in _lines(batch.slice(a, 1024)) if len(x) >= SHORTEST})
+                texts = list({x for *_, x in _lines(batch.slice(a, 1024))})
                 own = np.fromiter(map(_own, texts), np.int64, len(texts))
                 hit = np.flatnonzero(in_map(held, own)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(own[hit], pa.int64()), pa.array([texts[i] for i in hit], pa.string())], names=["hi", "text"])

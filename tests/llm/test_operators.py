@@ -116,6 +116,28 @@ def test_sketch_estimates(spark):
     assert abs(r.j - 0.5) < 0.15 and abs(r.n / 2996 - 1) < 0.3 and abs(r.c - 2 / 3) < 0.2
 
 
+def test_lines_of_any_length_against_brute_force(spark):
+    import random
+
+    def near(x, y):
+        if abs(len(x) - len(y)) > 1:
+            return False
+        if len(x) == len(y):
+            return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
+        x, y = sorted((x, y), key=len)
+        return any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+    draw = random.Random(5)
+    lines = ["".join(draw.choice("abcdefgh") for _ in range(draw.choice((1, 2, 4, 6, 9, 19, 33)))) for _ in range(150)]
+    for x in lines[60:100]:
+        i = draw.randrange(len(x))
+        lines.append(draw.choice((x[:i] + x[i + 1 :], x[:i] + "z" + x[i + 1 :], x[:i] + "z" + x[i:])) or "q")
+    draw.shuffle(lines)
+    want = [i for i, x in enumerate(lines) if not any(near(x, y) for y in lines[:i])]
+    got = line_dedup.deduped(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_line_dedup(spark, docs, none):
     assert line_dedup.deduped(none).count() == 0
     long = "the quick brown fox jumps over the lazy dog again"

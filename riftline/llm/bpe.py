@@ -4,8 +4,9 @@ Texts are split by the vocabulary's own pattern into words, block by block of th
 block keeps its distinct words once and each text as places in that list. The blocks'
 words are dealt and sorted by word into one distinct-word table, where each is encoded
 once; its ids go back to the blocks that have it, and are joined there by place. Decoding
-joins the ids that each block uses with the id-to-piece table, which the vocabulary bounds
-and which is therefore broadcast; a text's pieces are then gathered by id.
+joins the ids that each task of the word table meets with the id-to-piece table, which the
+vocabulary bounds and which is therefore broadcast; the pieces go to the blocks with the ids,
+and a text's pieces are gathered there by id.
 
 The places are made by a second pass over the texts instead of being written beside the
 words. Both passes must deal the same rows to the same blocks, which holds for tables; a
@@ -152,7 +153,10 @@ HELD = 500_000
 
 
 def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
-    """Rows (block, place, word), sorted by word, to packed entries (block, places, sizes, tokens) with the distinct ids they use."""
+    """Rows (block, place, word), sorted by word, to packed entries (block, places, sizes, tokens).
+
+    Before the entries come, in rows of their own (used), the ids that the task hasn't met yet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -163,21 +167,26 @@ def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        held, count = [], 0
+        names = ["block", "places", "sizes", "tokens", "used"]
+        held, count, met = [], 0, np.zeros(0, np.int32)
         last: tuple[str | None, list[int]] = (None, [])
 
         def handed_on() -> Iterator[pa.RecordBatch]:
+            nonlocal met
             block, place, size, first = (np.concatenate([h[k] for h in held]) for k in range(4))
             flat = np.concatenate([h[4] for h in held])
             first += np.repeat(np.cumsum([0, *(len(h[4]) for h in held[:-1])]), [len(h[0]) for h in held]).astype(np.int32)
             held.clear()
+            used = np.setdiff1d(flat, met)
+            met = np.union1d(met, used)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([None], pa.binary())] * 3, pa.array([used], pa.list_(pa.int32()))], names=names)
             order = np.argsort(block, kind="stable").astype(np.int32)
             cuts = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 at = order[a:b]
                 n = size[at]
                 ids = flat[np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(block[at[:1]]), *(pa.array([packed(x)], pa.binary()) for x in (place[at], n, ids)), pa.array([np.unique(ids)], pa.list_(pa.int32()))], names=["block", "places", "sizes", "tokens", "used"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[at[:1]]), *(pa.array([packed(x)], pa.binary()) for x in (place[at], n, ids)), pa.array([None], pa.list_(pa.int32()))], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -201,27 +210,25 @@ def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
 
 
 def _with_pieces(entries: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """The packed entries, and beside them the ids each block uses, joined with their pieces and packed as (block, ids, pieces)."""
+    """The packed entries with the ids they use and these ids' pieces, packed as (ids, pieces).
+
+    The ids are joined with the id-to-piece table once a task, not once an entry: there are as many entries as tasks
+    times blocks. A broadcast join keeps the order of its rows, so an id's piece comes before the entries that use it.
+    """
     table = entries.sparkSession.createDataFrame(pa.table([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["id", "piece"]))
-    own = F.struct("places", "sizes", "tokens", F.lit(None).cast("int").alias("id"))
-    none = F.lit(None).cast("binary")
-    ids = F.transform("used", lambda i: F.struct(none.alias("places"), none.alias("sizes"), none.alias("tokens"), i.alias("id")))
-    flat = entries.select("block", F.explode(F.concat(F.array(own), ids)).alias("e")).select("block", "e.*")
     # a row for each id of the vocabulary
-    joined = flat.join(F.broadcast(table), "id", "left").select("block", "places", "sizes", "tokens", "id", "piece")
+    joined = entries.select("block", "places", "sizes", "tokens", F.explode_outer("used").alias("id")).join(F.broadcast(table), "id", "left").select("block", "places", "sizes", "tokens", "id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, bytes] = {}
         for batch in batches:
-            block, id = batch.column(0).to_numpy(), batch.column(4)
-            entry = id.is_null().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.r_[True, entry[1:] | entry[:-1] | (block[1:] != block[:-1]), True]) if batch.num_rows else np.zeros(1, int)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if entry[a]:
-                    out = [*(batch.column(c).slice(a, 1) for c in range(4)), pa.array([None], pa.binary()), pa.array([None], pa.binary())]
-                else:
-                    own = batch.column(5).slice(a, b - a).to_pylist()
-                    texts = packed(np.array([len(x) for x in own])) + b"".join(own)
-                    out = [pa.array(block[a : a + 1]), *[pa.array([None], pa.binary())] * 3, pa.array([packed(id.slice(a, b - a).to_numpy())], pa.binary()), pa.array([texts], pa.binary())]
+            ids, pieces = batch.column(4), batch.column(5)
+            known.update((i, p) for i, p in zip(ids.to_pylist(), pieces.to_pylist(), strict=True) if i is not None)
+            for a in np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                used = np.unique(unpacked(batch.column(3)[a].as_py()))
+                own = [known[i] for i in used.tolist()]
+                texts = packed(np.array([len(x) for x in own])) + b"".join(own)
+                out = [*(batch.column(c).slice(a, 1) for c in range(4)), pa.array([packed(used)], pa.binary()), pa.array([texts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, names=["block", "places", "sizes", "tokens", "ids", "pieces"])
 
     return joined.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, ids binary, pieces binary")
@@ -231,7 +238,7 @@ class _Block:
     """A block's encoded words and its id-to-piece table."""
 
     def __init__(self, rows: list[dict[str, bytes]]):
-        parts = [[unpacked(r[c]) for r in rows if r["places"] is not None] for c in ("places", "sizes", "tokens")]
+        parts = [[unpacked(r[c]) for r in rows] for c in ("places", "sizes", "tokens")]
         place, length, mixed = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts)
         order = np.argsort(place)
         length, start = length[order], (np.cumsum(length) - length)[order]
@@ -240,11 +247,10 @@ class _Block:
         self.size = length
         self.piece: dict[int, bytes] = {}
         for r in rows:
-            if r["pieces"] is not None:
-                head = zstandard.ZstdDecompressor().decompressobj()
-                sizes = np.ascontiguousarray(np.frombuffer(head.decompress(r["pieces"]), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-                text, ends = head.unused_data, np.cumsum(sizes).tolist()
-                self.piece.update(zip(unpacked(r["ids"]).tolist(), (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+            head = zstandard.ZstdDecompressor().decompressobj()
+            sizes = np.ascontiguousarray(np.frombuffer(head.decompress(r["pieces"]), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+            text, ends = head.unused_data, np.cumsum(sizes).tolist()
+            self.piece.update(zip(unpacked(r["ids"]).tolist(), (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
 
     def texts(self, ids: list[int | None], lengths: list[int], packed_places: bytes) -> pa.RecordBatch:
         """Joins words to texts by place, and pieces to ids."""

@@ -4,9 +4,9 @@ Texts are split by the vocabulary's own pattern into words, block by block of th
 block keeps its distinct words once and each text as places in that list. The blocks'
 words are dealt and sorted by word into one distinct-word table, where each is encoded
 once; its ids go back to the blocks that have it, and are joined there by place. Decoding
-joins the ids that each task of the word table meets with the id-to-piece table, which the
-vocabulary bounds and which is therefore broadcast; the pieces go to the blocks with the ids,
-and a text's pieces are gathered there by id.
+joins the ids of the distinct words with the id-to-piece table, which the vocabulary bounds
+and which is therefore broadcast; the pieces go to the blocks with the ids, and are joined
+to texts by the same places.
 
 The places are made by a second pass over the texts instead of being written beside the
 words. Both passes must deal the same rows to the same blocks, which holds for tables; a
@@ -148,14 +148,20 @@ def _blocks(docs: DataFrame, special: list[str], give_words: bool, block: int, r
     return docs.select("doc_id", "text", F.spark_partition_id()).mapInArrow(run, schema)
 
 
-#: Entries of the word table that a task holds before it hands them on.
+#: Rows of the word table that a task holds before it hands them on.
 HELD = 500_000
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that start at ``first`` and are ``n`` long, one after the other."""
+    return flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
-    """Rows (block, place, word), sorted by word, to packed entries (block, places, sizes, tokens).
+    """Rows (block, place, word), sorted by word, as a table of distinct words and the places that use them.
 
-    Before the entries come, in rows of their own (used), the ids that the task hasn't met yet.
+    Hands on, in this order and again for each ``most`` places: a row with the words' sizes in ids, a row with all their
+    ids, and for each block a row of its places and of the words there, as numbers of these words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,26 +173,24 @@ def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        names = ["block", "places", "sizes", "tokens", "used"]
-        held, count, met = [], 0, np.zeros(0, np.int32)
+        held, count = [], 0
         last: tuple[str | None, list[int]] = (None, [])
 
+        def row(block=None, places=None, words=None, sizes=None, ids=None) -> pa.RecordBatch:
+            binary = [pa.array([x], pa.binary()) for x in (places, words, sizes)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *binary, pa.array([ids], pa.list_(pa.int32()))], names=["block", "places", "words", "sizes", "ids"])
+
         def handed_on() -> Iterator[pa.RecordBatch]:
-            nonlocal met
-            block, place, size, first = (np.concatenate([h[k] for h in held]) for k in range(4))
-            flat = np.concatenate([h[4] for h in held])
-            first += np.repeat(np.cumsum([0, *(len(h[4]) for h in held[:-1])]), [len(h[0]) for h in held]).astype(np.int32)
+            block, place, word, size, ids = (np.concatenate([h[k] for h in held]) for k in range(5))
+            word = word + np.repeat(np.cumsum([0, *(len(h[3]) for h in held[:-1])]), [len(h[0]) for h in held])
             held.clear()
-            used = np.setdiff1d(flat, met)
-            met = np.union1d(met, used)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *[pa.array([None], pa.binary())] * 3, pa.array([used], pa.list_(pa.int32()))], names=names)
-            order = np.argsort(block, kind="stable").astype(np.int32)
+            yield row(sizes=packed(size))
+            yield row(ids=ids)
+            order = np.argsort(block, kind="stable")
             cuts = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 at = order[a:b]
-                n = size[at]
-                ids = flat[np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(block[at[:1]]), *(pa.array([packed(x)], pa.binary()) for x in (place[at], n, ids)), pa.array([None], pa.list_(pa.int32()))], names=names)
+                yield row(block[at[0]], packed(place[at]), packed(word[at]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -196,9 +200,7 @@ def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
             ids = [e.ids for e in tokenizer.encode_batch_fast(distinct[distinct[0] == last[0] :], add_special_tokens=False)]
             ids = [last[1], *ids] if distinct[0] == last[0] else ids
             last = (distinct[-1], ids[-1])
-            index, size = coded.indices.to_numpy(), np.array([len(x) for x in ids], np.int32)
-            first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int32)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), size[index], first[index], np.fromiter((i for x in ids for i in x), np.int32)))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), coded.indices.to_numpy(), np.array([len(x) for x in ids], np.int64), np.fromiter((i for x in ids for i in x), np.int32)))
             count += batch.num_rows
             if count >= most:
                 yield from handed_on()
@@ -206,65 +208,73 @@ def _encoded(words: DataFrame, vocabulary: str, most: int) -> DataFrame:
         if held:
             yield from handed_on()
 
-    return words.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, used array<int>")
+    return words.mapInArrow(run, "block long, places binary, words binary, sizes binary, ids array<int>")
 
 
-def _with_pieces(entries: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """The packed entries with the ids they use and these ids' pieces, packed as (ids, pieces).
+def _with_pieces(table: DataFrame, pieces: list[bytes]) -> DataFrame:
+    """Joins the ids of the distinct words with their pieces; per block: places, sizes in ids, ids, sizes in bytes and bytes of the words there.
 
-    The ids are joined with the id-to-piece table once a task, not once an entry: there are as many entries as tasks
-    times blocks. A broadcast join keeps the order of its rows, so an id's piece comes before the entries that use it.
+    The ids are joined once a distinct word, however many blocks have it. A broadcast join keeps the order of its
+    rows, so that words come before the places that use them; words without all their ids raise.
     """
-    table = entries.sparkSession.createDataFrame(pa.table([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["id", "piece"]))
     # a row for each id of the vocabulary
-    joined = entries.select("block", "places", "sizes", "tokens", F.explode_outer("used").alias("id")).join(F.broadcast(table), "id", "left").select("block", "places", "sizes", "tokens", "id", "piece")
+    known = table.sparkSession.createDataFrame(pa.table([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["id", "piece"]))
+    joined = table.select("block", "places", "words", "sizes", F.explode_outer("ids").alias("id")).join(F.broadcast(known), "id", "left").select("block", "places", "words", "sizes", "id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, bytes] = {}
-        for batch in batches:
-            ids, pieces = batch.column(4), batch.column(5)
-            known.update((i, p) for i, p in zip(ids.to_pylist(), pieces.to_pylist(), strict=True) if i is not None)
-            for a in np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                used = np.unique(unpacked(batch.column(3)[a].as_py()))
-                own = [known[i] for i in used.tolist()]
-                texts = packed(np.array([len(x) for x in own])) + b"".join(own)
-                out = [*(batch.column(c).slice(a, 1) for c in range(4)), pa.array([packed(used)], pa.binary()), pa.array([texts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["block", "places", "sizes", "tokens", "ids", "pieces"])
+        size, ids, pieces, tables = np.zeros(0, np.int64), [], [], None
+
+        def made() -> tuple[np.ndarray, ...]:
+            """The words' ids, and their bytes, each with where a word starts and its size."""
+            own, text = np.concatenate(ids), np.frombuffer(b"".join(pieces), np.uint8)
+            if len(own) != size.sum():
+                raise RuntimeError("the ids of words have come out of order")
+            ends = np.r_[0, np.cumsum(size)]
+            width = np.diff(np.r_[0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))][ends])
+            return own, ends[:-1], text, np.cumsum(width) - width, width
 
-    return joined.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, ids binary, pieces binary")
+        for batch in batches:
+            entry, head, id = (batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in (0, 3, 4))
+            cuts = np.flatnonzero(np.r_[True, ~id[1:] | ~id[:-1], True]) if batch.num_rows else np.zeros(1, int)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if head[a]:
+                    size, ids, pieces, tables = unpacked(batch.column(3)[a].as_py()).astype(np.int64), [], [], None
+                elif id[a]:
+                    ids.append(batch.column(4).slice(a, b - a).to_numpy())
+                    pieces += batch.column(5).slice(a, b - a).to_pylist()
+                elif entry[a]:
+                    own, start, text, begin, width = tables = tables or made()
+                    word = unpacked(batch.column(2)[a].as_py())
+                    n, m = size[word], width[word]
+                    out = [packed(n), packed(_gathered(own, start[word], n)), packed(m), zstandard.compress(_gathered(text, begin[word], m).tobytes(), 3)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), batch.column(1).slice(a, 1), *(pa.array([x], pa.binary()) for x in out)], names=["block", "places", "sizes", "tokens", "widths", "pieces"])
+
+    return joined.mapInArrow(run, "block long, places binary, sizes binary, tokens binary, widths binary, pieces binary")
 
 
 class _Block:
-    """A block's encoded words and its id-to-piece table."""
+    """A block's words by place: their ids, and their bytes."""
 
     def __init__(self, rows: list[dict[str, bytes]]):
-        parts = [[unpacked(r[c]) for r in rows] for c in ("places", "sizes", "tokens")]
-        place, length, mixed = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts)
+        place, self.size, tokens, self.width = (np.concatenate([unpacked(r[c]) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int64) for c in ("places", "sizes", "tokens", "widths"))
+        text = np.frombuffer(b"".join(zstandard.decompress(r["pieces"]) for r in rows), np.uint8)
         order = np.argsort(place)
-        length, start = length[order], (np.cumsum(length) - length)[order]
-        self.bounds = np.r_[0, np.cumsum(length)]
-        self.flat = mixed[np.repeat(start - self.bounds[:-1], length) + np.arange(len(mixed))]
-        self.size = length
-        self.piece: dict[int, bytes] = {}
-        for r in rows:
-            head = zstandard.ZstdDecompressor().decompressobj()
-            sizes = np.ascontiguousarray(np.frombuffer(head.decompress(r["pieces"]), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-            text, ends = head.unused_data, np.cumsum(sizes).tolist()
-            self.piece.update(zip(unpacked(r["ids"]).tolist(), (text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        first, begin = ((np.cumsum(x) - x)[order] for x in (self.size, self.width))
+        self.size, self.width = self.size[order], self.width[order]
+        self.tokens, self.text = _gathered(tokens, first, self.size), _gathered(text, begin, self.width)
+        self.first, self.begin = np.cumsum(self.size) - self.size, np.cumsum(self.width) - self.width
 
     def texts(self, ids: list[int | None], lengths: list[int], packed_places: bytes) -> pa.RecordBatch:
-        """Joins words to texts by place, and pieces to ids."""
+        """Joins words to texts by place: their ids, and the bytes of these ids' pieces."""
         places, lengths = unpacked(packed_places), np.array(lengths, np.int64)
         if len(places) and int(places.max()) >= len(self.size):
             raise RuntimeError("a block's words are not those of its texts: the input changed between two passes; store it as a table first")
-        ends, n = np.cumsum(lengths), self.size[places]
-        # all ids of the row at once: the run of each word's ids, one after the other
-        first = np.repeat(self.bounds[places] - np.r_[0, np.cumsum(n)[:-1]], n) if len(places) else np.zeros(0, np.int64)
-        tokens = self.flat[first + np.arange(len(first))]
-        per = np.add.reduceat(np.r_[n, 0], np.minimum(ends - lengths, len(n))) * (lengths > 0)
-        until = np.r_[0, np.cumsum(per)]
-        own = list(map(self.piece.__getitem__, tokens.tolist()))
-        decoded = [b"".join(own[a:b]).decode("utf-8", "replace") for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
+        n, m = self.size[places], self.width[places]
+        tokens = _gathered(self.tokens, self.first[places], n)
+        text = _gathered(self.text, self.begin[places], m).tobytes()
+        ends = np.cumsum(lengths)
+        until, to = (np.r_[0, np.cumsum(x)][np.r_[0, ends]] for x in (n, m))
+        decoded = [text[a:b].decode("utf-8", "replace") for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
         listed = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(tokens, pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), listed, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 

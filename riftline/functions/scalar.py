@@ -23,10 +23,15 @@ def parsed_sa(tag: Column) -> Column:
     return F.filter(F.transform(F.split(tag, ";"), entry), lambda e: e["pos"].isNotNull() & e["mapq"].isNotNull() & e["nm"].isNotNull())
 
 
+def cigar_bases(cigar: Column, ops: str) -> Column:
+    """The sum of the lengths of a CIGAR's operations among ``ops``."""
+    lengths = F.transform(F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1)), lambda x: x.cast("long"))
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def aligned_length(cigar: Column) -> Column:
     """Reference bases that a CIGAR consumes: the sum of its M, D, N, = and X lengths."""
-    lengths = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), lambda x: x.cast("long"))
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+    return cigar_bases(cigar, "MDN=X")
 
 
 def clip_side_length(cigar: Column) -> Column:
@@ -40,6 +45,18 @@ def name_hash(name: Column) -> Column:
     return F.substring(F.md5(name.cast("binary")), 1, 12)
 
 
+def name_number(hashed: Column) -> Column:
+    """The number that a name's hash writes in hexadecimal; 0 if it is none."""
+    return F.when(hashed.rlike("^[0-9a-fA-F]{1,15}$"), F.conv(hashed, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def parsed_region(text: Column) -> Column:
+    """struct<chrom,pos> of contig:position; null if it isn't that."""
+    p = F.split(text, ":")
+    pos = F.get(p, F.lit(1)).try_cast("long")
+    return F.when((F.size(p) == 2) & pos.isNotNull(), F.struct(normalized_chrom(F.get(p, F.lit(0))).alias("chrom"), pos.alias("pos")))
+
+
 def orientation(reverse: Column, mate_reverse: Column) -> Column:
     return F.concat(F.when(reverse, "-").otherwise("+"), F.when(mate_reverse, "-").otherwise("+"))
 

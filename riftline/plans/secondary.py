@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..storage import stored
-from ..operators import annotate, background, clips, evidence, legacy, resolve, tiers
+from ..operators import annotate, background, clips, evidence, legacy, reads, resolve, tiers
 from ..sources import views
 from . import queries as own
 from .queries import ORACLES, QUERIES, _query  # noqa: F401
@@ -140,3 +140,52 @@ def _q(spark, d):
 
     counts = live.drained(live.counts(live.events(spark, d), "1 hour"))
     return counts.select("start", "event_type", "n").orderBy(F.desc("n"), "start", "event_type").limit(12).where("n >= 2")
+
+
+_RECORDS = """select l_orderkey, l_linenumber, cast((l_orderkey * 37 + l_linenumber * 101) % 4096 as int) as flag, cast(l_quantity as int) + 10 as mapq,
+ case when l_suppkey % 9 = 8 then 'chrUn' else concat('chr', cast(l_suppkey % 6 + 1 as STR)) end as chrom,
+ case when l_partkey % 11 = 10 then 'chrUn' else concat('chr', cast(l_partkey % 6 + 1 as STR)) end as mate_chrom,
+ cast(l_partkey % 900 as int) - 200 as tlen, cast(l_quantity as int) + 30 as aligned, cast(l_suppkey % 60 as int) as clipped,
+ cast(l_partkey % 60 as int) as sa_mapq, cast(l_suppkey % 45 as int) + 10 as sa_aligned from lineitem"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.view(spark, d, "lineitem", _RECORDS)
+    cigar = F.concat(F.col("aligned").cast("string"), F.lit("M"), F.when(F.col("clipped") > 0, F.format_string("%dS", "clipped")).otherwise(""))
+    return rows.withColumns({"cigar": cigar, "sa": F.when(F.col("l_linenumber") <= 4, F.format_string("%s,1000,+,%dM,%d,0;", "mate_chrom", "sa_aligned", "sa_mapq"))})
+
+
+@_query("read_kinds", f"""select l_orderkey, l_linenumber, (flag & 3840) = 0 and mapq >= 20 and (flag & 8) = 0 and mate_chrom <> chrom and mate_chrom <> 'chrUn' discordant,
+ mapq >= 20 and (flag & 3328) = 0 and l_linenumber <= 4 split, clipped >= 20 clip from ({_RECORDS}) where (flag & 4) = 0 and chrom <> 'chrUn'""")
+def _q(spark, d):
+    rows = reads.primary(_records(spark, d))
+    return rows.select("l_orderkey", "l_linenumber", reads.is_discordant().alias("discordant"), reads.is_split().alias("split"), reads.is_clipped().alias("clip"))
+
+
+@_query("split_partners", f"""select l_orderkey, l_linenumber, case when mate_chrom = 'chrUn' then 'non_primary_chrom' when sa_mapq < 20 then 'sa_mapq_low(' || sa_mapq || ')'
+ when aligned < least_ or sa_aligned < least_ then 'aligned_too_short(pri=' || aligned || ',sa=' || sa_aligned || ',min=' || least_ || ')' else 'accepted' end reason
+ from (select *, greatest({reads.DEFAULTS.min_split_aligned}, cast(floor((aligned + clipped) * cast(0.3 as double)) as bigint)) least_ from ({_RECORDS}))
+ where (flag & 4) = 0 and chrom <> 'chrUn' and mapq >= 20 and (flag & 3328) = 0 and l_linenumber <= 4 and mate_chrom <> chrom""")
+def _q(spark, d):
+    rows = reads.partners(reads.primary(_records(spark, d)).where(reads.is_split()))
+    return rows.select("l_orderkey", "l_linenumber", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+@_query("insert_sizes", f"select l_orderkey, l_linenumber, tlen from ({_RECORDS}) where (flag & 2) = 2 and (flag & 3852) = 0 and chrom = mate_chrom and tlen > 0")
+def _q(spark, d):
+    return reads.insert_sizes(_records(spark, d)).select("l_orderkey", "l_linenumber", "tlen")
+
+
+@_query("anomalous_contigs", "select * from (select chrom, count(*) reads from reads group by 1) join (select chrom, count(*) discordant from disc group by 1) using (chrom) where discordant > 0.05 * reads")
+def _q(spark, d):
+    return reads.anomalous_contigs(views.reads(spark, d), own._disc(spark, d))
+
+
+@_query("name_numbers", "select read_name_hash, ('0x' || read_name_hash)::bigint number from reads")
+def _q(spark, d):
+    return views.reads(spark, d).select("read_name_hash", scalar.name_number(F.col("read_name_hash")).alias("number"))
+
+
+@_query("region_reads", "select read_name_hash, chrom, pos from reads where (chrom = 'chr1' and pos between 2000000 and 6000000) or (chrom = 'chr2' and pos between 13000000 and 17000000)")
+def _q(spark, d):
+    return reads.in_regions(views.reads(spark, d), ["chr1:4000000", "2:15000000", "nowhere"]).select("read_name_hash", "chrom", "pos")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 class ScanSettings:
     min_mapq: int = 20
     min_clip_length: int = 20
+    min_split_aligned: int = 30
     min_pileup_depth: int = 4
     pileup_window: int = 5
     merge_distance: int = 500

@@ -196,3 +196,25 @@ def test_report_classes_and_summary(spark):
     assert full.summary == "2 translocation calls: 1 confirmed, 1 candidate."
     none = report.qc_report(rows.where("tier = 'filtered'"), one.selectExpr("0.0D rate"), one.selectExpr("900 median_v")).first()
     assert (none.chimeric_assessment, none.insert_assessment, none.summary) == ("normal", "atypical", "No high-confidence translocations detected.")
+
+
+def test_raw_reads(spark):
+    from riftline.functions import scalar
+    from riftline.operators import reads
+
+    schema = "n int, flag int, chrom string, mapq int, mate_chrom string, tlen int, cigar string, sa string"
+    rows = [
+        (1, 2, "chr1", 60, "chr1", 300, "100M", None), (2, 0, "chr1", 60, "chr2", 0, "70M30S", "chr3,5,+,40M,60,0;chr1,9,+,40M,60,0;chr4,5,+,20M10D,60,0;chr5,5,+,90M,19,0;chrUn,5,+,90M,60,0;"),
+        (3, 0x400, "chr1", 60, "chr2", 300, "100M", "chr3,5,+,40M,60,0;"), (4, 4, "chr1", 60, "chr2", 0, None, None), (5, None, "chr9", None, None, None, None, None), (6, 0, "chrUn", 60, "chr2", 0, "100M", None),
+    ]
+    rec = spark.createDataFrame(rows, schema)
+    kinds = reads.primary(rec).select("n", reads.is_discordant(), reads.is_split(), reads.is_clipped())
+    assert sorted(map(tuple, kinds.collect())) == [(1, False, False, False), (2, True, True, True), (3, False, False, False), (5, False, False, False)]
+    got = {r["s"]["chrom"]: r["reason"] for r in reads.partners(rec.where(reads.is_split()), least=30).collect()}
+    assert got == {"chr3": None, "chr4": None, "chr5": "sa_mapq_low(19)", "chrUn": "non_primary_chrom"}
+    got = {r["s"]["chrom"]: r["reason"] for r in reads.partners(rec.where(reads.is_split()), least=35).collect()}
+    assert got["chr4"] == "aligned_too_short(pri=70,sa=30,min=35)" and got["chr3"] is None
+    assert [r["n"] for r in reads.insert_sizes(rec).collect()] == [1]
+    hashes = spark.createDataFrame([("ff",), ("zz",), (None,), ("",)], "h string").select(scalar.name_number(scalar.F.col("h"))).collect()
+    assert [r[0] for r in hashes] == [255, 0, 0, 0]
+    assert reads.primary(rec.limit(0)).count() == 0

@@ -42,31 +42,38 @@ def absorbed(calls: DataFrame, band: int = DEFAULTS.band) -> DataFrame:
     return dealt.groupBy("ca", "cb", "near").applyInPandas(run, "event_id string, score double, donor string, support long")
 
 
-def matched(truth: DataFrame, calls: DataFrame, band: int = DEFAULTS.band) -> DataFrame:
+def matched(truth: DataFrame, calls: DataFrame, window: int = 1_000_000) -> DataFrame:
     """One row per truth event (truth_id, chrom_a, pos_a, chrom_b, pos_b): the nearest call that no earlier event took.
 
-    Nearness is the sum of both sides' distances, ties to the smaller event_id; sides match
-    in either order and contig names with or without ``chr``. Truth goes by its id. Returns
-    truth_id, event_id and distance, both null without a match.
+    Both sides must lie within the event's own match_window, or ``window`` where that is null, 0 or
+    missing. Nearness is the sum of both distances, ties to the smaller event_id; sides match in either
+    order and contig names with or without ``chr``. Truth goes by its id. Returns truth_id, event_id and
+    distance, both null without a match.
     """
     bare = lambda c: F.regexp_replace(c, "^chr", "")
     swapped = bare("chrom_a") > bare("chrom_b")
-    pick = lambda x, y: F.when(swapped, F.col(y)).otherwise(F.col(x))
-    events = truth.select(F.lit(0).alias("kind"), F.col("truth_id").cast("string").alias("id"), F.col("truth_id").cast("long").alias("turn"), F.least(bare("chrom_a"), bare("chrom_b")).alias("ca"), F.greatest(bare("chrom_a"), bare("chrom_b")).alias("cb"), pick("pos_a", "pos_b").cast("long").alias("a"), pick("pos_b", "pos_a").cast("long").alias("b"))
-    own = calls.select(F.lit(1).alias("kind"), F.col("event_id").alias("id"), F.lit(None).cast("long").alias("turn"), bare("ca").alias("ca"), bare("cb").alias("cb"), F.col("median_a").cast("long").alias("a"), F.col("median_b").cast("long").alias("b"))
+    pick = lambda x, y: F.when(swapped, F.col(y)).otherwise(F.col(x)).cast("long")
+    wide = F.coalesce(F.nullif(F.col("match_window").cast("long"), F.lit(0).cast("long")), F.lit(window)) if "match_window" in truth.columns else F.lit(window)
+    events = truth.select(F.col("truth_id").cast("long").alias("truth_id"), F.least(bare("chrom_a"), bare("chrom_b")).alias("ca"), F.greatest(bare("chrom_a"), bare("chrom_b")).alias("cb"), pick("pos_a", "pos_b").alias("a"), pick("pos_b", "pos_a").alias("b"), wide.cast("long").alias("wide"))
+    most = events.agg(F.max("wide")).first()[0] or window
+    # events further apart than both windows can't want the same call
+    dealt = islands(events, ["ca", "cb"], "a", 2 * most, "near")
+    cell = lambda x: F.floor(x / window).cast("long")
+    at = dealt.withColumn("cell", F.explode(F.sequence(cell(F.col("a") - F.col("wide")), cell(F.col("a") + F.col("wide")))))
+    own = calls.select("event_id", bare("ca").alias("ca"), bare("cb").alias("cb"), F.col("median_a").cast("long").alias("x"), F.col("median_b").cast("long").alias("y")).withColumn("cell", cell(F.col("x")))
+    da, db = F.abs(F.col("x") - F.col("a")), F.abs(F.col("y") - F.col("b"))
+    pairs = at.join(own, ["ca", "cb", "cell"]).where((da <= F.col("wide")) & (db <= F.col("wide"))).select("ca", "cb", "near", "truth_id", "event_id", (da + db).alias("distance"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = pdf[pdf.kind == 1].sort_values("id"), []
-        for t in pdf[pdf.kind == 0].sort_values("turn").itertuples():
-            da, db = (free.a - t.a).abs(), (free.b - t.b).abs()
-            far = (da + db)[(da <= band) & (db <= band)]
-            took = far.idxmin() if len(far) else None
-            out.append((int(t.turn), None if took is None else free.id[took], None if took is None else int(far[took])))
-            free = free if took is None else free.drop(took)
-        return pd.DataFrame(out, columns=["truth_id", "event_id", "distance"])
-
-    dealt = islands(events.unionByName(own), ["ca", "cb"], "a", band, "near")
-    return dealt.groupBy("ca", "cb", "near").applyInPandas(run, "truth_id long, event_id string, distance long")
+        taken, out = set(), {}
+        for t in pdf.sort_values(["truth_id", "distance", "event_id"]).itertuples():
+            if t.truth_id not in out and t.event_id not in taken:
+                taken.add(t.event_id)
+                out[t.truth_id] = (t.truth_id, t.event_id, t.distance)
+        return pd.DataFrame(list(out.values()), columns=["truth_id", "event_id", "distance"])
+
+    took = pairs.groupBy("ca", "cb", "near").applyInPandas(run, "truth_id long, event_id string, distance long")
+    return events.select("truth_id").join(took, "truth_id", "left")
 
 
 def metrics(matches: DataFrame, calls: DataFrame) -> DataFrame:

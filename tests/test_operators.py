@@ -218,3 +218,15 @@ def test_raw_reads(spark):
     hashes = spark.createDataFrame([("ff",), ("zz",), (None,), ("",)], "h string").select(scalar.name_number(scalar.F.col("h"))).collect()
     assert [r[0] for r in hashes] == [255, 0, 0, 0]
     assert reads.primary(rec.limit(0)).count() == 0
+
+
+def test_truth_windows(spark):
+    from riftline.operators import resolve
+
+    truth = spark.createDataFrame([(0, "1", 5_000_000, "chr2", 100, 0), (1, "chr1", 5_100_000, "2", 100, 500), (2, "chr2", 100, "chr1", 5_100_400, 500), (3, "chr3", 1, "chr4", 1, None)], "truth_id int, chrom_a string, pos_a long, chrom_b string, pos_b long, match_window int")
+    calls = spark.createDataFrame([("x", "chr1", "chr2", 5_900_000, 100), ("y", "chr1", "chr2", 5_100_300, 200)], "event_id string, ca string, cb string, median_a long, median_b long")
+    # the first event takes the nearest call within the default window; no call is left within the others' own
+    got = {r["truth_id"]: (r["event_id"], r["distance"]) for r in resolve.matched(truth, calls).collect()}
+    assert got == {0: ("y", 100_400), 1: (None, None), 2: (None, None), 3: (None, None)}
+    got = {r["truth_id"]: r["event_id"] for r in resolve.matched(truth.where("truth_id > 0"), calls).collect()}
+    assert got == {1: "y", 2: None, 3: None}

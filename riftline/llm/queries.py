@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, line_dedup, minhash_dedup, mixing, nearest, pii, quality, toxicity
+from . import bpe, decontaminate, fingerprints, language_id, line_dedup, minhash_dedup, mixing, nearest, pii, quality, toxicity
 from .common import read
 
 
@@ -50,6 +50,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(read(spark, sf_dir, "documents"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.checked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": _op1,
     "op2_minhash_near_dedup": _op2,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_toxicity": _op8,
     "op9_quality": _op9,
     "op10_language_id": _op10,
+    "op13_decontamination": _op13,
 }
 
 #: Water filling, written independently: sources sorted by cap per weight, capped ones first.
@@ -76,4 +81,21 @@ rated AS (SELECT d.doc_id, d.size, s, target, CASE WHEN s > 0 THEN target / s EL
 SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated
 """
 
-ORACLES = {"op3_mixing_to_target_weights": _OP3}
+#: Every window of every text against every window of every item, without fingerprints.
+_OP13 = r"""
+WITH ours AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+known AS (SELECT DISTINCT item_id, least(len(w), 10) AS span, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+          FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+spans AS (SELECT DISTINCT span FROM known),
+places AS (SELECT doc_id, a, span, array_to_string(w[a:a + span - 1], ' ') AS win
+           FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS a FROM ours, spans WHERE len(w) >= span)),
+found AS (SELECT doc_id, a, p.span, item_id FROM places p JOIN known k ON p.span = k.span AND p.win = k.win),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + span)) AS pos FROM found) GROUP BY doc_id),
+lists AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT o.doc_id, CAST(len(o.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM ours o LEFT JOIN hits h ON o.doc_id = h.doc_id LEFT JOIN lists l ON o.doc_id = l.doc_id
+"""
+
+ORACLES = {"op3_mixing_to_target_weights": _OP3, "op13_decontamination": _OP13}

@@ -250,16 +250,16 @@ def test_descent_and_search_on_clusters(spark):
     own = np.array([i for i in range(1000) if i % 3])
     apart = ((x[:, None] - x[None]) ** 2).sum(2)
     hits = [len(set(r.others[:10]) & set(own[np.argsort(np.where(own == r.id, np.inf, apart[r.id, own]))][:10].tolist())) for r in found.collect()]
-    assert sum(hits) / (10 * len(hits)) > 0.85  # of packed vectors
+    assert sum(hits) / (10 * len(hits)) >= 0.9  # of packed vectors
     got = nearest.search(table, F.col("vec_id") % 20 == 0).collect()
     assert len(got) == 50 * 20
     for q in range(0, 1000, 20):
         near = np.where(np.arange(1000) == q, -np.inf, s[q])
         want = sorted(range(1000), key=lambda i: (-near[i], i))[:20]
         mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert len({v for _, v, _ in mine} & set(want)) >= 17 and all(score == pytest.approx(s[q, v]) for _, v, score in mine)
-        if q % 3 == 0:  # ties go to the smaller id
-            assert [v for _, v, _ in mine] == [i for i in range(0, 66, 3) if i != q][:20]
+        assert len({v for _, v, _ in mine} & set(want)) >= 18 and all(score == pytest.approx(s[q, v]) for _, v, score in mine)
+        if q % 3 == 0:  # ties, of which there are more than places, go to the smaller id
+            assert [v for _, v, _ in mine] == want
 
 
 def test_toxicity_stems():

@@ -2,8 +2,8 @@
 
 Equal texts are cut from one entry of an index of distinct texts. The index groups rows by
 their whole content, and holds the text, how many tokens it has and where each ends, as
-an Elias-Fano list: a few bits a token, of which any one is found without unpacking the rest. Documents are joined
-with the index by the text's SHA-256, and take the two ends that their own seed chooses.
+an Elias-Fano list: a few bits a token, of which any one is found without unpacking the rest. An entry knows its
+documents, and each takes the two ends that its own seed chooses.
 A text with many copies has several entries, a bounded number of documents to each, so that no task gets all of them.
 
 Tokens are runs of A-Z and a-z, and all other code points one by one.
@@ -94,12 +94,12 @@ def _draw(k: int) -> Column:
 
 
 def index(keyed: DataFrame) -> DataFrame:
-    """The entries of rows (key, part, text): for each distinct text in them key, part, text, n tokens and ends, an Elias-Fano list.
+    """The entries of rows (doc_id, key, part, text): for each distinct text in them key, part, text, doc_ids, n tokens and ends, an Elias-Fano list.
 
-    Rows are dealt once, by key and part, and stay so for a join by these.
+    Texts are dealt once, by key and part, and are equal if they are so byte for byte; an entry has about COPIES documents.
     """
-    texts = keyed.select("key", "part", "text").repartition("key", "part").dropDuplicates()
-    return texts.withColumn("made", _boundaries("text")).select("key", "part", "text", "made.n", "made.ends")
+    texts = keyed.repartition("key", "part").groupBy("key", "part", "text").agg(F.collect_list(F.struct("doc_id")).alias("docs"))
+    return texts.withColumn("made", _boundaries("text")).select("key", "part", "text", "docs", "made.n", "made.ends")
 
 
 def transformed(docs: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def transformed(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
     many = keyed.groupBy("key").count().where(F.col("count") > COPIES).select("key", F.ceil(F.col("count") / COPIES).alias("parts"))
     # a text's copies are dealt to its entries by their ids
-    keyed = joined_small(keyed, many, "key", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
-    rows = keyed.select("doc_id", "key", "part").join(index(keyed), ["key", "part"])
+    keyed = joined_small(keyed, many, "key", "left").select("doc_id", "text", "key", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    rows = index(keyed).select("text", "n", "ends", F.explode(F.col("docs.doc_id")).alias("doc_id"))
     plain = (F.col("text") == "") | (_draw(3) % 100 >= RATE)
     for mark in (PREFIX, SUFFIX, MIDDLE):
         plain |= F.contains("text", F.lit(mark))

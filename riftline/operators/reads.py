@@ -1,11 +1,12 @@
 """Which alignment records are evidence: contigs, flags, split partners, clips, insert sizes, regions.
 
-Records have flag, chrom, pos, mapq, mate_chrom, tlen, cigar and sa (the SA tag, null without one).
+Records have flag, chrom, pos, mapq, mate_chrom, tlen, cigar and sa (the SA tag, null without one); for evidence rows
+also qname, mate_pos and seq. Contigs are the same with and without ``chr`` in front.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -13,7 +14,7 @@ from ..settings import DEFAULTS
 
 # fixed values: contigs that count as primary, and flag bits
 PRIMARY = (*(f"chr{i}" for i in range(1, 23)), "chrX", "chrY")
-PROPER, UNMAPPED, MATE_UNMAPPED = 0x2, 0x4, 0x8
+PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 0x2, 0x4, 0x8, 0x10, 0x20
 SECONDARY, DUPLICATE, SUPPLEMENTARY, BAD = 0x100, 0x400, 0x800, 0xF00
 
 
@@ -22,14 +23,20 @@ def has(*bits: int) -> Column:
     return F.coalesce(F.col("flag"), F.lit(0)).bitwiseAND(sum(bits)) != 0
 
 
+def named(column: str) -> Column:
+    """A contig column with ``chr`` in front, whatever the file calls it."""
+    return scalar.normalized_chrom(F.col(column))
+
+
 def primary(records: DataFrame, contigs: tuple[str, ...] = PRIMARY) -> DataFrame:
-    """Mapped records on a primary contig."""
-    return records.where(~has(UNMAPPED) & F.col("chrom").isin(*contigs))
+    """Mapped records on a primary contig, both contig columns with ``chr`` in front."""
+    out = records.where(~has(UNMAPPED) & named("chrom").isin(*contigs)).withColumn("chrom", named("chrom"))
+    return out.withColumn("mate_chrom", named("mate_chrom")) if "mate_chrom" in records.columns else out
 
 
 def is_discordant(min_mapq: int = DEFAULTS.min_mapq, contigs: tuple[str, ...] = PRIMARY) -> Column:
     """A good record whose mate is mapped to another primary contig; null columns make it false."""
-    other = F.col("mate_chrom").isin(*contigs) & (F.col("mate_chrom") != F.col("chrom"))
+    other = named("mate_chrom").isin(*contigs) & (named("mate_chrom") != named("chrom"))
     return F.coalesce(~has(BAD) & (F.col("mapq") >= min_mapq) & ~has(MATE_UNMAPPED) & other, F.lit(False))
 
 
@@ -49,21 +56,78 @@ def partners(splits: DataFrame, min_mapq: int = DEFAULTS.min_mapq, least: int =
     Both alignments must span ``least`` bases and three tenths of the read: the record by the bases of
     the read, the entry by the bases of the reference.
     """
-    near = scalar.cigar_bases(F.col("cigar"), "MI=X")
-    needed = F.greatest(F.lit(least).cast("long"), F.floor(scalar.cigar_bases(F.col("cigar"), "MIS=X") * F.lit(0.3)))
-    rows = splits.withColumns({"near": near, "needed": needed, "s": F.explode(scalar.parsed_sa(F.col("sa")))})
-    rows = rows.where("s.chrom <> chrom").withColumn("far", scalar.aligned_length(F.col("s.cigar")))
-    short = F.format_string("aligned_too_short(pri=%d,sa=%d,min=%d)", "near", "far", "needed")
-    reason = (
-        F.when(~F.col("s.chrom").isin(*contigs), "non_primary_chrom").when(F.col("s.mapq") < min_mapq, F.format_string("sa_mapq_low(%d)", "s.mapq"))
-        .when((F.col("near") < F.col("needed")) | (F.col("far") < F.col("needed")), short)
+    rows = splits.withColumn("s", F.explode(scalar.parsed_sa(F.col("sa"))))
+    rows = rows.withColumns({"near": _near(), "needed": _needed(least), "sa_chrom": scalar.normalized_chrom(F.col("s.chrom"))}).where(F.col("sa_chrom") != named("chrom"))
+    rows = rows.withColumn("far", scalar.aligned_length(F.col("s.cigar")))
+    return rows.withColumn("reason", _entry_reason(F.col("s.mapq"), F.col("sa_chrom"), F.col("near"), F.col("far"), F.col("needed"), min_mapq, contigs))
+
+
+def _near() -> Column:
+    """Bases of the read that the record aligns."""
+    return scalar.cigar_bases(F.col("cigar"), "MI=X")
+
+
+def _needed(least: int) -> Column:
+    """Bases that each alignment of a split read must span: some, and three tenths of the read."""
+    return F.greatest(F.lit(least).cast("long"), F.floor(scalar.cigar_bases(F.col("cigar"), "MIS=X") * F.lit(0.3)))
+
+
+def _entry_reason(mapq: Column, chrom: Column, near: Column, far: Column, needed: Column, min_mapq: int, contigs: tuple[str, ...]) -> Column:
+    short = F.format_string("aligned_too_short(pri=%d,sa=%d,min=%d)", near, far, needed)
+    return F.when(~chrom.isin(*contigs), "non_primary_chrom").when(mapq < min_mapq, F.format_string("sa_mapq_low(%d)", mapq)).when((near < needed) | (far < needed), short)
+
+
+def judged(records: DataFrame, settings=DEFAULTS, contigs: tuple[str, ...] = PRIMARY) -> DataFrame:
+    """All rows of evidence that raw records give, with ``reason``: why one isn't counted, null if it is.
+
+    A record gives a row if it is discordant, one for each SA entry on another contig if it is split, and one if it is
+    clipped, whatever else it is. Discordant and split rows count once for a read's name, contig and mate contig (in
+    this order, so that both mates count): the first by position and entry. Split positions of the mate are the tag's, 1-based.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(kind, mate, mate_pos, mate_mapq, mate_reverse, size, clip, reason, entry):  # noqa: PLR0913
+        side, length, seq = clip
+        fields = {
+            "evidence_type": F.lit(kind), "mate_chrom": mate, "mate_pos": mate_pos, "mate_mapq": mate_mapq, "mate_is_reverse": mate_reverse, "insert_size": size,
+            "clip_side": side, "clip_len": length, "clip_seq": seq, "reason": reason, "entry": entry,
+        }
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    unclipped = (none("string"), none("int"), none("string"))
+    clip = scalar.clip_side_length(F.col("cigar"))
+    seq = F.when(clip["side"] == "left", F.substring("seq", F.lit(1), clip["len"])).otherwise(F.substring(F.col("seq"), F.length("seq") - clip["len"] + 1, clip["len"]))
+    disc = row("discordant", F.col("mate_chrom"), F.col("mate_pos"), none("int"), has(MATE_REVERSE), F.abs("tlen").cast("long"), unclipped, none("string"), F.lit(0))
+
+    def split(e: Column, i: Column) -> Column:
+        chrom = scalar.normalized_chrom(e["chrom"])
+        reason = _entry_reason(e["mapq"], chrom, F.col("near"), scalar.aligned_length(e["cigar"]), F.col("needed"), settings.min_mapq, contigs)
+        return row("split", chrom, e["pos"], e["mapq"], e["strand"] == "-", none("long"), unclipped, reason, i)
+
+    clipped = row("clip", none("string"), none("long"), none("int"), none("boolean"), none("long"), (clip["side"], clip["len"], seq), none("string"), F.lit(0))
+    nothing = F.slice(F.array(disc), 1, 0)
+    kinds = F.concat(
+        F.when(is_discordant(settings.min_mapq, contigs), F.array(disc)).otherwise(nothing),
+        F.when(is_split(settings.min_mapq), F.filter(F.transform(scalar.parsed_sa(F.col("sa")), split), lambda e: e["mate_chrom"] != F.col("chrom"))).otherwise(nothing),
+        F.when(is_clipped(settings.min_clip_length), F.array(clipped)).otherwise(nothing),
     )
-    return rows.withColumn("reason", reason)
+    rows = primary(records, contigs).withColumns({"near": _near(), "needed": _needed(settings.min_split_aligned)})
+    rows = rows.select(scalar.name_hash(F.col("qname")).alias("read_name_hash"), "chrom", "pos", "mapq", "flag", has(REVERSE).alias("is_reverse"), F.explode(kinds).alias("e")).select("read_name_hash", "chrom", "pos", "mapq", "flag", "is_reverse", "e.*")
+    # of the rows that nothing else speaks against, the first counts; clips have no mate and all count
+    order = [F.col("reason").isNotNull(), "pos", "entry", "mate_pos", "mapq", "flag", "mate_mapq"]
+    own = Window.partitionBy("read_name_hash", "chrom", "mate_chrom", "evidence_type").orderBy(*order)
+    again = (F.row_number().over(own) > 1) & (F.col("evidence_type") != "clip")
+    return rows.withColumn("again", again).withColumn("reason", F.coalesce("reason", F.when(F.col("again"), "dedup"))).drop("again", "entry")
+
+
+def evidence_rows(records: DataFrame, settings=DEFAULTS, contigs: tuple[str, ...] = PRIMARY) -> DataFrame:
+    """The rows of ``judged`` that count: discordant, split and clip evidence in one table."""
+    return judged(records, settings, contigs).where("reason is null").drop("reason")
 
 
 def insert_sizes(records: DataFrame) -> DataFrame:
     """Good proper pairs on one contig with a positive template length; all of them, none sampled."""
-    return records.where(has(PROPER) & ~has(UNMAPPED, MATE_UNMAPPED, BAD) & (F.col("chrom") == F.col("mate_chrom")) & (F.col("tlen") > 0))
+    return records.where(has(PROPER) & ~has(UNMAPPED, MATE_UNMAPPED, BAD) & (named("chrom") == named("mate_chrom")) & (F.col("tlen") > 0))
 
 
 def anomalous_contigs(reads: DataFrame, disc: DataFrame, share: float = 0.05) -> DataFrame:
@@ -77,5 +141,5 @@ def in_regions(reads: DataFrame, regions: list[str], margin: int = 2_000_000) ->
     near = F.lit(False)
     for region in regions:
         place = scalar.parsed_region(F.lit(region))
-        near = near | F.coalesce((F.col("chrom") == place["chrom"]) & F.col("pos").between(place["pos"] - margin, place["pos"] + margin), F.lit(False))
+        near = near | F.coalesce((named("chrom") == place["chrom"]) & F.col("pos").between(place["pos"] - margin, place["pos"] + margin), F.lit(False))
     return reads.where(near)

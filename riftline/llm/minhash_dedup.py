@@ -18,7 +18,7 @@ compared with a document of their own, then those left apart with all others, on
 by blocks.
 
 Defined results: null or empty texts have empty sets and stand alone; rows that share a
-doc_id count as one document; a row with a null doc_id stands alone and is kept; other
+doc_id count as one document, which links with all that the set of any of its rows links with; a row with a null doc_id stands alone and is kept; other
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -63,6 +63,10 @@ def tokens(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return paths, every
 
 
+def _key(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, at in slices(batch.column(1)):
@@ -74,7 +78,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0)[a:b],
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                    pa.array([_key(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
                     pa.array([x and x[0].tobytes() for x in both], pa.binary()),
                     pa.array([x and x[1].tobytes() for x in both], pa.binary()),
                 ],
@@ -151,17 +155,18 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.Re
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``. A map of bits of fixed size spares most others the shuffle."""
+    """(id, shingles) of the documents in ``ids``, once for each different set. A map of bits of fixed size spares most others the shuffle."""
     held = bit_map(ids, "id", BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_map(held, batch.column(0).to_numpy(zero_copy_only=False))))
             for a, b, data, at in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in shingle_sets(data, at)], pa.binary())], names=["id", "shingles"])
+                sets = [x.tobytes() for x in shingle_sets(data, at)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([_key(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "same", "shingles"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, same binary, shingles binary")
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "same"]).select("id", "shingles")
 
 
 def linked(x: bytes, y: bytes) -> bool:

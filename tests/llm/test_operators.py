@@ -55,6 +55,15 @@ def test_near_dedup(docs, none, rows):
     assert minhash_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_dedup_with_repeated_ids_in_any_order(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "another text of six whole words")]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_mixing(docs, none, rows):
     got = mixing.plan(docs).collect()
     size = {}

@@ -113,3 +113,128 @@ def changes(counts: DataFrame, key: str) -> DataFrame:
     rows = counts.select(F.col(key).alias("key"), "n")
     kind = dict(rows.dtypes)["key"]
     return rows.groupBy("key").transformWithState(_Changes(), f"key {kind}, total long, delta long", "update", "None").withColumnRenamed("key", key)
+
+
+#: What a client is told: the kinds that its view knows, and the columns that any of them may have.
+EVENT = (
+    "seq long, kind string, chrom_a string, pos_a long, chrom_b string, pos_b long, count long, pct double, reads long, bytes long, "
+    "discordant long, split long, clip long, bin_start long, evidence_type string, text string"
+)
+# fixed values: entries that a view keeps of its lists
+THROUGHPUTS, WATERFALL, ARCS = 60, 500, 200
+#: What events alone decide: (mode, stage, error) by kind; null leaves a field as it is, ``text`` is the event's.
+STEPS = {
+    "scan.started": ("streaming", "extraction", None), "scan.stage_changed": (None, "text", None), "scan.completed": (None, "validation", None), "validation.started": (None, "validation", None),
+    "validation.completed": ("validated", "completed", None), "scan.cancelled": ("idle", "cancelled", "Scan cancelled"), "error": (None, "failed", "text"),
+}
+VIEW = (
+    "mode string, stage string, error string, pct double, reads long, bytes long, calls long, top_bins string, highlights long, "
+    "throughput array<struct<seq:long,reads:long,bytes:long,discordant:long,split:long>>, "
+    "waterfall array<struct<id:long,seq:long,kind:string,chrom_a:string,pos_a:long,chrom_b:string,pos_b:long>>, "
+    "arcs array<struct<chrom_a:string,pos_a:long,chrom_b:string,pos_b:long,count:long,seq:long>>, "
+    "chroms array<struct<chrom:string,pct:double,reads:long,discordant:long,split:long,status:string,bins:long>>, "
+    "density array<struct<a:int,b:int,count:long>>"
+)
+
+
+def chrom_number(name: str | None) -> int:
+    """0 to 23 for contigs 1 to 22, X and Y, with or without ``chr``; -1 for others."""
+    bare = (name or "").removeprefix("chr")
+    return {"X": 22, "Y": 23}.get(bare, int(bare) - 1 if bare.isdecimal() and 1 <= int(bare) <= 22 else -1)
+
+
+class _Client(StatefulProcessor):
+    """A client's view of a job, as Spark state: lists of bounded length in one value, and maps of contigs, bins and pairs."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.view = handle.getValueState("view", "json string")
+        self.chroms = handle.getMapState("chroms", "chrom string", "pct double, reads long, discordant long, split long, status string, bins long")
+        self.bins = handle.getMapState("bins", "chrom string, start long", "discordant long, split long, clip long")
+        self.density = handle.getMapState("density", "a int, b int", "count long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        view = json.loads(self.view.get()[0]) if self.view.exists() else {"mode": "idle", "calls": 0, "highlights": 0, "throughput": [], "waterfall": [], "arcs": []}
+        for e in sorted(rows, key=lambda r: r.seq):
+            mode, stage, error = STEPS.get(e.kind, (None, None, None))
+            for field, value in (("mode", mode), ("stage", stage), ("error", error)):
+                if value is not None:
+                    view[field] = e.text if value == "text" else value
+            own = getattr(self, "_" + e.kind.replace(".", "_"), None)
+            if own:
+                own(view, e)
+        self.view.update((json.dumps(view),))
+        flat = {f: view.get(f) for f in ("mode", "stage", "error", "pct", "reads", "bytes", "calls", "top_bins", "highlights")}
+        lists = {f: [tuple(x) for x in view[f]] for f in ("throughput", "waterfall", "arcs")}
+        chroms = sorted((k[0], *v) for k, v in self.chroms.iterator())
+        density = sorted((*k, v[0]) for k, v in self.density.iterator())
+        yield Row(job=key[0], **flat, **lists, chroms=chroms, density=density)
+
+    def _scan_progress(self, view: dict, e: Row) -> None:
+        view.update({f: e[f] for f in ("pct", "reads", "bytes") if e[f] is not None})
+
+    def _scan_completed(self, view: dict, e: Row) -> None:
+        view["pct"] = 100.0
+
+    def _scan_throughput(self, view: dict, e: Row) -> None:
+        view["throughput"] = [*view["throughput"], (e.seq, e.reads, e.bytes, e.discordant, e.split)][-THROUGHPUTS:]
+
+    def _chrom_progress(self, view: dict, e: Row) -> None:
+        chrom = f"chr{e.chrom_a.removeprefix('chr')}"
+        bins = self.chroms.getValue((chrom,))[5] if self.chroms.containsKey((chrom,)) else 0
+        self.chroms.updateValue((chrom,), (e.pct, e.reads, e.discordant, e.split, "complete" if e.pct >= 100 else "scanning", bins))
+
+    def _chrom_bin_update(self, view: dict, e: Row) -> None:
+        chrom = f"chr{e.chrom_a.removeprefix('chr')}"
+        if self.chroms.containsKey((chrom,)):  # bins of contigs that haven't shown progress are left out
+            held = self.chroms.getValue((chrom,))
+            if not self.bins.containsKey((chrom, e.bin_start)):
+                self.chroms.updateValue((chrom,), (*held[:5], held[5] + 1))
+            self.bins.updateValue((chrom, e.bin_start), (e.discordant, e.split, e.clip))
+
+    def _pair_density(self, view: dict, e: Row) -> None:
+        a, b = sorted((chrom_number(e.chrom_a), chrom_number(e.chrom_b)))
+        if a >= 0:
+            self.density.updateValue((a, b), (e["count"],))
+        arc = next((x for x in view["arcs"] if (x[0], x[2]) == (e.chrom_a, e.chrom_b)), None)
+        if arc:
+            arc[4:] = [e["count"], e.seq]
+        elif e["count"] >= 2:
+            view["arcs"] = [*view["arcs"], [e.chrom_a, 0, e.chrom_b, 0, e["count"], e.seq]][-ARCS:]
+
+    def _evidence_highlight(self, view: dict, e: Row) -> None:
+        view["highlights"] += 1
+        view["waterfall"] = [*view["waterfall"], (view["highlights"], e.seq, e.evidence_type, e.chrom_a, e.pos_a, e.chrom_b, e.pos_b)][-WATERFALL:]
+        for arc in view["arcs"]:
+            if (arc[0], arc[2]) == (e.chrom_a, e.chrom_b):
+                arc[1], arc[3], arc[5] = e.pos_a, e.pos_b, e.seq
+
+    def _provisional_top_bins(self, view: dict, e: Row) -> None:
+        view["top_bins"] = e.text
+
+    def _validation_call_emitted(self, view: dict, e: Row) -> None:
+        view["calls"] += 1
+
+    def _chrom_pair_matrix(self, view: dict, e: Row) -> None:
+        matrix = json.loads(e.text or "[]")
+        if len(matrix) == 24:
+            for k in [k for k, _ in self.density.iterator()]:
+                self.density.removeKey(k)
+            for a, line in enumerate(matrix):
+                for b, n in enumerate(line):
+                    if n and a <= b:
+                        self.density.updateValue((a, b), (n,))
+
+    def close(self) -> None:
+        pass
+
+
+def client_view(events: DataFrame, key: str = "job") -> DataFrame:
+    """The view that a client of each job has after each batch of events (``key`` and the columns of EVENT), a row a job.
+
+    Events of a batch go by ``seq``. Lists are the last so many; a pair becomes an arc at two reads, and takes its
+    place from highlights since.
+    """
+    with_state(events.sparkSession)
+    rows = events.select(F.col(key).alias("job"), *(c.split()[0] for c in EVENT.split(", ")))
+    kind = dict(rows.dtypes)["job"]
+    return rows.groupBy("job").transformWithState(_Client(), f"job {kind}, {VIEW}", "update", "None").withColumnRenamed("job", key)

@@ -80,3 +80,81 @@ def test_deltas_sum_to_the_final_counts(spark):
             held[pair] = held.get(pair, 0) + delta
             assert held[pair] == now
     assert held == total and sum(map(len, batches)) > 10
+
+
+def viewed(events):
+    """A job's view by a plain fold of its events."""
+    v = {"mode": "idle", "stage": None, "error": None, "pct": None, "reads": None, "bytes": None, "calls": 0, "top_bins": None, "highlights": 0}
+    lists = {"throughput": [], "waterfall": [], "arcs": []}
+    chroms, bins, density = {}, {}, {}
+    order = [*map(str, range(1, 23)), "X", "Y"]
+    for seq, kind, ca, pa, cb, pb, count, pct, reads, nbytes, disc, split, clip, start, evidence, text in sorted(events):
+        name = "chr" + (ca or "").removeprefix("chr")
+        if kind == "scan.started":
+            v |= {"mode": "streaming", "stage": "extraction"}
+        elif kind == "scan.stage_changed":
+            v["stage"] = text
+        elif kind == "scan.progress":
+            v |= {k: x for k, x in (("pct", pct), ("reads", reads), ("bytes", nbytes)) if x is not None}
+        elif kind == "scan.throughput":
+            lists["throughput"].append((seq, reads, nbytes, disc, split))
+        elif kind == "chrom.progress":
+            chroms[name] = (pct, reads, disc, split, "complete" if pct >= 100 else "scanning")
+        elif kind == "chrom.bin_update" and name in chroms:
+            bins.setdefault(name, {})[start] = (disc, split, clip)
+        elif kind == "pair.density":
+            at = [order.index(c.removeprefix("chr")) if c.removeprefix("chr") in order else -1 for c in (ca, cb)]
+            if min(at) >= 0:
+                density[min(at), max(at)] = count
+            arc = [x for x in lists["arcs"] if (x["a"], x["b"]) == (ca, cb)]
+            if arc:
+                arc[0] |= {"n": count, "seq": seq}
+            elif count >= 2:
+                lists["arcs"] = [*lists["arcs"], {"a": ca, "pa": 0, "b": cb, "pb": 0, "n": count, "seq": seq}][-200:]
+        elif kind == "evidence.highlight":
+            v["highlights"] += 1
+            lists["waterfall"].append((v["highlights"], seq, evidence, ca, pa, cb, pb))
+            for x in lists["arcs"]:
+                if (x["a"], x["b"]) == (ca, cb):
+                    x |= {"pa": pa, "pb": pb, "seq": seq}
+        elif kind == "provisional.top_bins":
+            v["top_bins"] = text
+        elif kind == "scan.completed":
+            v |= {"stage": "validation", "pct": 100.0}
+        elif kind == "validation.started":
+            v["stage"] = "validation"
+        elif kind == "validation.call_emitted":
+            v["calls"] += 1
+        elif kind == "validation.completed":
+            v |= {"mode": "validated", "stage": "completed"}
+        elif kind == "scan.cancelled":
+            v |= {"mode": "idle", "stage": "cancelled", "error": "Scan cancelled"}
+        elif kind == "error":
+            v |= {"stage": "failed", "error": text}
+        elif kind == "chrom_pair.matrix":
+            density = {(0, 1): 5, (2, 23): 7}
+    shown = [lists["throughput"][-60:], lists["waterfall"][-500:], [tuple(x.values()) for x in lists["arcs"]]]
+    return [*v.values(), *shown, sorted((c, *x, len(bins.get(c, {}))) for c, x in chroms.items()), sorted((*k, n) for k, n in density.items())]
+
+
+@pytest.mark.parametrize("cuts", [1, 5])
+def test_client_view_equals_a_plain_fold(spark, cuts):
+    rng = random.Random(9)
+    matrix = [[0] * 24 for _ in range(24)]
+    matrix[0][1] = matrix[1][0] = 5
+    matrix[2][23] = matrix[23][2] = 7
+    kinds = [*stateful.STEPS, "scan.progress", "scan.throughput", "chrom.progress", "chrom.bin_update", "pair.density", "evidence.highlight", "provisional.top_bins", "validation.call_emitted", "chrom_pair.matrix", "clustering.scale", "unknown"]
+    weight = [0.3] * len(stateful.STEPS) + [3, 6, 3, 9, 40, 40, 1, 1, 0.1, 1, 1]
+    contigs = ["chr1", "2", "chrX", "chrUn", *(f"chr{i}" for i in range(3, 23))]
+    rows = []
+    for i in range(2500):
+        kind = rng.choices(kinds, weight)[0]
+        text = str(matrix).replace(" ", "") if kind == "chrom_pair.matrix" else f"text {i}"
+        maybe = lambda x: None if kind == "scan.progress" and rng.random() < 0.4 else x  # noqa: B023, E731
+        rows.append((rng.choice("aaab"), i, kind, rng.choice(contigs), rng.randrange(10**6), rng.choice(contigs), rng.randrange(10**6), rng.randrange(9), maybe(rng.choice([5.0, 50.0, 100.0])), maybe(rng.randrange(10**6)), maybe(rng.randrange(10**9)), rng.randrange(9), rng.randrange(9), rng.randrange(9), rng.randrange(40) * 1000, rng.choice(["split", "discordant"]), text))
+    batches = replayed(spark, rows, f"job string, {stateful.EVENT}", cuts, stateful.client_view, "update")
+    last = {r[0]: r[1:] for batch in batches for r in batch}
+    plain = lambda x: [tuple(y) if isinstance(y, tuple) else y for y in x] if isinstance(x, list) else x
+    for job in "ab":
+        assert [plain(x) for x in last[job]] == viewed([r[1:] for r in rows if r[0] == job])
+    assert len(last["a"][11]) == 200 and len(last["a"][10]) == 500  # arcs and waterfall were full

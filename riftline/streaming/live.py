@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import shared_dir
 
@@ -36,6 +37,24 @@ def drained(agg: DataFrame) -> DataFrame:
     return spark.read.schema(agg.schema).parquet(f"{path}/result") if written else spark.createDataFrame([], agg.schema)
 
 
+def gathered(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over everything available; all that its batches gave, with column ``batch``.
+
+    Executors write each batch to a folder of its own, which a batch that is run again overwrites; nothing is
+    rewritten. With mode ``append``, an aggregate's windows come once, when the watermark has passed them, and leave the state.
+    """
+    spark = stream.sparkSession
+    path, written = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/result/batch={batch}")
+        written.append(batch)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{path}/result") if written else spark.createDataFrame([], schema)
+
+
 def counts(stream: DataFrame, width: str, slide: str | None = None) -> DataFrame:
     """Events and values per window and type."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)

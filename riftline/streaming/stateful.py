@@ -238,3 +238,37 @@ def client_view(events: DataFrame, key: str = "job") -> DataFrame:
     rows = events.select(F.col(key).alias("job"), *(c.split()[0] for c in EVENT.split(", ")))
     kind = dict(rows.dtypes)["job"]
     return rows.groupBy("job").transformWithState(_Client(), f"job {kind}, {VIEW}", "update", "None").withColumnRenamed("job", key)
+
+
+class _Cap(StatefulProcessor):
+    """Counts what a window has let through; the count goes when the watermark has passed the window."""
+
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width = limit, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getValueState("sent", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n = self.sent.get()[0] if self.sent.exists() else 0
+        if not n:
+            self.handle.registerTimer((key[0] + 1) * self.width)
+        for r in sorted(rows, key=lambda r: r.seq)[: max(0, self.limit - n)]:
+            n += 1
+            yield Row(window=key[0], turn=n, seq=r.seq, kind=r.kind)
+        self.sent.update((n,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.sent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def capped(events: DataFrame, limit: int, width_ms: int = 1000) -> DataFrame:
+    """The first ``limit`` events (ts with a watermark, seq, kind) of each window of time as they come, over all batches: window, turn, seq and kind."""
+    with_state(events.sparkSession)
+    rows = events.select(F.floor(F.unix_millis("ts") / width_ms).alias("window"), "ts", "seq", "kind")
+    return rows.groupBy("window").transformWithState(_Cap(limit, width_ms), "window long, turn int, seq long, kind string", "append", "EventTime")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from riftline.plans.rawdata import ORACLES, QUERIES
+from riftline.plans.livedata import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
@@ -22,16 +24,19 @@ def pileups(clips: DataFrame, window: int = DEFAULTS.pileup_window, depth: int =
     """
     counted = clips.groupBy(*KEYS, "pos").agg(F.count("*").alias("n"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        opened = []
-        for pos in sorted(pdf["pos"]):
-            opened.append(opened[-1] if opened and pos - opened[-1] <= 2 * window else pos)
-        out = pdf.sort_values("pos")
-        out["opened"] = opened
-        return out[[*KEYS, "opened", "pos", "n"]]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, opened = None, 0
+        for pdf in parts:
+            out = []
+            for *key, near, pos, _ in pdf.itertuples(index=False):
+                if [*key, near] != own or pos - opened > 2 * window:
+                    own, opened = [*key, near], pos
+                out.append(opened)
+            yield pdf.assign(opened=out)[[*KEYS, "opened", "pos", "n"]]
 
-    dealt = islands(counted, KEYS, "pos", 2 * window, "near")
-    grouped = dealt.groupBy(*KEYS, "near").applyInPandas(run, "chrom string, clip_side string, opened long, pos long, n long")
+    dealt = islands(counted, KEYS, "pos", 2 * window, "near").select(*KEYS, "near", "pos", "n")
+    # whole islands to a task, in order
+    grouped = dealt.repartition(*KEYS, "near").sortWithinPartitions(*KEYS, "near", "pos").mapInPandas(run, "chrom string, clip_side string, opened long, pos long, n long")
     return _upper_median(grouped).where(F.col("depth") >= depth).drop("opened")
 
 
@@ -47,3 +52,90 @@ def _upper_median(rows: DataFrame) -> DataFrame:
 def near_clusters(clusters: DataFrame, realigned: DataFrame, band: int = DEFAULTS.band) -> DataFrame:
     """Summed depth per cluster of realigned pileups (chrom_a, pos_a, chrom_b, pos_b, depth) nearer than ``band`` on both sides."""
     return banded(clusters, realigned, band - 1).groupBy("event_id").agg(F.sum("depth").alias("clips"))
+
+
+#: Sequences of a pileup that are realigned, and the least mapping quality of a place that they map to.
+SEQUENCES, MIN_MAPQ = 10, 10
+#: How far beyond all before it a clip cluster's next pileup may start; bases around a breakpoint that clips have confirmed.
+CLIP_DISTANCE, CLIP_CI = 2, 5
+#: Positions to a part of a contig pair that is ordered in one task.
+PART = 1_000_000
+
+
+def sequences(clips: DataFrame, found: DataFrame, window: int = DEFAULTS.pileup_window, most: int = SEQUENCES) -> DataFrame:
+    """(chrom, clip_side, pos, seqs): of each pileup the first ``most`` clip sequences, by position and then by text.
+
+    ``clips`` have chrom, clip_side, pos and clip_seq. A pileup's own clips lie within twice the window of its position;
+    where two pileups reach for a clip, the nearer one has it, the earlier one of two as near.
+    """
+    at = found.select(*KEYS, F.col("pos").alias("pile"), F.explode(F.sequence(F.col("pos") - 2 * window, F.col("pos") + 2 * window)).alias("pos"))
+    own = at.groupBy(*KEYS, "pos").agg(F.min_by("pile", F.struct(F.abs(F.col("pos") - F.col("pile")), "pile")).alias("pile"))
+    clipped = clips.where("clip_seq is not null").join(own, [*KEYS, "pos"])
+    place = Window.partitionBy(*KEYS, "pile").orderBy("pos", "clip_seq")
+    first = clipped.withColumn("k", F.row_number().over(place)).where(F.col("k") <= most)
+    return first.groupBy(*KEYS, F.col("pile").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "clip_seq"))), lambda x: x["clip_seq"]).alias("seqs"))
+
+
+def fasta(listed: DataFrame) -> DataFrame:
+    """One column ``value``: a name and a sequence for each sequence of ``sequences``. The name holds the pileup's place, which ``resolved`` reads back."""
+    rows = listed.select("chrom", "pos", F.posexplode("seqs").alias("j", "seq"))
+    return rows.select(F.concat_ws("\n", F.format_string(">%s_%d_%s_%d", "chrom", "pos", F.lit("0"), "j"), "seq").alias("value"))
+
+
+def resolved(found: DataFrame, aligned: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
+    """Pileups with partner_chrom and partner_pos: where their sequences map on another contig, by the last record that tells so.
+
+    ``aligned`` are the records of the realigned sequences (line, qname, flag, chrom, pos, mapq), ``line`` their order. A pileup without one has nulls.
+    """
+    p = F.split("qname", "_")
+    rows = aligned.where((F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") >= min_mapq) & (F.size(p) >= 3))
+    rows = rows.select(p[0].alias("from_chrom"), F.get(p, F.lit(1)).try_cast("long").alias("from_pos"), F.struct(F.col("chrom"), F.col("pos")).alias("to"), "line").where("from_chrom <> to.chrom and from_pos is not null")
+    last = rows.groupBy(F.col("from_chrom").alias("chrom"), F.col("from_pos").alias("pos")).agg(F.max_by("to", "line").alias("to"))
+    return found.join(last, ["chrom", "pos"], "left").select(*found.columns, F.col("to.chrom").alias("partner_chrom"), F.col("to.pos").alias("partner_pos"))
+
+
+def _running_max(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, inclusive: bool) -> DataFrame:
+    """The greatest ``value`` of all rows before this one (or up to it) by ``order``, of which the first is a position.
+
+    Positions are dealt to parts, each ordered in a task of its own; the greatest of all parts before, a row a part, is added.
+    """
+    part = F.floor(F.col(order[0]) / PART)
+    rows = rows.withColumn("part", part)
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys, "part").agg(F.max(value).alias("most")).withColumn("most", F.max("most").over(before))
+    own = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return rows.withColumn(out, F.max(value).over(own)).join(parts, [*keys, "part"]).withColumn(out, F.greatest(out, "most")).drop("part", "most")
+
+
+def clip_clusters(found: DataFrame, distance: int = CLIP_DISTANCE, least: int = 1) -> DataFrame:
+    """Clusters of pileups with a partner (chrom, pos, depth, partner_chrom, partner_pos): ca, cb, pileups, clips, median_a, median_b.
+
+    By the position of the pileup, on whichever side it lies, a cluster opens where the first side's position is
+    more than ``distance`` above those of all pileups before. Medians are rounded down; orientation isn't known and is ``++``.
+    """
+    first = F.col("chrom") <= F.col("partner_chrom")
+    rows = found.where("partner_chrom is not null and partner_pos is not null").select(
+        F.least("chrom", "partner_chrom").alias("ca"), F.greatest("chrom", "partner_chrom").alias("cb"), "pos", "chrom", "clip_side", "depth",
+        F.when(first, F.col("pos")).otherwise(F.col("partner_pos")).alias("pos_a"), F.when(first, F.col("partner_pos")).otherwise(F.col("pos")).alias("pos_b"),
+    )
+    keys, order = ["ca", "cb"], ["pos", "chrom", "clip_side", "pos_a", "pos_b"]
+    rows = _running_max(rows, keys, order, "pos_a", "reached", False)
+    opens = F.when(F.col("reached").isNull() | (F.col("pos_a") - F.col("reached") > distance), F.struct(*order))
+    rows = _running_max(rows.withColumn("opens", opens), keys, order, "opens", "opened", True)
+    grouped = rows.groupBy(*keys, "opened").agg(F.count("*").alias("pileups"), F.sum("depth").alias("clips"), F.median("pos_a").cast("long").alias("median_a"), F.median("pos_b").cast("long").alias("median_b"))
+    return grouped.where(F.col("pileups") >= least).select("ca", "cb", F.lit("++").alias("orient"), "pileups", "clips", "median_a", "median_b")
+
+
+def with_clips(clusters: DataFrame, found: DataFrame, band: int = DEFAULTS.band) -> DataFrame:
+    """Clusters with ``clips``, the summed depth of the pileups (with partners) near both sides, and, where there are any, intervals of CLIP_CI around the medians.
+
+    A pileup counts for a cluster whose first side is on its own contig.
+    """
+    near = found.where("partner_chrom is not null").select(F.col("chrom").alias("chrom_a"), F.col("pos").alias("pos_a"), F.col("partner_chrom").alias("chrom_b"), F.col("partner_pos").alias("pos_b"), "depth")
+    out = clusters.join(near_clusters(clusters, near, band), "event_id", "left").fillna({"clips": 0})
+    for s in "ab":
+        wide = {"lo": F.col(f"lo_{s}"), "hi": F.col(f"hi_{s}")}
+        tight = {"lo": F.col(f"median_{s}") - CLIP_CI, "hi": F.col(f"median_{s}") + CLIP_CI}
+        for end in ("lo", "hi"):
+            out = out.withColumn(f"ci_{end}_{s}", F.when(F.col("clips") > 0, tight[end]).otherwise(wide[end]))
+    return out

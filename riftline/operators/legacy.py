@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
-from . import annotate, tiers
+from . import annotate, background, tiers
 
 # fixed values: what each soft flag takes from the score
 PENALTIES = {"centromere_proximity": 30, "telomere_proximity": 30, "blacklist": 50, "segdup": 20, "high_local_coverage": 10, "uneven_support": 5}
@@ -39,6 +39,28 @@ def rate(reads: DataFrame, disc: DataFrame, size: int = DEFAULTS.telemetry_bin)
     return seen.join(between).join(bins).withColumn("rate", F.round(F.col("interchrom") / (F.greatest("bins", F.lit(1)) * F.greatest("bins", F.lit(1))), 9))
 
 
+def significance(clusters: DataFrame, coverage: DataFrame, pairs: DataFrame, chimeric: float, noise: float, size: int = DEFAULTS.telemetry_bin) -> DataFrame:
+    """Adds ``expected``, ``suppressed``, ``p`` and ``background_p`` to clusters.
+
+    Expected are the product of both sides' coverage (``coverage_bins``) and the rate of chimeric pairs, over the
+    bins that have any. p is the Poisson tail of the support. A cluster is suppressed, with p 1, where its pair of bins
+    (``pair_bins``) has at least the noise floor and the support isn't above twice that count. background_p is p
+    adjusted for all clusters.
+    """
+    cells = coverage.count()
+    out = clusters
+    for s in "ab":
+        out = out.withColumn(f"bin_{s}", F.floor(F.greatest(F.col(f"median_{s}"), F.lit(0)) / size).cast("long"))
+        out = out.join(coverage.select(F.col("chrom").alias(f"c{s}"), F.col("bin").alias(f"bin_{s}"), F.col("n").alias(f"coverage_{s}")), [f"c{s}", f"bin_{s}"], "left")
+    out = out.join(pairs.withColumnRenamed("n", "noise"), ["ca", "cb", "bin_a", "bin_b"], "left").fillna({"coverage_a": 0, "coverage_b": 0, "noise": 0})
+    expected = F.col("coverage_a") * F.col("coverage_b") * F.lit(float(max(chimeric, 0.0))) / F.lit(float(max(1, cells)))
+    out = out.withColumn("expected", expected).withColumn("suppressed", (F.col("noise") > 0) & (F.col("noise") >= noise) & (F.col("support") <= 2 * F.col("noise")))
+    out = out.withColumn("tail", background.poisson_p(F.col("support").cast("double"), "expected"))
+    p = F.when(F.col("suppressed"), 1.0).when(F.col("expected") <= 0, F.when(F.col("support") > 0, 0.0).otherwise(1.0)).otherwise(F.col("tail"))
+    out = out.withColumn("p", p).drop("tail", "bin_a", "bin_b", "coverage_a", "coverage_b", "noise")
+    return background.bh_adjusted(out, "p", "background_p")
+
+
 def flagged(clusters: DataFrame, masks: DataFrame, length: int = DEFAULTS.contig_length) -> DataFrame:
     """Adds ``flags``, an array of soft flags in the order of ``PENALTIES``."""
     merged = annotate.merged_intervals(masks)

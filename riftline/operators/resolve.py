@@ -19,14 +19,14 @@ OPPOSITE = {"++": "--", "--": "++", "+-": "-+", "-+": "+-"}
 def absorbed(calls: DataFrame, band: int = DEFAULTS.band) -> DataFrame:
     """Calls (event_id, ca, cb, orient, median_a, median_b, support, score) that keep, with what they absorb.
 
-    By falling score (then id), a call takes the best remaining one of opposite orientation
+    By falling support (then id; scores come later), a call takes the best remaining one of opposite orientation
     within ``band`` on both sides; that one goes. Returns event_id, score, donor (null
     without one) and support with the donor's.
     """
     fields = ["event_id", "ca", "cb", "orient", "median_a", "median_b", "support", "score"]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values(["score", "event_id"], ascending=[False, True]).reset_index(drop=True)
+        ranked = pdf.sort_values(["support", "event_id"], ascending=[False, True]).reset_index(drop=True)
         gone, out = set(), []
         for i, own in enumerate(ranked.itertuples()):
             if i in gone:

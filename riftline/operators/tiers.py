@@ -139,12 +139,16 @@ def v1_score() -> Column:
 def anchored(rows: DataFrame, window: int = DEFAULTS.breakpoint_merge_window) -> DataFrame:
     """Merges clusters of a pair and orientation that lie within ``window`` of a fixed anchor on both sides.
 
+    A merged cluster is its anchor with the sums of support, sr and pr, how many are ``merged``, and of what else there is the
+    greatest median_mapq, the least background_p, and all callers. Filtered clusters (column ``tier``, where there is one) come through as they are.
     Clusters are first dealt by gaps on the first side wider than the window, which no merge
     can cross, so that a group is a neighbourhood and not a whole contig pair.
     """
     from .evidence import islands
 
-    fields = ["ca", "cb", "orient", "median_a", "median_b", "support", "sr", "pr", "event_id"]
+    more = {"median_mapq": "double", "background_p": "double", "callers": "array<string>"}
+    more = {c: t for c, t in more.items() if c in rows.columns}
+    fields = ["ca", "cb", "orient", "median_a", "median_b", "support", "sr", "pr", "event_id", *more]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         anchor, out = None, []
@@ -153,14 +157,24 @@ def anchored(rows: DataFrame, window: int = DEFAULTS.breakpoint_merge_window) ->
                 for f in ("support", "sr", "pr"):
                     anchor[f] += row[f]
                 anchor["merged"] += 1
+                if "median_mapq" in more:
+                    anchor["median_mapq"] = np.fmax(anchor["median_mapq"], row["median_mapq"])
+                if "background_p" in more:
+                    anchor["background_p"] = np.fmin(anchor["background_p"], row["background_p"])
+                if "callers" in more:
+                    held = [] if anchor["callers"] is None else list(anchor["callers"])
+                    anchor["callers"] = held + [c for c in dict.fromkeys(() if row["callers"] is None else row["callers"]) if c not in held]
             else:
                 anchor = row | {"merged": 1}
                 out.append(anchor)
         return pd.DataFrame(out)[[*fields, "merged"]]
 
-    dealt = islands(rows.select(*fields), ["ca", "cb", "orient"], "median_a", window, "near")
-    schema = "ca string, cb string, orient string, median_a long, median_b long, support long, sr long, pr long, event_id string, merged long"
-    return dealt.groupBy("ca", "cb", "orient", "near").applyInPandas(run, schema)
+    typed = rows.select(*(F.col(f).cast(more[f]) if f in more else F.col(f) for f in fields), *(["tier"] if "tier" in rows.columns else []))
+    passing = typed.where("tier <> 'filtered'").drop("tier") if "tier" in rows.columns else typed
+    dealt = islands(passing, ["ca", "cb", "orient"], "median_a", window, "near")
+    schema = "ca string, cb string, orient string, median_a long, median_b long, support long, sr long, pr long, event_id string" + "".join(f", {c} {t}" for c, t in more.items()) + ", merged long"
+    out = dealt.groupBy("ca", "cb", "orient", "near").applyInPandas(run, schema)
+    return out.unionByName(typed.where("tier = 'filtered'").drop("tier").withColumn("merged", F.lit(1).cast("long"))) if "tier" in rows.columns else out
 
 
 def cross_merged(rows: DataFrame, distance: int = DEFAULTS.merge_distance) -> DataFrame:
@@ -175,9 +189,10 @@ def cross_merged(rows: DataFrame, distance: int = DEFAULTS.merge_distance) -> Da
     counted = rows.select(*CLUSTER, F.explode(side).alias("e")).groupBy(*CLUSTER, "e.side", "e.pos").agg(F.count("*").alias("n")).withColumn("event_id", F.concat_ws("_", *CLUSTER))
 
     def mid(held: tuple[np.ndarray, np.ndarray]) -> int:
-        """The upper median of counted positions, which are sorted."""
+        """The median of counted positions, which are sorted; of two middles their mean, rounded down."""
         total = np.cumsum(held[1])
-        return int(held[0][np.searchsorted(total, total[-1] // 2, side="right")])
+        low, high = (held[0][np.searchsorted(total, k, side="right")] for k in ((total[-1] - 1) // 2, total[-1] // 2))
+        return int(low + high) // 2
 
     def both(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         pos, at = np.unique(np.r_[x[0], y[0]], return_inverse=True)

@@ -350,9 +350,14 @@ def _q(spark, d):
     return tiers.selected(tiered(spark, d))
 
 
-@_query("window_merge")
+@_query("window_merge", _tiered_sql("""select * from (with recursive ordered as (select *, row_number() over (partition by ca, cb, orient order by median_a, median_b, event_id) k from tiered where tier <> 'filtered'),
+ walk as (select ca, cb, orient, k, median_a a, median_b b, event_id g, event_id from ordered where k = 1 union all
+  select o.ca, o.cb, o.orient, o.k, case when abs(o.median_a - a) <= 5000 and abs(o.median_b - b) <= 5000 then a else o.median_a end, case when abs(o.median_a - a) <= 5000 and abs(o.median_b - b) <= 5000 then b else o.median_b end,
+   case when abs(o.median_a - a) <= 5000 and abs(o.median_b - b) <= 5000 then g else o.event_id end, o.event_id from walk w join ordered o on o.ca = w.ca and o.cb = w.cb and o.orient = w.orient and o.k = w.k + 1)
+ select g event_id, cast(sum(support) as bigint) support, cast(sum(sr) as bigint) sr, cast(sum(pr) as bigint) pr, max(median_mapq) median_mapq, round(min(bp), 6) background_p, count(*) merged from walk w join ordered o using (event_id) group by g
+ union all select event_id, support, sr, pr, median_mapq, round(bp, 6), 1 from tiered where tier = 'filtered')"""))
 def _q(spark, d):
-    return tiers.anchored(_clusters(spark, d))
+    return tiers.anchored(tiered(spark, d)).select("event_id", "support", "sr", "pr", "median_mapq", F.round("background_p", 6).alias("background_p"), "merged")
 
 
 @_query("cross_merge")
@@ -395,11 +400,12 @@ def _q(spark, d):
  case when confirmed+validated+likely=0 then 'No high-confidence translocations detected.' else (confirmed+validated+likely+strong_candidate+candidate)||' translocation call'||case when confirmed+validated+likely+strong_candidate+candidate=1 then '' else 's' end||': '
  ||concat_ws(', ', case when confirmed>0 then confirmed||' confirmed' end, case when validated>0 then validated||' validated' end, case when likely>0 then likely||' likely' end, case when candidate>0 then candidate||' candidate' end)||'.' end summary from
  (select count(*) filter (tier='confirmed') confirmed, count(*) filter (tier='validated') validated, count(*) filter (tier='likely') likely, count(*) filter (tier='strong_candidate') strong_candidate, count(*) filter (tier='candidate') candidate, count(*) filter (tier='filtered') filtered,
- (select round(100*round(count(*)/(b*b),9),6) from disc, (select count(*) b from (select distinct chrom, floor(pos/100000) from ends)) group by b) chimeric_pct, (select median(abs(mate_pos-pos)) from reads where chrom=mate_chrom) med from tiered)""").replace("select *, case when chimeric_pct<1", "select * exclude (med), case when chimeric_pct<1"))
+ (select round(100*(select count(*) from disc)/count(*),6) from reads) chimeric_pct, (select median(abs(mate_pos-pos)) from reads where chrom=mate_chrom) med from tiered)""").replace("select *, case when chimeric_pct<1", "select * exclude (med), case when chimeric_pct<1"))
 def _q(spark, d):
     reads = views.reads(spark, d)
     insert = reads.where("chrom = mate_chrom").agg(F.median(F.abs(F.col("mate_pos") - F.col("pos"))).alias("median_v"))
-    return report.qc_report(tiered(spark, d), legacy.rate(reads, _disc(spark, d)), insert)
+    rate = legacy.rate(reads, _disc(spark, d)).select((F.col("interchrom") / F.greatest("reads", F.lit(1))).alias("rate"))
+    return report.qc_report(tiered(spark, d), rate, insert)
 
 
 @_query("stream_tumbling", "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) n, round(sum(value),3) total from events group by 1, 2")

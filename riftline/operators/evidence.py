@@ -74,6 +74,21 @@ def clustered(canon: DataFrame, distance: int = DEFAULTS.merge_distance) -> Data
     return islands(islands(canon, key, "pos_a", distance, "isl_a"), [*key, "isl_a"], "pos_b", distance, "isl_b")
 
 
+def coherent(canon: DataFrame, clusters: DataFrame, distance: int = DEFAULTS.merge_distance, most: int = 2) -> DataFrame:
+    """Clusters with ``orientations``, how many the reads around them have, and ``coherent``: ``most`` at most.
+
+    Around a cluster are the reads of its contig pair that islands join on both sides whatever their orientation; each cluster
+    lies in one such place, as islands of one orientation lie in those of all.
+    """
+    key = ["ca", "cb"]
+    placed = islands(islands(canon, key, "pos_a", distance, "any_a"), [*key, "any_a"], "pos_b", distance, "any_b")
+    places = placed.groupBy(*key, "any_a", "any_b").agg(F.countDistinct("orient").alias("orientations"))
+    # the place of a cluster is that of its first read by both sides
+    first = clustered(placed, distance).groupBy(*CLUSTER).agg(F.min(F.struct("any_a", "any_b")).alias("at"))
+    own = first.select(*CLUSTER, "at.any_a", "at.any_b").join(places, [*key, "any_a", "any_b"]).select(*CLUSTER, "orientations")
+    return clusters.join(own, CLUSTER).withColumn("coherent", F.col("orientations") <= most)
+
+
 CLUSTER = ["ca", "cb", "orient", "isl_a", "isl_b"]
 
 

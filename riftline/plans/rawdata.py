@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar
-from ..operators import clips, evidence, legacy, reads
+from ..functions import scalar, udtf
+from ..operators import clips, evidence, legacy, quantiles, reads
 from ..settings import DEFAULTS
 from ..sources import views
 from ..storage import stored
@@ -183,3 +183,41 @@ ORACLES["clip_band_join"] = _recursive(f"""{_RAW_CLUSTERS[:_cut].strip()}, rc as
  n as (select id, cast(sum(depth) as bigint) clips from rc join resolved r on r.chrom = ca and r.partner_chrom = cb and abs(r.pos - median_a) < 1000 and abs(r.partner_pos - median_b) < 1000 group by 1)
  select ca, cb, orient, median_a, median_b, coalesce(clips, 0) clips, case when clips > 0 then median_a - 5 else lo_a end ci_lo_a, case when clips > 0 then median_a + 5 else hi_a end ci_hi_a,
   case when clips > 0 then median_b - 5 else lo_b end ci_lo_b, case when clips > 0 then median_b + 5 else hi_b end ci_hi_b from rc left join n using (id)""")
+
+
+@_query("sa_udtf")
+def _q(spark, d):
+    """Split entries of raw records by the table function, in SQL."""
+    udtf.register(spark)
+    return spark.sql("select qname, line, e.* from {t}, lateral sa_entries(sa) e", t=views.raw(spark, d))
+
+
+ORACLES["sa_udtf"] = _raw_sql("""select qname, line, name1 chrom, sa_pos pos, case when l_suppkey % 2 = 0 then '-' else '+' end strand, sa_aligned || 'M5D' cigar, sa_mapq mapq, 0 nm from raw where line <= 4
+ union all select qname, line, name2, sa_pos + 7, '+', '10S40M', 60, 1 from raw where line <= 2""")
+
+
+@_query("top_share_threshold", "select n threshold from (select n, row_number() over (order by n desc) - 1 k, count(*) over () total from (select count(*) n from canon group by ca, cb, floor(pos_a/100000), floor(pos_b/100000))) where k = least(cast(floor(total * 0.01) as bigint), total - 1)")
+def _q(spark, d):
+    """The count that one pair of bins in a hundred lies above."""
+    pairs = legacy.pair_bins(evidence.canonical(own._disc(spark, d)))
+    return spark.createDataFrame([(quantiles.top_share_threshold(pairs, "n"),)], "threshold long")
+
+
+@_query("insert_quantiles", "select quantile_cont(v, 0.25) q25, quantile_cont(v, 0.5) q50, quantile_cont(v, 0.75) q75, quantile_cont(v, 0.99) q99 from (select cast(abs(mate_pos - pos) as double) v from reads where chrom = mate_chrom)")
+def _q(spark, d):
+    v = views.reads(spark, d).where("chrom = mate_chrom").select(F.abs(F.col("mate_pos") - F.col("pos")).alias("v"))
+    return spark.createDataFrame([tuple(quantiles.quantiles(v, "v", [0.25, 0.5, 0.75, 0.99]))], "q25 double, q50 double, q75 double, q99 double")
+
+
+@_query("orientation_coherence", """select ca, cb, orient, isl_a, isl_b, orientations, orientations <= 2 coherent from (select ca, cb, orient, isl_a, isl_b, min((any_a, any_b)) plc from wi group by all having count(*) >= 3)
+ join (select ca, cb, any_a, any_b, count(distinct orient) orientations from wi group by all) p using (ca, cb) where plc = (p.any_a, p.any_b)""")
+def _q(spark, d):
+    rows = own._survivors(spark, d)
+    return evidence.coherent(rows, own._clusters(spark, d).select(*evidence.CLUSTER)).select(*evidence.CLUSTER, "orientations", "coherent")
+
+
+_ANY = """, xa as (select *, max(pos_a) over (partition by ca, cb order by pos_a range between unbounded preceding and 1 preceding) xb from fb),
+xfa as (select *, max(case when xb is null or pos_a - xb > 500 then pos_a end) over (partition by ca, cb order by pos_a range between unbounded preceding and current row) any_a from xa),
+xc as (select * exclude (xb), max(pos_b) over (partition by ca, cb, any_a order by pos_b range between unbounded preceding and 1 preceding) xb from xfa),
+wi as (select *, max(case when xb is null or pos_b - xb > 500 then pos_b end) over (partition by ca, cb, any_a order by pos_b range between unbounded preceding and current row) any_b from xc) """
+ORACLES["orientation_coherence"] = ORACLES["orientation_coherence"].replace("select ca, cb, orient, isl_a, isl_b, orientations,", _ANY + "select ca, cb, orient, isl_a, isl_b, orientations,", 1)

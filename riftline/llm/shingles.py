@@ -13,7 +13,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text hashed at once; a longer text makes a larger step of its own.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True

@@ -30,7 +30,8 @@ from .common import fold, stored
 
 SAMPLE = 1200
 ROUNDS = 2
-LONGEST = 10
+#: Longer words aren't learned from; all are scored.
+LEARNED = 60
 #: Scored words that a worker remembers.
 MEMORY = 600_000
 START = "▁"
@@ -46,14 +47,19 @@ def default_pieces() -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     every = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in every if len(p) <= LONGEST and regex.fullmatch(START + r"?\p{L}*", p) and p)
+    return sorted(p for p in every if regex.fullmatch(START + r"?\p{L}*", p) and p)
 
 
-def spans(words: list[str], index: dict[str, int]) -> dict[tuple[int, int], np.ndarray]:
+def longest_of(index: dict[str, int]) -> int:
+    """Letters of the longest piece, which no span exceeds."""
+    return max(map(len, index), default=1)
+
+
+def spans(words: list[str], index: dict[str, int], longest: int) -> dict[tuple[int, int], np.ndarray]:
     """For words of one length, the pieces at each span: ids, -1 where none; unknown letters are the last id."""
     n, unknown, out = len(words[0]), len(index), {}
     for i in range(1, n + 1):
-        for j in range(max(0, i - LONGEST), i):
+        for j in range(max(0, i - longest), i):
             ids = np.fromiter((index.get(w[j:i], -1) for w in words), np.int32, len(words))
             if i - j == 1:
                 ids[ids < 0] = unknown
@@ -62,39 +68,39 @@ def spans(words: list[str], index: dict[str, int]) -> dict[tuple[int, int], np.n
     return out
 
 
-def forward(words: list[str], index: dict[str, int], chance: np.ndarray) -> np.ndarray:
+def forward(words: list[str], index: dict[str, int], chance: np.ndarray, longest: int | None = None) -> np.ndarray:
     """Log-probabilities (words x languages) of words of one length; ``chance`` has a row per piece, the last of zeros for none."""
-    n = len(words[0])
-    at = spans(words, index)
+    n, longest = len(words[0]), longest or longest_of(index)
+    at = spans(words, index, longest)
     alpha: list[np.ndarray | None] = [np.ones((len(words), chance.shape[1]))]
     scale = np.zeros_like(alpha[0])
     for i in range(1, n + 1):
         total = np.zeros_like(scale)
-        for j in range(max(0, i - LONGEST), i):
+        for j in range(max(0, i - longest), i):
             if (j, i) in at:
                 total += alpha[j] * chance[at[j, i]]
         alpha.append(total)
         if i % 16 == 0:  # keeps long words from underflowing
             scale += np.log(total)
-            for k in range(max(0, i - LONGEST), i + 1):
+            for k in range(max(0, i - longest), i + 1):
                 alpha[k] = alpha[k] / total
-        if i > LONGEST:
-            alpha[i - LONGEST - 1] = None
+        if i > longest:
+            alpha[i - longest - 1] = None
     return np.log(alpha[n]) + scale
 
 
-def expected(words: list[str], counts: np.ndarray, index: dict[str, int], chance: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words of one length (of at most 60 letters) in one language."""
-    n = len(words[0])
-    at = spans(words, index)
+def expected(words: list[str], counts: np.ndarray, index: dict[str, int], chance: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Expected piece counts of words of one length (of at most LEARNED letters) in one language."""
+    n, longest = len(words[0]), longest or longest_of(index)
+    at = spans(words, index, longest)
     alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
     alpha[0] = beta[n] = 1
     for i in range(1, n + 1):
-        for j in range(max(0, i - LONGEST), i):
+        for j in range(max(0, i - longest), i):
             if (j, i) in at:
                 alpha[i] += alpha[j] * chance[at[j, i]]
     for j in range(n - 1, -1, -1):
-        for i in range(j + 1, min(n, j + LONGEST) + 1):
+        for i in range(j + 1, min(n, j + longest) + 1):
             if (j, i) in at:
                 beta[j] += chance[at[j, i]] * beta[i]
     out = np.zeros(len(chance))
@@ -122,12 +128,12 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
         return langs, chance
     share = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(int(1_000_000 * min(1, sample / sizes[lang]))))))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
-    counts = stored(some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where(F.length("word") <= 60).groupBy("lang", "word").agg(F.count("*").alias("n")))
+    counts = stored(some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where(F.length("word") <= LEARNED).groupBy("lang", "word").agg(F.count("*").alias("n")))
     for _ in range(rounds):
         now = chance
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(now.shape)
+            total, longest = np.zeros(now.shape), longest_of(index)
             for batch in batches:
                 rows = defaultdict(list)
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int =
                 for lang, own in rows.items():
                     col = langs.index(lang)
                     for at in _by_length([w for w, _ in own]).values():
-                        total[:, col] += expected([own[i][0] for i in at], np.array([own[i][1] for i in at], float), index, now[:, col])
+                        total[:, col] += expected([own[i][0] for i in at], np.array([own[i][1] for i in at], float), index, now[:, col], longest)
             piece, col = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(col, pa.int32()), pa.array(total[piece, col])], names=["piece", "col", "n"])
 
@@ -156,6 +162,7 @@ class _Scorer:
 
     def __init__(self, pieces: list[str], chance: np.ndarray):
         self.index, self.chance = {p: i for i, p in enumerate(pieces)}, chance
+        self.longest = longest_of(self.index)
         self._clear()
 
     def _clear(self) -> None:
@@ -175,7 +182,7 @@ class _Scorer:
         for rows in _by_length(new).values():
             for a in range(0, len(rows), 4096):
                 part = rows[a : a + 4096]
-                self.logs[self.done + np.array(part)] = forward([new[i] for i in part], self.index, self.chance)
+                self.logs[self.done + np.array(part)] = forward([new[i] for i in part], self.index, self.chance, self.longest)
         self.done += len(new)
         return np.stack([self.logs[x].sum(0) for x in at]), np.array([len(x) > 0 for x in at])
 

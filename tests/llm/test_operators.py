@@ -231,6 +231,34 @@ def test_forward_sums_all_segmentations():
     assert np.exp(language_id.forward(["ab"], index, chance))[0, 0] == pytest.approx(0.2 * 0.3 + 0.4)
 
 
+def test_segmentations_against_enumeration():
+    """Words and pieces of up to fourteen letters, of which some are unknown."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("ab", k=n))
+    pieces = sorted({"a", "b", *(text(rng.randrange(2, 15)) for _ in range(60))})
+    index = {p: i for i, p in enumerate(pieces)}
+    chance = np.array([[rng.random(), rng.random()] for _ in range(len(pieces) + 1)] + [[0.0, 0.0]])
+
+    def summed(word):
+        if not word:
+            return np.ones(2), np.zeros(len(chance))
+        p, counts = np.zeros(2), np.zeros(len(chance))
+        for k in range(1, len(word) + 1):
+            i = index.get(word[:k], len(pieces) if k == 1 else -1)
+            if i >= 0:
+                rest, below = summed(word[k:])
+                p += chance[i] * rest
+                counts += chance[i][0] * below
+                counts[i] += chance[i][0] * rest[0]
+        return p, counts
+
+    words = [text(14) for _ in range(6)] + ["ab" * 6 + "cc", "c" * 14]
+    got = np.exp(language_id.forward(words, index, chance))
+    counts = language_id.expected(words, np.ones(len(words)), index, chance[:, 0])
+    want = [summed(w) for w in words]
+    assert got == pytest.approx(np.array([p for p, _ in want])) and counts[:-1] == pytest.approx(sum(c / p[0] for p, c in want)[:-1])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16)).astype(np.float32)

@@ -47,11 +47,12 @@ ORACLES["evidence_log"] = _raw_sql("select kind evidence_type, coalesce(reason,
 
 @_query("evidence_rows")
 def _q(spark, d):
-    return reads.evidence_rows(views.raw(spark, d)).drop("is_reverse").withColumn("mate_mapq", F.col("mate_mapq").cast("int"))
+    rows = reads.evidence_rows(views.raw(spark, d)).drop("is_reverse")
+    return rows.fillna({"mate_pos": -1, "mate_mapq": -1, "insert_size": -1, "clip_len": 0, "mate_is_reverse": False})
 
 
-ORACLES["evidence_rows"] = _raw_sql("""select h read_name_hash, c chrom, pos, mapq, flag, kind evidence_type, mate mate_chrom, mate_pos, mate_mapq, mate_rev mate_is_reverse, cast(size as bigint) insert_size,
- side clip_side, cast(len as int) clip_len, seq clip_seq from judged where reason is null""")
+ORACLES["evidence_rows"] = _raw_sql("""select h read_name_hash, c chrom, pos, mapq, flag, kind evidence_type, mate mate_chrom, coalesce(mate_pos, -1) mate_pos, coalesce(mate_mapq, -1) mate_mapq, coalesce(mate_rev, false) mate_is_reverse, cast(coalesce(size, -1) as bigint) insert_size,
+ side clip_side, cast(coalesce(len, 0) as int) clip_len, seq clip_seq from judged where reason is null""")
 
 
 @_query("clip_info")

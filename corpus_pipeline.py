@@ -12,7 +12,7 @@ their names; empty tables give an empty result.
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,29 +34,41 @@ def _after(spark: SparkSession, stage: str, before: str) -> Iterator[None]:
     _scratch.setdefault(stage, []).extend(paths)
 
 
+#: The columns that stages read; any other is carried.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _carrying(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage's result with the columns of ``docs``. Columns that it doesn't read have names on the way that no stage uses."""
+    names = docs.columns
+    safe = [c if c in READ else f"carried_{i}" for i, c in enumerate(names)]
+    return stage(docs.toDF(*safe)).select(*safe).toDF(*names)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, learned from the labelled documents, rejects."""
     with _after(spark, "toxicity", ""):
-        return toxicity.without_toxic(docs, *toxicity.trained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+        learned = toxicity.trained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+        return _carrying(docs, lambda d: toxicity.without_toxic(d, *learned))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that repeat, within one edit, an earlier one; n_chars follows the text."""
     with _after(spark, "line_dedup", "toxicity"):
-        out = line_dedup.deduped(docs).drop("line_dedup_lines", "line_dedup_gone")
+        out = _carrying(docs, line_dedup.deduped)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
     with _after(spark, "near_dedup", "line_dedup"):
-        return minhash_dedup.keep_one(docs)
+        return _carrying(docs, minhash_dedup.keep_one)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents as often as their source's rate says."""
     with _after(spark, "mixing", "near_dedup"):
-        return mixing.mix(docs)
+        return _carrying(docs, mixing.mix)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

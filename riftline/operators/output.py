@@ -23,9 +23,10 @@ def vcf_rows(calls: DataFrame) -> DataFrame:
 def bedpe_rows(calls: DataFrame) -> DataFrame:
     """Thirteen BEDPE columns, 0-based half-open, of calls with cluster_id, tier, score and background_p."""
     c = F.col
+    strand = lambda k: F.when(c("orient").rlike("^[+-]{2}$"), F.substring("orient", k, 1)).otherwise("+")  # noqa: E731  an orientation that is none counts as ++
     return calls.select(
         c("ca").alias("chrom1"), c("median_a").alias("start1"), (c("median_a") + 1).alias("end1"), c("cb").alias("chrom2"), c("median_b").alias("start2"), (c("median_b") + 1).alias("end2"),
-        F.regexp_replace("cluster_id", "^CLU", "TRA").alias("name"), F.format_string("%.4f", "score").alias("score"), F.substring("orient", 1, 1).alias("strand1"), F.substring("orient", 2, 1).alias("strand2"),
+        F.regexp_replace("cluster_id", "^CLU", "TRA").alias("name"), F.format_string("%.4f", "score").alias("score"), strand(1).alias("strand1"), strand(2).alias("strand2"),
         "tier", "support", F.format_string("%.6e", "background_p").alias("bg_pval"),
     )
 

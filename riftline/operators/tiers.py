@@ -7,21 +7,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..functions import scalar
 from ..settings import DEFAULTS
+from ..storage import stored
+from .reads import PRIMARY
 
 TIERS = ("confirmed", "validated", "likely", "strong_candidate", "candidate", "filtered")
 
 
-def hard_exclude() -> Column:
-    """The first reason that excludes a cluster, of columns ca, cb, orient and tracks_a, tracks_b."""
-    reasons = []
-    for s in "ab":
-        reasons.append(F.when(F.col(f"c{s}").isin("chrM", "MT", "M", "chrMT"), "mt_involvement"))
-    for track in ("encode_blacklist", "centromere", "telomere"):
-        for s in "ab":
-            reasons.append(F.when(F.array_contains(f"tracks_{s}", track), f"{track}_{s}"))
-    reasons.append(F.when(~F.col("orient").rlike("^[+-]{2}$"), "orientation"))
+def hard_exclude(coherent: Column | None = None) -> Column:
+    """The first reason that excludes a cluster, of columns ca, cb, and tracks_a, tracks_b; ``coherent``: see ``tier``."""
+    # fixed values: the reasons' names
+    cores = {"encode_blacklist": "blacklist", "centromere": "centromere_core", "telomere": "telomere_core"}
+    reasons = [F.when(scalar.normalized_chrom(F.col("ca")).eqNullSafe("chrM") | scalar.normalized_chrom(F.col("cb")).eqNullSafe("chrM"), "mt_involvement")]
+    reasons += [F.when(~scalar.normalized_chrom(F.col(f"c{s}")).isin(*PRIMARY), F.concat(F.lit("non_primary_chrom:"), f"c{s}")) for s in "ab"]
+    reasons += [F.when(F.array_contains(f"tracks_{s}", track), f"{name}_{s}") for track, name in cores.items() for s in "ab"]
+    if coherent is not None:
+        reasons.append(F.when(~coherent, "orientation_incoherent"))
     return F.coalesce(*reasons)
 
 

@@ -275,10 +275,10 @@ def _q(spark, d):
     return _clusters(spark, d).select("event_id", F.round(tiers.v1_score(), 6).alias("score"))
 
 
-_REASON = """select c.event_id, case when exists (select 1 from stabs s where s.event_id=c.event_id and side='a' and track='encode_blacklist') then 'encode_blacklist_a'
- when exists (select 1 from stabs s where s.event_id=c.event_id and side='b' and track='encode_blacklist') then 'encode_blacklist_b'
- when exists (select 1 from stabs s where s.event_id=c.event_id and side='a' and track='centromere') then 'centromere_a'
- when exists (select 1 from stabs s where s.event_id=c.event_id and side='b' and track='centromere') then 'centromere_b' end excluded,
+_REASON = """select c.event_id, case when exists (select 1 from stabs s where s.event_id=c.event_id and side='a' and track='encode_blacklist') then 'blacklist_a'
+ when exists (select 1 from stabs s where s.event_id=c.event_id and side='b' and track='encode_blacklist') then 'blacklist_b'
+ when exists (select 1 from stabs s where s.event_id=c.event_id and side='a' and track='centromere') then 'centromere_core_a'
+ when exists (select 1 from stabs s where s.event_id=c.event_id and side='b' and track='centromere') then 'centromere_core_b' end excluded,
  case when sr=0 and pr<10 then 'sr0_pr_lt10' when dup_fraction>0.7 then 'duplicate_fraction' when starts_a+starts_b<5 then 'low_unique_starts'
  when sr=0 and (coalesce(a.lcr,0)>3 or coalesce(b.lcr,0)>3) then 'local_coverage'
  when sr=0 and greatest(coalesce(a.partners,0),coalesce(b.partners,0))>=5 and coalesce(n_ext,0)=0 then 'promiscuous' end rejected

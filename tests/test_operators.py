@@ -230,3 +230,14 @@ def test_truth_windows(spark):
     assert got == {0: ("y", 100_400), 1: (None, None), 2: (None, None), 3: (None, None)}
     got = {r["truth_id"]: r["event_id"] for r in resolve.matched(truth.where("truth_id > 0"), calls).collect()}
     assert got == {1: "y", 2: None, 3: None}
+
+
+def test_hard_exclusions_in_order(spark):
+    rows = [
+        ("chr1", "chr2", [], [], True, None), ("chr1", "MT", ["centromere"], [], True, "mt_involvement"), ("chrUn_1", "chr2", ["encode_blacklist"], [], True, "non_primary_chrom:chrUn_1"), ("1", "chrEBV", [], [], True, "non_primary_chrom:chrEBV"),
+        ("chr1", "X", ["centromere"], ["encode_blacklist"], True, "blacklist_b"), ("chr1", "chr2", [], ["telomere", "centromere"], True, "centromere_core_b"), ("chr1", "chr2", ["telomere"], [], False, "telomere_core_a"), ("chr1", "chr2", ["segdup"], [], False, "orientation_incoherent"),
+    ]
+    df = spark.createDataFrame(rows, "ca string, cb string, tracks_a array<string>, tracks_b array<string>, coherent boolean, want string")
+    from pyspark.sql import functions as F
+
+    assert all(r.got == r.want for r in df.withColumn("got", tiers.hard_exclude(F.col("coherent"))).collect())

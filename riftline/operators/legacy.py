@@ -9,7 +9,10 @@ from ..settings import DEFAULTS
 from . import annotate, background, tiers
 
 # fixed values: what each soft flag takes from the score
-PENALTIES = {"centromere_proximity": 30, "telomere_proximity": 30, "blacklist": 50, "segdup": 20, "high_local_coverage": 10, "uneven_support": 5}
+PENALTIES = {"centromere_proximity": 30, "telomere_proximity": 30, "blacklist": 50, "segdup": 20, "high_local_coverage": 10, "uneven_support": 5, "acrocentric_parm": 30, "single_orientation": 15, "high_background_p": 0}
+#: What a background p above each bound takes, from the greatest down; and what a clip and a read of an absorbed call add.
+BACKGROUND = ((0.1, 20), (0.01, 10), (0.001, 5))
+CLIP, RECIPROCAL = 2.0, 4.0
 TELOMERE = 500_000
 CENTROMERE = 1_000_000
 
@@ -62,11 +65,15 @@ def significance(clusters: DataFrame, coverage: DataFrame, pairs: DataFrame, chi
 
 
 def flagged(clusters: DataFrame, masks: DataFrame, length: int = DEFAULTS.contig_length) -> DataFrame:
-    """Adds ``flags``, an array of soft flags in the order of ``PENALTIES``."""
+    """Adds ``flags``, an array of soft flags in the order of ``PENALTIES``.
+
+    Acrocentric arms are the masks' track acrocentric_p_arm. Two flags need columns that clusters may have: single_orientation
+    (whether all reads have one strand) and background_p.
+    """
     merged = annotate.merged_intervals(masks)
     near = annotate.stabbed(clusters, merged.where("track = 'centromere'"), CENTROMERE, CENTROMERE).select("event_id", F.lit("centromere_proximity").alias("flag"))
-    names = F.when(F.col("track") == "segdup", "segdup").when(F.col("track") == "encode_blacklist", "blacklist")
-    inside = annotate.stabbed(clusters, merged.where("track in ('segdup', 'encode_blacklist')")).select("event_id", names.alias("flag"))
+    names = F.when(F.col("track") == "segdup", "segdup").when(F.col("track") == "encode_blacklist", "blacklist").when(F.col("track") == "acrocentric_p_arm", "acrocentric_parm")
+    inside = annotate.stabbed(clusters, merged.where("track in ('segdup', 'encode_blacklist', 'acrocentric_p_arm')")).select("event_id", names.alias("flag"))
     hit = near.unionByName(inside).groupBy("event_id").agg(F.collect_set("flag").alias("hit"))
     partners = annotate.reciprocal(clusters).join(clusters.select(F.col("event_id").alias("partner"), F.col("support").alias("partner_support")), "partner")
     c = clusters.join(hit, "event_id", "left").join(partners.select("event_id", "partner_support"), "event_id", "left")
@@ -76,6 +83,8 @@ def flagged(clusters: DataFrame, masks: DataFrame, length: int = DEFAULTS.contig
     held = {
         "centromere_proximity": has("centromere_proximity"), "telomere_proximity": end("a") | end("b"), "blacklist": has("blacklist"), "segdup": has("segdup"),
         "high_local_coverage": F.col("support") > 100, "uneven_support": F.col("partner_support").isNotNull() & uneven,
+        "acrocentric_parm": has("acrocentric_parm"), "single_orientation": F.col("single_orientation") if "single_orientation" in clusters.columns else F.lit(False),
+        "high_background_p": F.col("background_p") > BACKGROUND[-1][0] if "background_p" in clusters.columns else F.lit(False),
     }
     return c.withColumn("flags", F.array_compact(F.array(*(F.when(held[f], f) for f in PENALTIES)))).drop("hit", "partner_support")
 
@@ -84,19 +93,30 @@ def hard_filter() -> Column:
     return F.when(F.col("support") < 2, "low_support").when(F.coalesce("median_mapq", F.lit(0)) < 10, "low_mapq")
 
 
-def penalised() -> Column:
-    """The linear score less the penalties of the flags."""
+def penalised(clip: Column | None = None, reciprocal: Column | None = None, background_p: Column | None = None) -> Column:
+    """The linear score with clips and the reads of an absorbed call, less the penalties of the flags and of a high background."""
     taken = sum((F.when(F.array_contains("flags", f), p).otherwise(0) for f, p in PENALTIES.items()), F.lit(0))
-    return tiers.v1_score() - taken
-
-
-def tier() -> Column:
+    out = tiers.v1_score() - taken
+    for more, weight in ((clip, CLIP), (reciprocal, RECIPROCAL)):
+        out = out if more is None else out + weight * F.coalesce(more, F.lit(0))
+    if background_p is None:
+        return out
+    step = F.lit(0)
+    for bound, p in reversed(BACKGROUND):
+        step = F.when(background_p > bound, p).otherwise(step)
+    return out - step
+
+
+def tier(clip: Column | None = None, score: Column | None = None) -> Column:
+    """The tier of a cluster with ``flags``; ``clip``: its clips, a third kind of evidence; ``score``: see ``penalised``."""
     c = F.col
-    severe = F.array_contains("flags", "blacklist")
+    severe, single = F.array_contains("flags", "blacklist"), F.array_contains("flags", "single_orientation")
     starts = (c("starts_a") >= 2) & (c("starts_b") >= 2)
+    kinds = sum(((F.coalesce(x, F.lit(0)) > 0).cast("int") for x in (c("sr"), c("pr"), F.lit(0) if clip is None else clip)), F.lit(0))
+    score = penalised() if score is None else score
     return (
         F.when(hard_filter().isNotNull(), "filtered")
-        .when((c("sr") >= 3) & (c("pr") >= 5) & (c("median_mapq") >= 30) & starts & ~severe, "confirmed")
-        .when((c("sr") > 0) & (c("pr") > 0) & (c("support") >= 8) & (c("median_mapq") >= 25) & ~severe, "validated")
-        .when((c("support") >= 5) & (c("median_mapq") >= 20) & (penalised() > 15), "likely").otherwise("candidate")
+        .when((c("sr") >= 3) & (c("pr") >= 5) & (c("median_mapq") >= 30) & starts & ~severe & ~single, "confirmed")
+        .when((kinds >= 2) & (c("support") >= 8) & (c("median_mapq") >= 25) & ~severe, "validated")
+        .when((c("support") >= 5) & (c("median_mapq") >= 20) & (score > 15), "likely").otherwise("candidate")
     )

@@ -241,3 +241,21 @@ def test_hard_exclusions_in_order(spark):
     from pyspark.sql import functions as F
 
     assert all(r.got == r.want for r in df.withColumn("got", tiers.hard_exclude(F.col("coherent"))).collect())
+
+
+def test_first_generation_flags_scores_and_tiers(spark):
+    from pyspark.sql import functions as F
+
+    from riftline.operators import legacy
+
+    fields = "event_id string, ca string, cb string, orient string, median_a long, median_b long, support long, sr long, pr long, starts_a long, starts_b long, median_mapq double, background_p double, single_orientation boolean, clips long, absorbed long"
+    base = ("chr13", "chr2", "++", 5_000_000, 9_000_000, 12, 4, 8, 5, 5, 60.0)
+    rows = [("a", *base, 0.0, False, 0, 0), ("b", *base, 0.5, True, 3, 2), ("c", "chr13", "chr2", "+-", 700_000, 9_500_000, 9, 0, 9, 5, 5, 60.0, 0.005, None, 1, None)]
+    masks = spark.createDataFrame([("acrocentric_p_arm", "chr13", 600_000, 800_000, None)], "track string, chrom string, start_pos long, end_pos long, pct_identity double")
+    c = legacy.flagged(spark.createDataFrame(rows, fields), masks)
+    score = legacy.penalised(F.col("clips"), F.col("absorbed"), F.col("background_p"))
+    got = {r.event_id: (r.flags, r.score, r.tier) for r in c.select("event_id", "flags", score.alias("score"), legacy.tier(F.col("clips"), score).alias("tier")).collect()}
+    plain, p = 4 * 5.0 + 8 * 3.0 + 16 + 10, legacy.PENALTIES
+    assert got["a"] == ([], plain, "confirmed")
+    assert got["b"] == (["single_orientation", "high_background_p"], plain - p["single_orientation"] - 20 + 3 * 2.0 + 2 * 4.0, "validated")
+    assert got["c"] == (["acrocentric_parm", "high_background_p"], 9 * 3.0 + 16 + 10 + 2.0 - p["acrocentric_parm"] - 5, "validated")

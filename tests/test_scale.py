@@ -68,3 +68,14 @@ def test_cluster_medians_across_parts(spark):
 def test_medians_are_of_counted_rows(spark):
     frame = spark.createDataFrame([], "ca string, cb string, orient string, isl_a long, isl_b long, pos_a long, pos_b long, mapq int, evidence_type string, flag int")
     assert "median(pos" not in evidence.clusters(frame)._jdf.queryExecution().analyzed().toString()
+
+
+def test_clips_alone_are_not_shuffled(spark):
+    from riftline.operators import reads
+
+    schema = "qname string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, tlen long, sa string, seq string"
+    row = ("r", 0, "1", 5, 60, "30S20M", "2", 9, 0, "chr3,5,+,60M40S,60,0;", "A" * 50)
+    frame = spark.createDataFrame([row, row], schema)
+    alone = reads.evidence_rows(frame, kinds=("clip",))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert alone.collect() == reads.evidence_rows(frame).where("evidence_type = 'clip'").select(alone.columns).collect()

@@ -66,7 +66,7 @@ ORACLES["clip_info"] = _raw_sql("select qname, line, case when lc >= rc then 'le
 
 def raw_clusters(spark, d):
     """Clusters of the evidence that raw records give."""
-    rows = reads.evidence_rows(views.raw(spark, d)).where("evidence_type <> 'clip'")
+    rows = reads.evidence_rows(views.raw(spark, d), kinds=("discordant", "split"))
     return evidence.clusters(evidence.clustered(evidence.cascade(evidence.canonical(rows))))
 
 
@@ -141,7 +141,7 @@ def _split(columns: str) -> list[str]:
 
 
 def _clip_rows(spark, d):
-    return reads.evidence_rows(views.raw(spark, d)).where("evidence_type = 'clip'").select("chrom", "clip_side", "pos", "clip_seq")
+    return reads.evidence_rows(views.raw(spark, d), kinds=("clip",)).select("chrom", "clip_side", "pos", "clip_seq")
 
 
 ORACLES["clip_pileups"] = _duck(f"with recursive cl as ({secondary.CLIPS}), {PILES} select * from pile")
@@ -173,7 +173,7 @@ ORACLES["clip_clusters"] = _recursive(f"""{_RESOLVED}, cc as (select least(chrom
 @_query("clip_band_join")
 def _q(spark, d):
     """Clusters of raw evidence with the clips near both sides, and the intervals that these leave."""
-    out = clips.with_clips(raw_clusters(spark, d), _resolved(spark, d))
+    out = clips.with_clips(stored(raw_clusters(spark, d)), _resolved(spark, d))
     return out.select("ca", "cb", "orient", "median_a", "median_b", "clips", "ci_lo_a", "ci_hi_a", "ci_lo_b", "ci_hi_b")
 
 

@@ -2,7 +2,9 @@
 
 import random
 
-from riftline.operators import background, evidence
+from pyspark.sql import functions as F
+
+from riftline.operators import background, clips, evidence
 
 
 def test_tail_beyond_six_thousand_terms():
@@ -70,6 +72,20 @@ def test_medians_are_of_counted_rows(spark):
     assert "median(pos" not in evidence.clusters(frame)._jdf.queryExecution().analyzed().toString()
 
 
+def test_sequences_go_to_the_nearest_pileup(spark):
+    rng = random.Random(8)
+    rows = [("chr1", "left", rng.randrange(300), f"S{i:03d}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "chrom string, clip_side string, pos long, clip_seq string")
+    found = clips.pileups(frame).localCheckpoint()
+    piles, want = [r.pos for r in found.collect()], {}
+    for _, _, pos, seq in rows:
+        away, pile = min((abs(pos - p), p) for p in piles)
+        if away <= 10:
+            want.setdefault(pile, []).append((pos, seq))
+    want = {p: [s for _, s in sorted(x)[:10]] for p, x in want.items()}
+    assert {r.pos: r.seqs for r in clips.sequences(frame, found).select("pos", F.col("seqs")).collect()} == want
+
+
 def test_clips_alone_are_not_shuffled(spark):
     from riftline.operators import reads
 

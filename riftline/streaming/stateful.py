@@ -7,8 +7,12 @@ how a stream is cut into batches.
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +147,37 @@ def chrom_number(name: str | None) -> int:
     return {"X": 22, "Y": 23}.get(bare, int(bare) - 1 if bare.isdecimal() and 1 <= int(bare) <= 22 else -1)
 
 
+#: Events of a batch that are sorted in memory; those of a larger batch go to temporary files in sorted runs, read back in blocks.
+RUN, BLOCK = 20_000, 100
+
+
+def in_order(rows: Iterator[Row], run: int = RUN, block: int = BLOCK) -> Iterator[Row]:
+    """Rows by ``seq``, equal ones as they came; no more than a run of them, or a block of each run, in memory."""
+    rows, seq = iter(rows), lambda r: r.seq
+    first = sorted(islice(rows, run), key=seq)
+    if len(first) < run:
+        yield from first
+        return
+    with tempfile.TemporaryFile() as file:
+        runs, held = [], first
+        while held:
+            ends = []
+            for i in range(0, len(held), block):
+                ends.append(file.tell())
+                file.write(pickle.dumps([tuple(r) for r in held[i : i + block]], pickle.HIGHEST_PROTOCOL))
+            runs.append(ends)
+            make, held = type(held[0])(*held[0].__fields__), sorted(islice(rows, run), key=seq)
+        first = None
+
+        def read(places: list[int]) -> Iterator[Row]:
+            for place in places:
+                file.seek(place)
+                for values in pickle.load(file):
+                    yield make(*values)
+
+        yield from heapq.merge(*map(read, runs), key=seq)
+
+
 class _Client(StatefulProcessor):
     """A client's view of a job, as Spark state: lists of bounded length in one value, and maps of contigs, bins and pairs."""
 
@@ -154,7 +189,7 @@ class _Client(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         view = json.loads(self.view.get()[0]) if self.view.exists() else {"mode": "idle", "calls": 0, "highlights": 0, "throughput": [], "waterfall": [], "arcs": []}
-        for e in sorted(rows, key=lambda r: r.seq):
+        for e in in_order(rows):
             mode, stage, error = STEPS.get(e.kind, (None, None, None))
             for field, value in (("mode", mode), ("stage", stage), ("error", error)):
                 if value is not None:
@@ -254,7 +289,7 @@ class _Cap(StatefulProcessor):
         n = self.sent.get()[0] if self.sent.exists() else 0
         if not n:
             self.handle.registerTimer((key[0] + 1) * self.width)
-        for r in sorted(rows, key=lambda r: r.seq)[: max(0, self.limit - n)]:
+        for r in heapq.nsmallest(max(0, self.limit - n), rows, key=lambda r: r.seq):
             n += 1
             yield Row(window=key[0], turn=n, seq=r.seq, kind=r.kind)
         self.sent.update((n,))

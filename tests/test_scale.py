@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from riftline.operators import background, clips, evidence
+from riftline.streaming import stateful
 
 
 def test_tail_beyond_six_thousand_terms():
@@ -95,3 +97,11 @@ def test_clips_alone_are_not_shuffled(spark):
     alone = reads.evidence_rows(frame, kinds=("clip",))
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
     assert alone.collect() == reads.evidence_rows(frame).where("evidence_type = 'clip'").select(alone.columns).collect()
+
+
+def test_batches_larger_than_a_run_come_in_order():
+    rng = random.Random(9)
+    rows = [Row(seq=rng.randrange(50), text=str(i)) for i in range(1000)]
+    got = list(stateful.in_order(iter(rows), run=64, block=10))
+    assert got == sorted(rows, key=lambda r: r.seq) and got[0].text == sorted(rows, key=lambda r: r.seq)[0].text
+    assert list(stateful.in_order(iter(rows[:5]), run=5)) == sorted(rows[:5], key=lambda r: r.seq) and not list(stateful.in_order(iter([])))

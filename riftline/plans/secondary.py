@@ -30,9 +30,9 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 def _q(spark, d):
     canon = evidence.canonical(own._disc(spark, d))
     per = lambda rows, name: rows.groupBy("ca", "cb").agg(F.count("*").alias("n")).select(F.lit(name).alias("scale"), "ca", "cb", "n")
-    out = per(canon, "all")
+    out, parts = per(canon, "all"), own._parts(spark, d)
     for k, name in enumerate(("1mb", "100kb", "10kb", "1kb"), 1):
-        out = out.unionByName(per(evidence.cascade(canon, (1_000_000, 100_000, 10_000, 1_000)[:k]), name))
+        out = out.unionByName(per(evidence.cascade(canon, (1_000_000, 100_000, 10_000, 1_000)[:k], parts), name))
     return out
 
 

@@ -105,3 +105,12 @@ def test_batches_larger_than_a_run_come_in_order():
     got = list(stateful.in_order(iter(rows), run=64, block=10))
     assert got == sorted(rows, key=lambda r: r.seq) and got[0].text == sorted(rows, key=lambda r: r.seq)[0].text
     assert list(stateful.in_order(iter(rows[:5]), run=5)) == sorted(rows[:5], key=lambda r: r.seq) and not list(stateful.in_order(iter([])))
+
+
+def test_cells_are_dealt_to_more_tasks_than_the_session_has(spark):
+    rows = [("a", "b", i // 3 * 5_000, i // 3 * 7_000) for i in range(900)] + [("a", "b", -7, i * 1_000) for i in range(50)]
+    frame = spark.createDataFrame(rows, "ca string, cb string, pos_a long, pos_b long")
+    few, many = evidence.cascade(frame), evidence.cascade(frame, parts=evidence.parts(frame, 50))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "20), REPARTITION_BY_NUM" in plan
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 900

@@ -214,7 +214,7 @@ def _q(spark, d):
  join (select ca, cb, any_a, any_b, count(distinct orient) orientations from wi group by all) p using (ca, cb) where plc = (p.any_a, p.any_b)""")
 def _q(spark, d):
     rows = own._survivors(spark, d)
-    return evidence.coherent(rows, own._clusters(spark, d).select(*evidence.CLUSTER)).select(*evidence.CLUSTER, "orientations", "coherent")
+    return evidence.coherent(rows, own._clusters(spark, d).select(*evidence.CLUSTER), parts=own._parts(spark, d)).select(*evidence.CLUSTER, "orientations", "coherent")
 
 
 _ANY = """, xa as (select *, max(pos_a) over (partition by ca, cb order by pos_a range between unbounded preceding and 1 preceding) xb from fb),

@@ -38,7 +38,7 @@ def _q(spark, d):
 
 @_query("islands_a", "select read_name_hash, ca, cb, orient, isl_a from fa")
 def _q(spark, d):
-    return evidence.clustered(own._survivors(spark, d)).select("read_name_hash", "ca", "cb", "orient", "isl_a")
+    return own._clustered(spark, d).select("read_name_hash", "ca", "cb", "orient", "isl_a")
 
 
 @_query("promiscuous", """select event_id, greatest(coalesce(a.partners,0), coalesce(b.partners,0)) partners, greatest(coalesce(a.partners,0), coalesce(b.partners,0)) >= 5 promiscuous from clusters

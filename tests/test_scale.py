@@ -114,3 +114,14 @@ def test_cells_are_dealt_to_more_tasks_than_the_session_has(spark):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "20), REPARTITION_BY_NUM" in plan
     assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 900
+
+
+def test_islands_are_dealt_to_more_tasks_than_the_session_has(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [("a", "b", "++", rng.randrange(40) * 300_000 + rng.randrange(900), rng.randrange(30) * 400_000 + rng.randrange(900)) for _ in range(600)]
+    frame = spark.createDataFrame(rows, "ca string, cb string, orient string, pos_a long, pos_b long")
+    held, store = [], evidence.stored
+    monkeypatch.setattr(evidence, "stored", lambda df: held.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    few, many = evidence.clustered(frame), evidence.clustered(frame, parts=evidence.parts(frame, 50))
+    assert sum("RepartitionByExpression" in plan for plan in held) == 2  # one a side, none without ``parts``
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 600

@@ -125,3 +125,12 @@ def test_islands_are_dealt_to_more_tasks_than_the_session_has(spark, monkeypatch
     few, many = evidence.clustered(frame), evidence.clustered(frame, parts=evidence.parts(frame, 50))
     assert sum("RepartitionByExpression" in plan for plan in held) == 2  # one a side, none without ``parts``
     assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 600
+
+
+def test_counted_positions_are_dealt_to_more_tasks_than_the_session_has(spark):
+    rng = random.Random(11)
+    rows = [("a", "b", "++", i % 7, 0, rng.randrange(3 * evidence.PART), rng.randrange(900), 30, "split", 0) for i in range(300)]
+    frame = spark.createDataFrame(rows, "ca string, cb string, orient string, isl_a long, isl_b long, pos_a long, pos_b long, mapq int, evidence_type string, flag int")
+    few, many = evidence.clusters(frame), evidence.clusters(frame, parts=evidence.parts(frame, 20))
+    assert "RepartitionByExpression" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 7

@@ -39,7 +39,7 @@ def _raw_sql(body: str) -> str:
 @_query("evidence_log")
 def _q(spark, d):
     """What became of every row of evidence: counts by kind and reason."""
-    return reads.judged(views.raw(spark, d)).groupBy("evidence_type", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    return reads.judged(views.raw(spark, d), parts=own._parts(spark, d)).groupBy("evidence_type", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 ORACLES["evidence_log"] = _raw_sql("select kind evidence_type, coalesce(reason, 'accepted') reason, count(*) n from judged group by 1, 2")
@@ -47,7 +47,7 @@ ORACLES["evidence_log"] = _raw_sql("select kind evidence_type, coalesce(reason,
 
 @_query("evidence_rows")
 def _q(spark, d):
-    rows = reads.evidence_rows(views.raw(spark, d)).drop("is_reverse")
+    rows = reads.evidence_rows(views.raw(spark, d), parts=own._parts(spark, d)).drop("is_reverse")
     return rows.fillna({"mate_pos": -1, "mate_mapq": -1, "insert_size": -1, "clip_len": 0, "mate_is_reverse": False})
 
 
@@ -66,8 +66,9 @@ ORACLES["clip_info"] = _raw_sql("select qname, line, case when lc >= rc then 'le
 
 def raw_clusters(spark, d):
     """Clusters of the evidence that raw records give."""
-    rows = reads.evidence_rows(views.raw(spark, d), kinds=("discordant", "split"))
-    return evidence.clusters(evidence.clustered(evidence.cascade(evidence.canonical(rows))))
+    parts = own._parts(spark, d)
+    rows = reads.evidence_rows(views.raw(spark, d), kinds=("discordant", "split"), parts=parts)
+    return evidence.clusters(evidence.clustered(evidence.cascade(evidence.canonical(rows), parts=parts), parts=parts), parts=parts)
 
 
 @_query("raw_clusters")

@@ -134,3 +134,15 @@ def test_counted_positions_are_dealt_to_more_tasks_than_the_session_has(spark):
     few, many = evidence.clusters(frame), evidence.clusters(frame, parts=evidence.parts(frame, 20))
     assert "RepartitionByExpression" in many._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 7
+
+
+def test_evidence_is_dealt_to_more_tasks_than_the_session_has(spark):
+    from riftline.operators import reads
+
+    schema = "qname string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, tlen long, sa string, seq string"
+    rows = [(f"r{i % 60}", 0, "1", i % 90, 60, "30S20M", "2", 9, 0, "chr3,5,+,60M40S,60,0;", "A" * 50) for i in range(300)]
+    frame = spark.createDataFrame(rows, schema)
+    few, many = reads.evidence_rows(frame), reads.evidence_rows(frame, parts=evidence.parts(frame, 20))
+    assert "16), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    text = lambda x: sorted(map(str, x.collect()))
+    assert text(many) == text(few) and many.where("evidence_type = 'discordant'").count() == 60

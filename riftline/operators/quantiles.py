@@ -29,7 +29,10 @@ def ordered(rows: DataFrame, value: str) -> tuple[DataFrame, int]:
 
 def at_ranks(rows: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
     """The values at some ranks, from 0, in ascending order."""
-    counted, total = ordered(rows, value)
+    return _found(*ordered(rows, value), ranks)
+
+
+def _found(counted: DataFrame, total: int, ranks: list[int]) -> dict[int, float]:
     wanted = [min(max(k, 0), total - 1) for k in ranks] if total else []
     hit = F.array_compact(F.array(*(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.lit(k)) for k in set(wanted))))
     found = {r.k: r[0] for r in counted.select("value", F.explode(hit).alias("k")).collect()} if wanted else {}
@@ -38,11 +41,11 @@ def at_ranks(rows: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
 
 def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
     """Quantiles with linear interpolation between neighbours, as SQL's ``percentile`` has them; null without rows."""
-    total = rows.where(F.col(value).isNotNull()).count()
+    counted, total = ordered(rows, value)
     if not total:
         return [None] * len(shares)
     places = [s * (total - 1) for s in shares]
-    held = at_ranks(rows, value, sorted({math.floor(x) for x in places} | {math.ceil(x) for x in places}))
+    held = _found(counted, total, sorted({math.floor(x) for x in places} | {math.ceil(x) for x in places}))
     return [float(held[math.floor(x)]) * (1 - (x - math.floor(x))) + float(held[math.ceil(x)]) * (x - math.floor(x)) for x in places]
 
 

@@ -125,3 +125,23 @@ def test_last_realigned_record_wins(spark):
     aligned = [(1, "chr1_100_0_0", 0, "chr5", 7, 60), (2, "chr1_100_0_1", 0, "chr6", 8, 60), (3, "chr1_100_0_2", 4, "chr7", 9, 60), (4, "chr1_100_0_3", 0, "chr8", 9, 9), (5, "chr1_100_0_4", 0, "chr1", 9, 60), (6, "odd", 0, "chr9", 9, 60)]
     got = clips.resolved(found, spark.createDataFrame(aligned, "line long, qname string, flag int, chrom string, pos long, mapq int"))
     assert sorted(tuple(r) for r in got.collect()) == [("chr1", "left", 100, 5, "chr6", 8), ("chr1", "right", 200, 6, None, None)]
+
+
+def test_insert_sizes_are_not_gathered_by_one_aggregate(spark, monkeypatch):
+    from riftline.operators import quantiles
+    from riftline.plans.livedata import QUERIES
+
+    asked, own = [], quantiles.quantiles
+    monkeypatch.setattr(quantiles, "quantiles", lambda rows, value, shares: asked.append(shares) or own(rows, value, shares))
+    for name, times in (("library_stats", 2), ("qc_report", 1)):
+        asked.clear()
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(asked) == times and "median(" not in plan and "percentile(v" not in plan
+
+
+def test_quantiles_order_the_rows_once(spark, monkeypatch):
+    from riftline.operators import quantiles
+
+    calls, own = [], quantiles.ordered
+    monkeypatch.setattr(quantiles, "ordered", lambda rows, value: calls.append(value) or own(rows, value))
+    assert quantiles.quantiles(spark.range(5), "id", [0.5, 0.125]) == [2.0, 0.5] and calls == ["id"]

@@ -146,3 +146,25 @@ def test_evidence_is_dealt_to_more_tasks_than_the_session_has(spark):
     assert "16), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     text = lambda x: sorted(map(str, x.collect()))
     assert text(many) == text(few) and many.where("evidence_type = 'discordant'").count() == 60
+
+
+def test_intervals_are_merged_by_parts(spark, monkeypatch):
+    from riftline.operators import annotate
+
+    rng = random.Random(12)
+    far = 6 * evidence.PART
+    rows = [(t, "c", x, x + rng.choice((0, 40, 3_000))) for t in "uv" for x in (rng.randrange(-far, far) for _ in range(500))]
+    rows += [("u", "c", evidence.PART - 9, 3 * evidence.PART + 5), ("u", "c", 3 * evidence.PART + 5, 3 * evidence.PART + 6), ("v", "c", -far, far), ("w", "c", evidence.PART - 5, evidence.PART - 1), ("w", "c", evidence.PART, evidence.PART)]
+    want = []
+    for t, c, lo, hi in sorted(rows):
+        if want and want[-1][0] == t and lo <= want[-1][3]:
+            want[-1][3] = max(want[-1][3], hi)
+        else:
+            want.append([t, c, lo, hi])
+    frame = spark.createDataFrame(rows, "track string, chrom string, start_pos long, end_pos long")
+    held, store = [], annotate.stored
+    monkeypatch.setattr(annotate, "stored", lambda df: held.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    for parts in (None, evidence.parts(frame, 50)):
+        got = annotate.merged_intervals(frame, parts).select("track", "chrom", "start_pos", "end_pos")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 300
+    assert ["RepartitionByExpression" in plan for plan in held] == [False, True]

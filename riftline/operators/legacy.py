@@ -64,13 +64,13 @@ def significance(clusters: DataFrame, coverage: DataFrame, pairs: DataFrame, chi
     return background.bh_adjusted(out, "p", "background_p")
 
 
-def flagged(clusters: DataFrame, masks: DataFrame, length: int = DEFAULTS.contig_length) -> DataFrame:
+def flagged(clusters: DataFrame, masks: DataFrame, length: int = DEFAULTS.contig_length, parts: int | None = None) -> DataFrame:
     """Adds ``flags``, an array of soft flags in the order of ``PENALTIES``.
 
     Acrocentric arms are the masks' track acrocentric_p_arm. Two flags need columns that clusters may have: single_orientation
-    (whether all reads have one strand) and background_p.
+    (whether all reads have one strand) and background_p. ``parts``: tasks for the masks, see ``evidence.dealt``.
     """
-    merged = annotate.merged_intervals(masks)
+    merged = annotate.merged_intervals(masks, parts)
     near = annotate.stabbed(clusters, merged.where("track = 'centromere'"), CENTROMERE, CENTROMERE).select("event_id", F.lit("centromere_proximity").alias("flag"))
     names = F.when(F.col("track") == "segdup", "segdup").when(F.col("track") == "encode_blacklist", "blacklist").when(F.col("track") == "acrocentric_p_arm", "acrocentric_parm")
     inside = annotate.stabbed(clusters, merged.where("track in ('segdup', 'encode_blacklist', 'acrocentric_p_arm')")).select("event_id", names.alias("flag"))

@@ -76,9 +76,14 @@ _HELD = """select c.*, p.support partner_support, exists (select 1 from sides s
  from clusters c left join recip r on r.event_id = c.event_id left join clusters p on p.event_id = r.partner"""
 
 
+def _flagged(spark, d):
+    masks = views.masks(spark, d)
+    return legacy.flagged(stored(own._clusters(spark, d)), masks, parts=evidence.parts(masks))
+
+
 @_query("v1_soft_flags", f"select event_id, concat_ws(',', case when cen then 'centromere_proximity' end, case when tel then 'telomere_proximity' end, case when bla then 'blacklist' end, case when seg then 'segdup' end, case when hig then 'high_local_coverage' end, case when une then 'uneven_support' end) flags from ({_HELD})")
 def _q(spark, d):
-    return legacy.flagged(own._clusters(spark, d), views.masks(spark, d)).select("event_id", F.concat_ws(",", "flags").alias("flags"))
+    return _flagged(spark, d).select("event_id", F.concat_ws(",", "flags").alias("flags"))
 
 
 @_query("v1_tier", f"""select event_id, round(score, 6) score, case when support < 2 or coalesce(median_mapq, 0) < 10 then 'filtered' when sr >= 3 and pr >= 5 and median_mapq >= 30 and starts_a >= 2 and starts_b >= 2 and not bla then 'confirmed'
@@ -86,7 +91,7 @@ def _q(spark, d):
  (select *, 5.0*sr + 3.0*pr + least(2*greatest(starts_a-1,0)+2*greatest(starts_b-1,0),20) + 10*(least(greatest(median_mapq,20),60)-20)/40.0
   - 30*cen::int - 30*tel::int - 50*bla::int - 20*seg::int - 10*hig::int - 5*une::int score from ({_HELD}))""")
 def _q(spark, d):
-    c = legacy.flagged(own._clusters(spark, d), views.masks(spark, d))
+    c = _flagged(spark, d)
     return c.select("event_id", F.round(legacy.penalised(), 6).alias("score"), legacy.tier().alias("tier"))
 
 

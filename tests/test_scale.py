@@ -168,3 +168,10 @@ def test_intervals_are_merged_by_parts(spark, monkeypatch):
         got = annotate.merged_intervals(frame, parts).select("track", "chrom", "start_pos", "end_pos")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 300
     assert ["RepartitionByExpression" in plan for plan in held] == [False, True]
+
+
+def test_first_generation_tiers_make_clusters_once(spark):
+    from riftline.plans.livedata import QUERIES
+
+    plan = QUERIES["v1_tier"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" in plan and "percentile" not in plan

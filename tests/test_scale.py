@@ -116,6 +116,34 @@ def test_cells_are_dealt_to_more_tasks_than_the_session_has(spark):
     assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 900
 
 
+def test_crowded_cells_are_not_ordered_in_one_task(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [("a", "b", 5_000 + i % 900, 7_000) for i in range(300)] + [("a", None, None, i % 2) for i in range(90)] + [("a", "b", rng.randrange(90_000), rng.randrange(30_000)) for _ in range(800)]
+    frame = spark.createDataFrame(rows, "ca string, cb string, pos_a long, pos_b long")
+    parts = evidence.parts(frame, 50)
+    crowd = evidence.crowded(frame, parts, each=60)
+    assert sorted(map(tuple, crowd.collect()), key=str) == [("a", "b", 5, 7), ("a", None, None, 0)]
+    got, held = evidence.cascade(frame, parts=parts, crowd=crowd), []
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(got) == key(evidence.cascade(frame)) and 345 <= got.count() < len(rows)
+    assert key(evidence.survivors(frame, parts)) == key(evidence.survivors(frame)) == key(got)
+    # what is dealt and ordered has none of the crowd's reads
+    find = evidence.crowded
+    monkeypatch.setattr(evidence, "crowded", lambda canon, parts: find(canon, parts, each=60))
+    monkeypatch.setattr(evidence, "dealt", lambda rows, keys, parts: held.append(rows.count()) or rows)
+    evidence.survivors(frame, parts)
+    assert held and held[0] <= len(rows) - 345
+
+
+def test_clusters_leave_names_out(spark, monkeypatch):
+    from riftline.plans import queries
+
+    held, store = [], evidence.stored
+    monkeypatch.setattr(evidence, "stored", lambda df: held.append(df.columns) or store(df))
+    assert queries._clusters(spark, "/root/testdata/sf0.001").columns[-1] == "event_id"
+    assert held and not any("read_name_hash" in columns for columns in held)
+
+
 def test_islands_are_dealt_to_more_tasks_than_the_session_has(spark, monkeypatch):
     rng = random.Random(10)
     rows = [("a", "b", "++", rng.randrange(40) * 300_000 + rng.randrange(900), rng.randrange(30) * 400_000 + rng.randrange(900)) for _ in range(600)]

@@ -122,7 +122,7 @@ def test_crowded_cells_are_not_ordered_in_one_task(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "ca string, cb string, pos_a long, pos_b long")
     parts = evidence.parts(frame, 50)
     crowd = evidence.crowded(frame, parts, each=60)
-    assert sorted(map(tuple, crowd.collect()), key=str) == [("a", "b", 5, 7), ("a", None, None, 0)]
+    assert sorted(map(tuple, crowd.select(evidence.CELL).collect()), key=str) == [("a", "b", 5, 7), ("a", None, None, 0)]
     got, held = evidence.cascade(frame, parts=parts, crowd=crowd), []
     key = lambda x: sorted(map(str, x.collect()))
     assert key(got) == key(evidence.cascade(frame)) and 345 <= got.count() < len(rows)
@@ -135,6 +135,17 @@ def test_crowded_cells_are_not_ordered_in_one_task(spark, monkeypatch):
     assert held and held[0] <= len(rows) - 345
 
 
+def test_few_rows_are_dealt_to_few_tasks(spark, monkeypatch):
+    frame = spark.range(25)
+    monkeypatch.setattr(evidence, "ROWS", 10)
+    assert [evidence.fewer(k, frame) for k in (None, 50, 200, 201)] == [None, 50, 200, 3] and evidence.fewer(300, frame, 16) == 1
+    rows = spark.createDataFrame([("a", "b", "++", i * 1_000, 5) for i in range(25)], "ca string, cb string, orient string, pos_a long, pos_b long")
+    held, store = [], evidence.stored
+    monkeypatch.setattr(evidence, "stored", lambda df: held.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    assert evidence.clustered(rows, parts=300).count() == 25
+    assert [", 300" in plan for plan in held if "isl_a_part" in plan or "isl_b_part" in plan][0] and not any(", 300" in plan for plan in held if "isl_b_part" in plan)
+
+
 def test_clusters_leave_names_out(spark, monkeypatch):
     from riftline.plans import queries
 

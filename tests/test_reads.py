@@ -37,6 +37,13 @@ def test_reasons_and_repeats(spark):
     ]
 
 
+def test_repeats_that_are_level_give_one_row_however_they_come(spark):
+    level = [record("a", tlen=700), record("a", tlen=-300), record("b", mate_chrom=None, sa="chr5,3,-,90M,60,0;"), record("b", mate_chrom=None, sa="chr5,3,+,90M,60,0;")]
+    for rows in (level, level[::-1]):
+        got = reads.evidence_rows(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+        assert sorted((r.evidence_type, r.insert_size, r.mate_is_reverse) for r in got) == [("discordant", 300, False), ("split", None, False)]
+
+
 def test_clips_count_whatever_else_a_record_is(spark):
     rows = [
         record("a", flag=0x410, mapq=0, cigar="25S50M20S", mate_chrom=None, seq="A" * 25 + "C" * 50 + "G" * 20), record("a", mapq=0, cigar="5S50M30S", mate_chrom="chr1", seq="A" * 5 + "C" * 50 + "G" * 30),

@@ -11,9 +11,14 @@ import heapq
 import json
 import pickle
 import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -178,6 +183,106 @@ def in_order(rows: Iterator[Row], run: int = RUN, block: int = BLOCK) -> Iterato
         yield from heapq.merge(*map(read, runs), key=seq)
 
 
+#: Events of which a task finds the deciding ones together.
+CHUNK = 500_000
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """A number for each row, and the values that the numbers stand for, null among them."""
+    coded = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
+def deciding(events: pa.Table) -> pa.Table:
+    """Those of some events (job and the columns of EVENT) that decide what all do to a view, whatever other events come between them.
+
+    ``times``: how many of a job's events of the kind an event stands for, itself and those left out before it. ``again``,
+    on the last density of a pair: the ``seq`` of all that make it an arc if it is none; with them arcs are found even
+    where one pushes out another.
+    """
+    seq = events["seq"].to_numpy()
+    order = np.argsort(seq, kind="stable")
+    keys = pd.DataFrame({c: _codes(events[c])[0][order] for c in ("job", "chrom_a", "chrom_b", "bin_start")})
+    kind, names = _codes(events["kind"])
+    of = lambda name: np.isin(kind, [i for i, n in enumerate(names) if n == name])[order]
+    known = [i for i, n in enumerate(names) if n in STEPS or hasattr(_Client, _handler(n))]
+    keys["kind"] = np.where(np.isin(kind, known), kind, -1)[order]
+    keep = np.zeros(len(order), bool)
+
+    def ends(rows: np.ndarray, *by: str, end: str = "last") -> None:
+        part = keys.loc[rows, ["job", *by]]
+        keep[part.index[~part.duplicated(keep=end)]] = True
+
+    ends(keep | True, "kind")
+    for field in ("pct", "reads", "bytes"):
+        ends(of("scan.progress") & events[field].is_valid().to_numpy()[order])
+    for name, most in (("scan.throughput", THROUGHPUTS), ("evidence.highlight", WATERFALL)):
+        keep[keys[of(name)].groupby("job").tail(most).index] = True
+    for end in ("first", "last"):  # bins count from a contig's first progress on
+        ends(of("chrom.progress"), "chrom_a", end=end)
+    ends(of("chrom.bin_update"), "chrom_a", "bin_start")
+    for name in ("evidence.highlight", "pair.density"):
+        ends(of(name), "chrom_a", "chrom_b")
+    whole = np.zeros(len(order), bool)
+    for i in np.flatnonzero(of("chrom_pair.matrix")):
+        whole[i] = len(json.loads(events["text"][order[i]].as_py() or "[]")) == 24
+    ends(whole)
+
+    kept = keys[keep]
+    place = (keys.groupby(["job", "kind"]).cumcount() + 1)[keep]
+    times = place.groupby([kept["job"], kept["kind"]]).diff().fillna(place).astype("int64")
+    pair = ["job", "chrom_a", "chrom_b"]
+    dense = of("pair.density")
+    last = {k: i for i, k in enumerate(zip(*(kept[c] for c in pair), strict=True)) if dense[kept.index[i]]}
+    born = dense & pc.fill_null(pc.greater_equal(events["count"], 2), False).to_numpy()[order]
+    again = [None] * len(kept)
+    for k, at in keys[born].groupby(pair).indices.items():
+        again[last[k]] = seq[order[born]][at]
+    return events.take(order[keep]).append_column("times", pa.array(times, pa.int64())).append_column("again", pa.array(again, pa.list_(pa.int64())))
+
+
+def _handler(kind: str | None) -> str:
+    return "_" + (kind or "").replace(".", "_")
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield from deciding(pa.Table.from_batches(held)).to_batches()
+            held, n = [], 0
+    if n:
+        yield from deciding(pa.Table.from_batches(held)).to_batches()
+
+
+def arcs_after(arcs: list[list], born: list[tuple], counts: dict, places: dict) -> list[list]:
+    """The arcs after a batch. ``born``: (pair, the ``seq`` of all that make it an arc if it is none); ``counts`` and ``places``: the last of each pair."""
+    held = OrderedDict(((x[0], x[2]), list(x)) for x in arcs)
+    opened = {}
+    pairs = [pair for pair, _ in born]
+    seqs = np.concatenate([np.asarray(at, "int64") for _, at in born]) if born else np.zeros(0, "int64")
+    whose = np.repeat(np.arange(len(born)), [len(at) for _, at in born])
+    order = np.argsort(seqs, kind="stable")
+    for i, seq in zip(whose[order], seqs[order], strict=True):
+        pair = pairs[i]
+        if pair not in held:
+            opened[pair], held[pair] = int(seq), [pair[0], 0, pair[1], 0, 0, int(seq)]
+            if len(held) > ARCS:
+                held.popitem(last=False)
+    for pair, arc in held.items():
+        touched = []
+        if pair in counts:
+            arc[4], seq = counts[pair]
+            touched.append(seq)
+        if pair in places and (pair not in opened or places[pair][2] > opened[pair]):
+            arc[1], arc[3], seq = places[pair]
+            touched.append(seq)
+        arc[5] = max(touched, default=arc[5])
+    return list(held.values())
+
+
 class _Client(StatefulProcessor):
     """A client's view of a job, as Spark state: lists of bounded length in one value, and maps of contigs, bins and pairs."""
 
@@ -189,19 +294,36 @@ class _Client(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         view = json.loads(self.view.get()[0]) if self.view.exists() else {"mode": "idle", "calls": 0, "highlights": 0, "throughput": [], "waterfall": [], "arcs": []}
+        # the state's maps are read before and written after a batch, not at each event; of the bins only those of the batch
+        before = {k[0]: tuple(v) for k, v in self.chroms.iterator()}, {tuple(k): v[0] for k, v in self.density.iterator()}
+        self.seen, self.pairs, self.dirty = dict(before[0]), dict(before[1]), {}
+        self.born, self.counts, self.places = [], {}, {}
         for e in in_order(rows):
             mode, stage, error = STEPS.get(e.kind, (None, None, None))
             for field, value in (("mode", mode), ("stage", stage), ("error", error)):
                 if value is not None:
                     view[field] = e.text if value == "text" else value
-            own = getattr(self, "_" + e.kind.replace(".", "_"), None)
+            own = getattr(self, _handler(e.kind), None)
             if own:
                 own(view, e)
+        view["arcs"] = arcs_after(view["arcs"], self.born, self.counts, self.places)
+        for (chrom, start), counts in self.dirty.items():
+            if not self.bins.containsKey((chrom, start)):
+                self.seen[chrom] = (*self.seen[chrom][:5], self.seen[chrom][5] + 1)
+            self.bins.updateValue((chrom, start), counts)
+        for chrom, values in self.seen.items():
+            if before[0].get(chrom) != values:
+                self.chroms.updateValue((chrom,), values)
+        for pair in before[1].keys() - self.pairs.keys():
+            self.density.removeKey(pair)
+        for pair, n in self.pairs.items():
+            if pair not in before[1] or before[1][pair] != n:
+                self.density.updateValue(pair, (n,))
         self.view.update((json.dumps(view),))
         flat = {f: view.get(f) for f in ("mode", "stage", "error", "pct", "reads", "bytes", "calls", "top_bins", "highlights")}
         lists = {f: [tuple(x) for x in view[f]] for f in ("throughput", "waterfall", "arcs")}
-        chroms = sorted((k[0], *v) for k, v in self.chroms.iterator())
-        density = sorted((*k, v[0]) for k, v in self.density.iterator())
+        chroms = sorted((c, *v) for c, v in self.seen.items())
+        density = sorted((*k, n) for k, n in self.pairs.items())
         yield Row(job=key[0], **flat, **lists, chroms=chroms, density=density)
 
     def _scan_progress(self, view: dict, e: Row) -> None:
@@ -215,49 +337,38 @@ class _Client(StatefulProcessor):
 
     def _chrom_progress(self, view: dict, e: Row) -> None:
         chrom = f"chr{e.chrom_a.removeprefix('chr')}"
-        bins = self.chroms.getValue((chrom,))[5] if self.chroms.containsKey((chrom,)) else 0
-        self.chroms.updateValue((chrom,), (e.pct, e.reads, e.discordant, e.split, "complete" if e.pct >= 100 else "scanning", bins))
+        bins = self.seen[chrom][5] if chrom in self.seen else 0
+        self.seen[chrom] = (e.pct, e.reads, e.discordant, e.split, "complete" if e.pct >= 100 else "scanning", bins)
 
     def _chrom_bin_update(self, view: dict, e: Row) -> None:
         chrom = f"chr{e.chrom_a.removeprefix('chr')}"
-        if self.chroms.containsKey((chrom,)):  # bins of contigs that haven't shown progress are left out
-            held = self.chroms.getValue((chrom,))
-            if not self.bins.containsKey((chrom, e.bin_start)):
-                self.chroms.updateValue((chrom,), (*held[:5], held[5] + 1))
-            self.bins.updateValue((chrom, e.bin_start), (e.discordant, e.split, e.clip))
+        if chrom in self.seen:  # bins of contigs that haven't shown progress are left out
+            self.dirty[chrom, e.bin_start] = (e.discordant, e.split, e.clip)
 
     def _pair_density(self, view: dict, e: Row) -> None:
         a, b = sorted((chrom_number(e.chrom_a), chrom_number(e.chrom_b)))
         if a >= 0:
-            self.density.updateValue((a, b), (e["count"],))
-        arc = next((x for x in view["arcs"] if (x[0], x[2]) == (e.chrom_a, e.chrom_b)), None)
-        if arc:
-            arc[4:] = [e["count"], e.seq]
-        elif e["count"] >= 2:
-            view["arcs"] = [*view["arcs"], [e.chrom_a, 0, e.chrom_b, 0, e["count"], e.seq]][-ARCS:]
+            self.pairs[a, b] = e["count"]
+        pair = (e.chrom_a, e.chrom_b)
+        self.counts[pair] = (e["count"], e.seq)
+        if e.again:
+            self.born.append((pair, np.array(e.again, "int64")))
 
     def _evidence_highlight(self, view: dict, e: Row) -> None:
-        view["highlights"] += 1
+        view["highlights"] += e.times
         view["waterfall"] = [*view["waterfall"], (view["highlights"], e.seq, e.evidence_type, e.chrom_a, e.pos_a, e.chrom_b, e.pos_b)][-WATERFALL:]
-        for arc in view["arcs"]:
-            if (arc[0], arc[2]) == (e.chrom_a, e.chrom_b):
-                arc[1], arc[3], arc[5] = e.pos_a, e.pos_b, e.seq
+        self.places[e.chrom_a, e.chrom_b] = (e.pos_a, e.pos_b, e.seq)
 
     def _provisional_top_bins(self, view: dict, e: Row) -> None:
         view["top_bins"] = e.text
 
     def _validation_call_emitted(self, view: dict, e: Row) -> None:
-        view["calls"] += 1
+        view["calls"] += e.times
 
     def _chrom_pair_matrix(self, view: dict, e: Row) -> None:
         matrix = json.loads(e.text or "[]")
         if len(matrix) == 24:
-            for k in [k for k, _ in self.density.iterator()]:
-                self.density.removeKey(k)
-            for a, line in enumerate(matrix):
-                for b, n in enumerate(line):
-                    if n and a <= b:
-                        self.density.updateValue((a, b), (n,))
+            self.pairs = {(a, b): n for a, line in enumerate(matrix) for b, n in enumerate(line) if n and a <= b}
 
     def close(self) -> None:
         pass
@@ -267,12 +378,14 @@ def client_view(events: DataFrame, key: str = "job") -> DataFrame:
     """The view that a client of each job has after each batch of events (``key`` and the columns of EVENT), a row a job.
 
     Events of a batch go by ``seq``. Lists are the last so many; a pair becomes an arc at two reads, and takes its
-    place from highlights since.
+    place from highlights since. The tasks that read a batch pass on what decides (see ``deciding``), so that a job's
+    state is given few rows of many events.
     """
     with_state(events.sparkSession)
     rows = events.select(F.col(key).alias("job"), *(c.split()[0] for c in EVENT.split(", ")))
     kind = dict(rows.dtypes)["job"]
-    return rows.groupBy("job").transformWithState(_Client(), f"job {kind}, {VIEW}", "update", "None").withColumnRenamed("job", key)
+    told = rows.mapInArrow(_decided, f"job {kind}, {EVENT}, times long, again array<long>")
+    return told.groupBy("job").transformWithState(_Client(), f"job {kind}, {VIEW}", "update", "None").withColumnRenamed("job", key)
 
 
 class _Cap(StatefulProcessor):

@@ -5,6 +5,7 @@ import random
 import shutil
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,41 @@ def test_client_view_equals_a_plain_fold(spark, cuts):
     for job in "ab":
         assert [plain(x) for x in last[job]] == viewed([r[1:] for r in rows if r[0] == job])
     assert len(last["a"][11]) == 200 and len(last["a"][10]) == 500  # arcs and waterfall were full
+
+
+def told(n, seed, contigs):
+    """Events of one job."""
+    rng = random.Random(seed)
+    kinds = [*stateful.STEPS, "scan.progress", "scan.throughput", "chrom.progress", "chrom.bin_update", "pair.density", "evidence.highlight", "provisional.top_bins", "validation.call_emitted", "unknown"]
+    weight = [0.3] * len(stateful.STEPS) + [3, 6, 1, 9, 40, 40, 1, 1, 1]
+    rows = []
+    for i in range(n):
+        kind = rng.choices(kinds, weight)[0]
+        maybe = None if kind == "scan.progress" and rng.random() < 0.7 else rng.randrange(10**12)
+        rows.append((i, kind, rng.choice(contigs), rng.randrange(10**6), rng.choice(contigs), rng.randrange(10**6), rng.randrange(9), rng.choice([5.0, 100.0]), maybe, maybe, *(rng.randrange(9) for _ in range(3)), rng.randrange(40) * 1000, rng.choice(["split", "discordant"]), f"text {i}"))
+    return rows
+
+
+@pytest.mark.parametrize("n", [3, 24])
+def test_client_view_of_events_that_tasks_read_mixed(spark, n):
+    """Events of six files in one batch, in no order; with 24 contigs arcs push each other out."""
+    rows = told(9000, n, [f"chr{i}" for i in range(1, n + 1)])
+    path = tempfile.mkdtemp(prefix="riftline-test-")
+    mixed = random.Random(1).sample(rows, len(rows))
+    for i in range(6):
+        spark.createDataFrame([("a", *r) for r in mixed[i::6]], f"job string, {stateful.EVENT}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = []
+    stream = stateful.client_view(spark.readStream.schema(f"job string, {stateful.EVENT}").parquet(f"{path}/in"))
+    stream.writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    shutil.rmtree(path, ignore_errors=True)
+    assert [[tuple(y) for y in x] if isinstance(x, list) else x for x in out[0][1:]] == viewed(rows) and len(out) == 1
+
+
+def test_a_client_state_is_given_few_of_many_events():
+    names = [c.split()[0] for c in stateful.EVENT.split(", ")]
+    rows = told(40_000, 5, ["chr1", "chr2", "chr3"])
+    table = pa.table({"job": ["a"] * len(rows)} | {c: [r[i] for r in rows] for i, c in enumerate(names)})
+    kept = stateful.deciding(table)
+    assert 500 < kept.num_rows < 1000
+    counted = {k: sum(r["times"] for r in kept.select(["kind", "times"]).to_pylist() if r["kind"] == k) for k in ("evidence.highlight", "validation.call_emitted")}
+    assert counted == {k: sum(r[1] == k for r in rows) for k in counted}
